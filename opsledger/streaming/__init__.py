@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streaming sources, watermarks or state: its "last hour"
+reports are batch queries re-run on a schedule. The report operators here are
+plain DataFrame functions, so they run unchanged on a streaming DataFrame
+inside ``foreachBatch``; nothing stream-specific is built.
+"""
