@@ -1 +1,308 @@
 """Registered queries for calendar, duplicates, inventory, SCD2, job reports and query history."""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import functions as F
+
+from opsledger.operators import calendars as cal
+from opsledger.operators import duplicates as dup
+from opsledger.operators import inventory as inv
+from opsledger.operators import job_reports as jr
+from opsledger.operators import query_history as qh
+from opsledger.operators import scd2
+from opsledger.plans.oracle import AS_OF_EVENTS as NOW_EV
+from opsledger.plans.registry import AS_OF_EVENTS, AS_OF_LOG, Query, register, spec
+from opsledger.sources import fixtures as fx
+from opsledger.sources.tables import PROVIDED_TABLES, read_table
+
+
+def _t(s, sf, name):
+    return read_table(s, sf, name)
+
+
+def _fx(s, sf, name):
+    return fx.load(s, sf, name)
+
+
+def _q(name, build, cols, body, fixtures=(), chain=None, note=""):
+    register(Query(name, build, spec(cols), body, tuple(fixtures), chain, note))
+
+
+# ------------------------------------------------------------------ calendar (C)
+_CAL_BOUNDS = ("(SELECT MIN(CAST(o_orderdate AS DATE)) AS lo, MAX(CAST(o_orderdate AS DATE)) AS hi FROM orders)")
+_q("C1", lambda s, sf: cal.calendar_for(_t(s, sf, "orders"), "o_orderdate"), "rn:i date_dt:d woy:i dow:i",
+   f"SELECT date_diff('day', lo, d) AS rn, d AS date_dt, weekofyear(d) AS woy, dayofweek(d) AS dow FROM "
+   f"(SELECT lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM {_CAL_BOUNDS} b) z")
+_q("C2", lambda s, sf: cal.week_calendar_for(_t(s, sf, "orders"), "o_orderdate"), "rn:i date_dt:d woy:i dow:i",
+   f"SELECT rn, d AS date_dt, weekofyear(CAST(lo + rn AS DATE)) AS woy, dayofweek(CAST(lo + rn AS DATE)) AS dow FROM "
+   f"(SELECT lo, d, CAST(date_diff('day', lo, d) / 7 AS INT) AS rn FROM "
+   f"(SELECT lo, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS d FROM {_CAL_BOUNDS} b) y) z "
+   f"WHERE rn < 170")
+_q("C3", lambda s, sf: cal.lookback_calendar(_t(s, sf, "orders"), "o_orderdate", 90),
+   "d:d iso_dow:i is_business_day:i",
+   "SELECT d, isodow(d) AS iso_dow, CASE WHEN isodow(d) BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS is_business_day FROM "
+   "(SELECT CAST(unnest(generate_series(a - 90, a - 1, INTERVAL 1 DAY)) AS DATE) AS d FROM "
+   "(SELECT MAX(CAST(o_orderdate AS DATE)) AS a FROM orders) b) z")
+_q("C4", lambda s, sf: cal.with_calendar_attributes(_t(s, sf, "orders").select("o_orderkey", "o_orderdate"),
+                                                     "o_orderdate"),
+   "o_orderkey:i o_orderdate:t woy:i dow:i day_name:s is_business_day:i",
+   "SELECT o_orderkey, o_orderdate, weekofyear(CAST(o_orderdate AS DATE)) AS woy, dayofweek(CAST(o_orderdate AS DATE)) AS dow, "
+   "strftime(CAST(o_orderdate AS DATE), '%a') AS day_name, "
+   "CASE WHEN isodow(CAST(o_orderdate AS DATE)) <= 5 THEN 1 ELSE 0 END AS is_business_day FROM orders")
+
+# ------------------------------------------------------------------ duplicates (D)
+_LI_KEYS = ["l_orderkey", "l_linenumber"]
+_LI_REST = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+            "l_returnflag", "l_linestatus", "l_shipdate"]
+_LI_SPEC = ("l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f "
+            "l_tax:f l_returnflag:s l_linestatus:s l_shipdate:t")
+_LI_ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in _LI_REST)
+_DOC_REST = ["doc_id", "lang", "source", "n_chars"]
+_DOC_ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in _DOC_REST)
+
+_q("D1", lambda s, sf: dup.duplicate_keys(_t(s, sf, "lineitem"), _LI_KEYS),
+   "l_orderkey:i l_linenumber:i DuplicateCount:i",
+   "SELECT l_orderkey, l_linenumber, COUNT(*) AS DuplicateCount FROM lineitem GROUP BY l_orderkey, l_linenumber "
+   "HAVING COUNT(*) > 1")
+_q("D1_text", lambda s, sf: dup.duplicate_keys(_t(s, sf, "documents"), "text"), "text:s DuplicateCount:i",
+   "SELECT text, COUNT(*) AS DuplicateCount FROM documents GROUP BY text HAVING COUNT(*) > 1")
+_q("D2", lambda s, sf: dup.duplicate_flags(_fx(s, sf, "currency_rate"), "currency_id", ["currency_date"]),
+   "currency_id:i currency_date:d duplicate_value:s",
+   "SELECT currency_id, currency_date, CASE WHEN currency_id IS NOT NULL AND ROW_NUMBER() OVER "
+   "(PARTITION BY currency_id ORDER BY currency_date ASC NULLS FIRST, rate_key ASC NULLS FIRST) > 1 "
+   "THEN 'Yes' ELSE 'No' END AS duplicate_value FROM currency_rate", ["currency_rate"])
+_q("D3", lambda s, sf: dup.redundant_rows(_t(s, sf, "lineitem"), _LI_KEYS, _LI_REST),
+   _LI_SPEC + " RowNum:i",
+   f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LI_ORDER}) "
+   f"AS RowNum FROM lineitem) z WHERE RowNum > 1")
+_q("D3_text", lambda s, sf: dup.redundant_rows(_t(s, sf, "documents"), "text", _DOC_REST),
+   "doc_id:i text:s lang:s source:s n_chars:i RowNum:i",
+   f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY text ORDER BY {_DOC_ORDER}) AS RowNum "
+   f"FROM documents) z WHERE RowNum > 1")
+_q("D4", lambda s, sf: dup.grouped_value_lists(_fx(s, sf, "numbered_log"), "create_date", "sequence_number_for_day"),
+   "create_date:d sequence_numbers:s",
+   "SELECT create_date, array_to_string(list_sort(list(DISTINCT sequence_number_for_day) "
+   "FILTER (WHERE sequence_number_for_day IS NOT NULL)), ',') AS sequence_numbers FROM numbered_log "
+   "GROUP BY create_date HAVING COUNT(sequence_number_for_day) > 1", ["numbered_log"])
+_q("D5", lambda s, sf: dup.dedupe(_t(s, sf, "lineitem"), _LI_KEYS, _LI_REST), _LI_SPEC,
+   f"SELECT * FROM lineitem QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LI_ORDER}) = 1")
+_q("D5_text", lambda s, sf: dup.dedupe(_t(s, sf, "documents"), "text", _DOC_REST),
+   "doc_id:i text:s lang:s source:s n_chars:i",
+   f"SELECT * FROM documents QUALIFY ROW_NUMBER() OVER (PARTITION BY text ORDER BY {_DOC_ORDER}) = 1")
+
+# ------------------------------------------------------------------ inventory (I)
+_q("I1", lambda s, sf: inv.tables_with_column(_fx(s, sf, "inventory_columns"), "column_3"), "table_name:s",
+   "SELECT table_name FROM inventory_columns WHERE column_name = 'column_3'", ["inventory_columns"])
+_q("I2", lambda s, sf: inv.column_occurrences(_fx(s, sf, "inventory_columns"), "column_3"),
+   "table_name:s column_name:s data_type:s character_maximum_length:i",
+   "SELECT table_name, column_name, data_type, character_maximum_length FROM inventory_columns "
+   "WHERE column_name = 'column_3'", ["inventory_columns"])
+_q("I3", lambda s, sf: inv.column_lists(_fx(s, sf, "inventory_columns"), exclude_columns=["column_0"]),
+   "table_name:s column_list:s",
+   "SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal_position, column_name) AS column_list "
+   "FROM inventory_columns WHERE column_name NOT IN ('column_0') GROUP BY table_name", ["inventory_columns"])
+_q("I4", lambda s, sf: inv.widening_statements(_fx(s, sf, "inventory_columns"), _fx(s, sf, "inventory_tables"),
+                                               ["column_0", "column_3"], ["schema_1", "schema_2"], 100),
+   "statement:s",
+   "SELECT 'ALTER TABLE IF EXISTS ' || t.table_schema || '.' || t.table_name || ' ALTER COLUMN ' || c.column_name "
+   "|| ' TYPE VARCHAR(100);' AS statement FROM inventory_columns c JOIN inventory_tables t ON "
+   "(t.table_schema = c.table_schema AND t.table_name = c.table_name AND t.table_type = 'BASE TABLE') "
+   "WHERE c.column_name IN ('column_0', 'column_3') AND c.table_schema NOT IN ('schema_1', 'schema_2') "
+   "AND c.character_maximum_length < 100", ["inventory_columns", "inventory_tables"])
+_q("I5", lambda s, sf: inv.bulk_row_counts(s, PROVIDED_TABLES, lambda n: read_table(s, sf, n)),
+   "table_name:s row_count:i",
+   " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in PROVIDED_TABLES))
+
+# ------------------------------------------------------------------ SCD2 (S)
+_AS_OF_D = _dt.date(2024, 1, 31)
+_H = ("scd_customer_history", "scd_customer")
+_HSPEC = ("hist_id:i cust_id:i fullname:s position:s eff_start_date:d eff_end_date:d curr_flag:s "
+          "change_flag:s change_version_id:i")
+_HSPEC_NOID = _HSPEC.replace("hist_id:i ", "")
+_DIFF = "(h.fullname <> s.fullname OR h.position <> s.position)"
+_S1 = (f"h.cust_id IS NOT NULL AND s.cust_id IS NOT NULL AND {_DIFF} AND h.eff_end_date = DATE '9999-12-31' "
+       f"AND h.curr_flag = 'Y'")
+_S2 = "h.cust_id NOT IN (SELECT cust_id FROM scd_customer) AND h.curr_flag = 'Y'"
+SCD_CHAIN = f"""
+s1 AS (
+  SELECT h.hist_id, h.cust_id, h.fullname, h.position, h.eff_start_date,
+    CASE WHEN {_S1} THEN s.start_date - 1 ELSE h.eff_end_date END AS eff_end_date,
+    CASE WHEN {_S1} THEN 'N' ELSE h.curr_flag END AS curr_flag, h.change_flag, h.change_version_id
+  FROM scd_customer_history h LEFT JOIN scd_customer s ON h.cust_id = s.cust_id),
+s2 AS (
+  SELECT h.hist_id, h.cust_id, h.fullname, h.position, h.eff_start_date,
+    CASE WHEN {_S2} THEN DATE '2024-01-31' ELSE h.eff_end_date END AS eff_end_date,
+    CASE WHEN {_S2} THEN 'N' ELSE h.curr_flag END AS curr_flag,
+    CASE WHEN {_S2} THEN 'DELETE' ELSE h.change_flag END AS change_flag, h.change_version_id
+  FROM s1 h),
+s2only AS (
+  SELECT h.hist_id, h.cust_id, h.fullname, h.position, h.eff_start_date,
+    CASE WHEN {_S2} THEN DATE '2024-01-31' ELSE h.eff_end_date END AS eff_end_date,
+    CASE WHEN {_S2} THEN 'N' ELSE h.curr_flag END AS curr_flag,
+    CASE WHEN {_S2} THEN 'DELETE' ELSE h.change_flag END AS change_flag, h.change_version_id
+  FROM scd_customer_history h),
+s3 AS (
+  SELECT CAST(NULL AS BIGINT) AS hist_id, src.cust_id, src.fullname, src.position, src.start_date AS eff_start_date,
+    DATE '9999-12-31' AS eff_end_date, 'Y' AS curr_flag, 'UPDATE' AS change_flag,
+    tgt.change_version_id + 1 AS change_version_id, tgt.hist_id AS prior_hist_id, 1 AS phase
+  FROM s2 tgt, scd_customer src
+  WHERE tgt.cust_id = src.cust_id AND (tgt.fullname <> src.fullname OR tgt.position <> src.position)
+    AND EXISTS (SELECT * FROM s2 ch WHERE src.cust_id = ch.cust_id AND tgt.eff_end_date = src.start_date - 1
+      AND NOT EXISTS (SELECT * FROM s2 ch2 WHERE src.cust_id = ch2.cust_id AND ch2.eff_end_date = DATE '9999-12-31'))),
+s4 AS (
+  SELECT CAST(NULL AS BIGINT) AS hist_id, cust_id, fullname, position, start_date AS eff_start_date,
+    DATE '9999-12-31' AS eff_end_date, 'Y' AS curr_flag, 'INSERT' AS change_flag, 1 AS change_version_id,
+    CAST(NULL AS BIGINT) AS prior_hist_id, 2 AS phase
+  FROM scd_customer WHERE cust_id NOT IN (
+    SELECT ch2.cust_id FROM scd_customer_history ch, scd_customer ch2 WHERE ch.cust_id = ch2.cust_id)),
+s6 AS (
+  SELECT (SELECT MAX(hist_id) FROM scd_customer_history)
+           + ROW_NUMBER() OVER (ORDER BY phase, cust_id, prior_hist_id NULLS FIRST) AS hist_id,
+    cust_id, fullname, position, eff_start_date, eff_end_date, curr_flag, change_flag, change_version_id
+  FROM (SELECT * FROM s3 UNION ALL SELECT * FROM s4) i),
+s5 AS (SELECT * FROM s2 UNION ALL SELECT * FROM s6)"""
+
+
+def _hist(s, sf):
+    return _fx(s, sf, "scd_customer_history")
+
+
+def _src(s, sf):
+    return _fx(s, sf, "scd_customer")
+
+
+def _inserts_with_keys(s, sf):
+    h, src = _hist(s, sf), _src(s, sf)
+    ex = scd2.expire(h, src, _AS_OF_D)
+    return scd2.assign_surrogate_keys(h, scd2.new_versions(ex, src).unionByName(scd2.new_keys(h, src)))
+
+
+_q("S1", lambda s, sf: scd2.expire_changed(_hist(s, sf), _src(s, sf)), _HSPEC, "SELECT * FROM s1", _H, SCD_CHAIN)
+_q("S2", lambda s, sf: scd2.expire_deleted(_hist(s, sf), _src(s, sf), _AS_OF_D), _HSPEC,
+   "SELECT * FROM s2only", _H, SCD_CHAIN)
+_q("S3", lambda s, sf: scd2.new_versions(scd2.expire(_hist(s, sf), _src(s, sf), _AS_OF_D), _src(s, sf)),
+   _HSPEC_NOID, "SELECT * FROM s3", _H, SCD_CHAIN)
+_q("S4", lambda s, sf: scd2.new_keys(_hist(s, sf), _src(s, sf)), _HSPEC_NOID, "SELECT * FROM s4", _H, SCD_CHAIN)
+_q("S5", lambda s, sf: scd2.apply_changes(_hist(s, sf), _src(s, sf), _AS_OF_D), _HSPEC,
+   "SELECT * FROM s5", _H, SCD_CHAIN)
+_q("S6", _inserts_with_keys, _HSPEC, "SELECT * FROM s6", _H, SCD_CHAIN)
+_q("S7", lambda s, sf: scd2.change_types(_hist(s, sf), _src(s, sf)), "cust_id:i change_type:s",
+   """SELECT COALESCE(pk.cust_id, s.cust_id) AS cust_id,
+     CASE WHEN pk.cust_id IS NULL THEN 'new' WHEN s.cust_id IS NULL AND cur = 1 THEN 'deleted'
+          WHEN s.cust_id IS NULL THEN 'absent' WHEN chg = 1 THEN 'changed'
+          WHEN reo = 1 AND opn = 0 THEN 'reopened' ELSE 'unchanged' END AS change_type
+   FROM (SELECT h.cust_id,
+       MAX(CASE WHEN COALESCE(h.fullname <> s.fullname OR h.position <> s.position, false)
+                 AND h.eff_end_date = DATE '9999-12-31' AND h.curr_flag = 'Y' THEN 1 ELSE 0 END) AS chg,
+       MAX(CASE WHEN h.curr_flag = 'Y' THEN 1 ELSE 0 END) AS cur,
+       MAX(CASE WHEN h.eff_end_date = DATE '9999-12-31' THEN 1 ELSE 0 END) AS opn,
+       MAX(CASE WHEN COALESCE(h.fullname <> s.fullname OR h.position <> s.position, false)
+                 AND h.eff_end_date = s.start_date - 1 THEN 1 ELSE 0 END) AS reo
+     FROM scd_customer_history h LEFT JOIN scd_customer s ON h.cust_id = s.cust_id GROUP BY h.cust_id) pk
+   FULL OUTER JOIN scd_customer s ON pk.cust_id = s.cust_id""", _H)
+
+# ------------------------------------------------------------------ scheduled-job reports (J)
+_JT = ("sysjobhistory", "sysjobs", "sysjobsteps", "sysjobactivity")
+_RUN_TS = "strptime(CAST(run_date AS VARCHAR) || lpad(CAST(run_time AS VARCHAR), 6, '0'), '%Y%m%d%H%M%S')"
+
+
+def _failed(s, sf, hours):
+    return jr.failed_steps(_fx(s, sf, "sysjobhistory"), _fx(s, sf, "sysjobs"), _fx(s, sf, "sysjobsteps"),
+                           AS_OF_EVENTS, _dt.timedelta(hours=hours))
+
+
+def _failed_sql(hours):
+    return (f"SELECT jobs.name AS JobName, step.step_name AS StepName, hist.message AS ErrorMessage, "
+            f"{_RUN_TS} AS ErrorTime FROM sysjobhistory hist JOIN sysjobs jobs ON hist.job_id = jobs.job_id "
+            f"JOIN sysjobsteps step ON hist.job_id = step.job_id AND hist.step_id = step.step_id "
+            f"WHERE hist.run_status = 0 AND {_RUN_TS} >= {NOW_EV} - INTERVAL {hours} HOUR")
+
+
+_LATEST = "SELECT * FROM sysjobactivity WHERE session_id = (SELECT MAX(session_id) FROM sysjobactivity)"
+_DUR = ("CAST(date_diff('day', {s}, {n}) AS VARCHAR) || 'd ' || CAST(date_diff('hour', {s}, {n}) % 24 AS VARCHAR) || 'h ' "
+        "|| CAST(date_diff('minute', {s}, {n}) % 60 AS VARCHAR) || 'min ' || CAST(date_diff('second', {s}, {n}) % 60 AS VARCHAR) || 'sec'")
+_LONG_SQL = (f"SELECT j.name AS JobName, strftime(a.start_execution_date, '%H:%M:%S %p') AS StartTime, "
+             f"CASE WHEN a.start_execution_date IS NULL THEN 'Not running' WHEN a.stop_execution_date IS NULL "
+             f"THEN 'Running' ELSE 'Not running' END AS RunStatus, "
+             f"{_DUR.format(s='a.start_execution_date', n=NOW_EV)} AS Duration, "
+             f"CAST(a.start_execution_date AS DATE) AS RunDate "
+             f"FROM sysjobs j JOIN sysjobactivity a ON j.job_id = a.job_id "
+             f"WHERE a.session_id = (SELECT MAX(session_id) FROM sysjobactivity) "
+             f"AND a.start_execution_date IS NOT NULL AND a.stop_execution_date IS NULL "
+             f"AND date_diff('second', a.start_execution_date, {NOW_EV}) > 1800")
+
+
+def _long(s, sf):
+    return jr.long_running_jobs(_fx(s, sf, "sysjobs"), _fx(s, sf, "sysjobactivity"), AS_OF_EVENTS)
+
+
+_q("J1", lambda s, sf: _fx(s, sf, "sysjobhistory").withColumn("run_ts", jr.run_timestamp()),
+   "instance_id:i run_date:i run_time:i run_ts:t", f"SELECT instance_id, run_date, run_time, {_RUN_TS} AS run_ts "
+   f"FROM sysjobhistory", ["sysjobhistory"])
+_q("J2", lambda s, sf: _failed(s, sf, 1), "JobName:s StepName:s ErrorMessage:s ErrorTime:t", _failed_sql(1), _JT)
+_q("J2_day", lambda s, sf: _failed(s, sf, 24), "JobName:s StepName:s ErrorMessage:s ErrorTime:t",
+   _failed_sql(24), _JT)
+_q("J3", lambda s, sf: jr.latest_session(_fx(s, sf, "sysjobactivity")),
+   "session_id:i job_id:i start_execution_date:t stop_execution_date:t", _LATEST, ["sysjobactivity"])
+_q("J4", _long, "JobName:s StartTime:s RunStatus:s Duration:s RunDate:d", _LONG_SQL, _JT)
+_q("J5", lambda s, sf: _fx(s, sf, "sysjobactivity").withColumn("run_status", jr.run_status_label()),
+   "session_id:i job_id:i start_execution_date:t stop_execution_date:t run_status:s",
+   "SELECT *, CASE WHEN start_execution_date IS NULL THEN 'Not running' WHEN stop_execution_date IS NULL "
+   "THEN 'Running' ELSE 'Not running' END AS run_status FROM sysjobactivity", ["sysjobactivity"])
+_q("J6", lambda s, sf: _fx(s, sf, "sysjobactivity").where(F.col("start_execution_date").isNotNull())
+   .withColumn("duration", jr.duration_since(F.col("start_execution_date"), AS_OF_EVENTS)),
+   "session_id:i job_id:i start_execution_date:t duration:s",
+   f"SELECT *, {_DUR.format(s='start_execution_date', n=NOW_EV)} AS duration FROM sysjobactivity "
+   f"WHERE start_execution_date IS NOT NULL", ["sysjobactivity"])
+_q("J7", lambda s, sf: jr.report_summary(_failed(s, sf, 1), jr.ERROR_REPORT_SUBJECT, AS_OF_EVENTS, "job_step_errors")
+   .unionByName(jr.report_summary(_long(s, sf), jr.LONG_RUNNING_SUBJECT, AS_OF_EVENTS, "long_running_jobs")),
+   "report:s row_count:i subject:s",
+   f"SELECT 'job_step_errors' AS report, COUNT(*) AS row_count, 'Job Step Error Report - ' || "
+   f"strftime({NOW_EV}, '%b %d, %Y') AS subject FROM ({_failed_sql(1)}) a HAVING COUNT(*) > 0 UNION ALL "
+   f"SELECT 'long_running_jobs', COUNT(*), 'Long running jobs - ' || strftime({NOW_EV}, '%b %d, %Y') "
+   f"FROM ({_LONG_SQL}) b HAVING COUNT(*) > 0", _JT)
+_q("J8", lambda s, sf: jr.error_report_cells(_failed(s, sf, 24)),
+   "JobName:s StepName:s ErrorMessage:s ErrorTimeText:s",
+   f"SELECT JobName, StepName, ErrorMessage, strftime(ErrorTime, '%Y-%m-%d %H:%M:%S') AS ErrorTimeText "
+   f"FROM ({_failed_sql(24)}) a", _JT)
+_q("J8_long", lambda s, sf: jr.long_running_cells(_long(s, sf)),
+   "JobName:s RunStatus:s Duration:s StartTime:s RunDateText:s",
+   f"SELECT JobName, RunStatus, Duration, StartTime, strftime(RunDate, '%Y-%m-%d') AS RunDateText "
+   f"FROM ({_LONG_SQL}) a", _JT)
+
+# ------------------------------------------------------------------ query history (Q)
+_QH = ["query_history"]
+
+
+def _qh(s, sf):
+    return _fx(s, sf, "query_history")
+
+
+_ELAPSED = "((epoch_us(end_time) - epoch_us(start_time)) // 1000000)"
+_q("Q1", lambda s, sf: qh.current_long_queries(_qh(s, sf), AS_OF_EVENTS),
+   "user_name:s database_name:s warehouse_name:s operation:s query:s start_time_text:s status:s duration_s:i",
+   f"SELECT user_name, database_name, warehouse_name, query_type AS operation, query_text AS query, "
+   f"strftime(start_time, '%I:%M:%S %p') AS start_time_text, execution_status AS status, "
+   f"date_diff('second', start_time, {NOW_EV}) AS duration_s FROM query_history "
+   f"WHERE execution_status IN ('RUNNING', 'QUEUED', 'BLOCKED') AND user_name NOT IN ('SNAPLOGIC') "
+   f"AND date_diff('second', start_time, {NOW_EV}) > 120", _QH)
+_q("Q2", lambda s, sf: qh.long_history_hours(_qh(s, sf)),
+   "user_name:s warehouse_name:s query:s start_time:t end_time:t duration_h:i",
+   "SELECT user_name, warehouse_name, query_text AS query, start_time, end_time, "
+   "date_diff('hour', start_time, end_time) AS duration_h FROM query_history "
+   "WHERE date_diff('hour', start_time, end_time) > 1", _QH)
+_q("Q3", lambda s, sf: qh.long_history_text(_qh(s, sf)),
+   "user_name:s warehouse_name:s query:s start_time:t end_time:t duration_text:s",
+   f"SELECT user_name, warehouse_name, query_text AS query, start_time, end_time, "
+   f"CAST({_ELAPSED} // 86400 AS VARCHAR) || 'd ' || CAST(({_ELAPSED} // 3600) % 24 AS VARCHAR) || 'h ' || "
+   f"CAST(({_ELAPSED} // 60) % 60 AS VARCHAR) || 'min ' || CAST({_ELAPSED} % 60 AS VARCHAR) || 'sec' AS duration_text "
+   f"FROM query_history WHERE date_diff('hour', start_time, end_time) > 1", _QH)
+_q("Q4", lambda s, sf: qh.long_history_elapsed(_qh(s, sf)),
+   "user_name:s database_name:s warehouse_name:s operation:s query:s start_time:t status:s end_time:t duration_h:f",
+   "SELECT user_name, database_name, warehouse_name, query_type AS operation, query_text AS query, start_time, "
+   "execution_status AS status, end_time, total_elapsed_time / 3600000 AS duration_h FROM query_history "
+   "WHERE total_elapsed_time > 3600000", _QH)
+
+del AS_OF_LOG
