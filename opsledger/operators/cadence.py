@@ -2,13 +2,15 @@
 
 Plan shape, chosen for a log where one job may own a third of all rows:
 
-* every per-job statistic is an aggregation with map-side partial
-  aggregation (count/sum/max, exact ``percentile`` whose buffer is a
-  value->count map bounded by the 86,400 seconds of a day);
-* the log is reduced once to one row per (job, run date) with its run count
-  (``job_days``); gaps, weekday and day-of-month profiles are computed on that
-  compact table (at most one row per calendar day per job), so no window or
-  shuffle ever sees the raw rows of a hot job;
+* the log is scanned once (``run_profile``): each run emits a few
+  (facet, value) facts and one aggregation with map-side combining counts
+  each distinct (job, facet, value). The compact result is written once to
+  the checkpoint folder (``job_profile``) and every statistic reads it;
+* run days (``job_days``, at most one row per calendar day per job) feed the
+  gap, weekday and day-of-month profiles, so no window or shuffle ever sees
+  the raw rows of a hot job;
+* percentiles are exact, computed from value->count tables whose size is
+  bounded by the value domain (86,400 seconds of a day), not by run count;
 * "most common" picks use ``max(struct(count, tie-break))`` aggregates
   instead of ``row_number`` windows;
 * per-job tables are joined on ``pkg_nm``: one row per key on both sides.
@@ -26,6 +28,8 @@ from opsledger.functions.timeparts import (
     boundary_diff, date_lit, day_abbrev, is_business_day, iso_dow, ntz_lit, ordinal_text,
     seconds_of_day,
 )
+from opsledger.plans.materialize import materialize
+from opsledger.plans.quantiles import mode_from_counts, percentile_from_counts
 from opsledger.sources.tables import EXEC_LOG, check_schema
 
 # Fixed values of the classification (monitoring query): label prefixes that are
@@ -76,14 +80,64 @@ def recent_runs(log: DataFrame, p: CadenceParams) -> DataFrame:
                        is_business_day(run_date).alias("is_business_day")))
 
 
-def job_days(recent: DataFrame) -> DataFrame:
-    """One row per (job, run date) with the number of runs that day (partial-aggregated)."""
-    return (recent.groupBy("pkg_nm", "run_date")
-                  .agg(F.count(F.lit(1)).alias("n_runs"))
-                  .withColumn("is_business_day", is_business_day("run_date")))
+# facet codes of run_profile
+DAY, START, STOP, RUNTIME = 0, 1, 2, 3
 
 
-def job_metrics(recent: DataFrame, days: DataFrame, p: CadenceParams) -> DataFrame:
+def run_profile(recent: DataFrame) -> DataFrame:
+    """Every per-job statistic of the log in ONE scan and ONE shuffle.
+
+    Each run emits up to four ``(facet, v)`` facts: its run day (days since
+    1970), start second of day, stop second of day (when stopped) and run
+    time in seconds (when started and stopped). One aggregation with
+    map-side combining counts each distinct ``(pkg_nm, facet, v)``, so a job
+    with millions of runs shrinks to at most one row per distinct value
+    (91 days, 86,400 seconds) before the shuffle.
+    """
+    facts = F.filter(F.array(
+        F.struct(F.lit(DAY).alias("facet"),
+                 F.datediff("run_date", F.lit("1970-01-01").cast("date")).cast("long").alias("v")),
+        F.struct(F.lit(START).alias("facet"), F.col("run_secs").cast("long").alias("v")),
+        F.when(F.col("stop_dt").isNotNull(),
+               F.struct(F.lit(STOP).alias("facet"), F.col("stop_secs").cast("long").alias("v"))),
+        F.when(F.col("stop_dt").isNotNull() & F.col("start_dt").isNotNull(),
+               F.struct(F.lit(RUNTIME).alias("facet"),
+                        boundary_diff("second", "start_dt", "stop_dt").cast("long").alias("v"))),
+    ), lambda x: x.isNotNull())
+    return (recent.select("pkg_nm", F.inline(facts))
+                  .groupBy("pkg_nm", "facet", "v").agg(F.count(F.lit(1)).alias("c")))
+
+
+def job_profile(log: DataFrame, p: CadenceParams) -> DataFrame:
+    """``run_profile`` of the lookback window, written once (several consumers read it)."""
+    return materialize(run_profile(recent_runs(log, p)))
+
+
+def job_days(profile: DataFrame) -> DataFrame:
+    """One row per (job, run date) with its number of runs."""
+    return (profile.where(F.col("facet") == DAY)
+                   .select("pkg_nm", F.date_add(F.lit("1970-01-01").cast("date"), F.col("v").cast("int"))
+                           .alias("run_date"), F.col("c").alias("n_runs"))
+                   .withColumn("is_business_day", is_business_day("run_date")))
+
+
+def job_clock(profile: DataFrame) -> DataFrame:
+    """M4 + M5 + M13 in one pass: P10 start, P90 stop (both rounded) and P90 run time per job."""
+    p = F.when(F.col("facet") == START, F.lit(0.10)).otherwise(F.lit(0.90))
+    pct = percentile_from_counts(profile.where(F.col("facet") != DAY), ["pkg_nm", "facet"], "v", "c", p, "pct")
+    rounded = F.round(F.col("pct")).cast("int")
+    return pct.groupBy("pkg_nm").agg(
+        F.max(F.when(F.col("facet") == START, rounded)).alias("inferred_start_secs"),
+        F.max(F.when(F.col("facet") == STOP, rounded)).alias("inferred_stop_secs"),
+        F.max(F.when(F.col("facet") == RUNTIME, F.col("pct"))).alias("p90_runtime_seconds"))
+
+
+def clock_times(profile: DataFrame) -> DataFrame:
+    """M4 + M5: inferred start (P10 of start seconds) and stop (P90 of stop seconds), rounded."""
+    return job_clock(profile).select("pkg_nm", "inferred_start_secs", "inferred_stop_secs")
+
+
+def job_metrics(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
     """M2 + M3 + M4 + M5: per-job counts, business-day coverage inputs, inferred clock times."""
     by_day = days.groupBy("pkg_nm").agg(
         F.sum("n_runs").alias("total_runs"),
@@ -92,13 +146,8 @@ def job_metrics(recent: DataFrame, days: DataFrame, p: CadenceParams) -> DataFra
         F.sum("is_business_day").alias("business_days_with_runs"),
         F.max("run_date").alias("last_run_date"),
     )
-    clock = recent.groupBy("pkg_nm").agg(
-        F.round(F.percentile("run_secs", 0.10)).cast("int").alias("inferred_start_secs"),
-        F.round(F.percentile(F.when(F.col("stop_dt").isNotNull(), F.col("stop_secs")), 0.90))
-         .cast("int").alias("inferred_stop_secs"),
-    )
     bd = business_days_in_lookback(p.as_of_date, p.lookback_days)
-    return (by_day.join(clock, "pkg_nm")
+    return (by_day.join(clock, "pkg_nm", "left")
                   .withColumn("total_business_days_in_period", F.lit(bd)))
 
 
@@ -119,13 +168,17 @@ def gap_stats(gaps: DataFrame) -> DataFrame:
     Ties of the most common gap resolve to the smallest gap.
     """
     g = F.col("gap_days")
-    return (gaps.where(g.isNotNull()).groupBy("pkg_nm").agg(
+    real = gaps.where(g.isNotNull())
+    stats = real.groupBy("pkg_nm").agg(
         F.avg(g).alias("avg_gap"),
-        F.mode(g, deterministic=True).alias("mode_gap"),
         F.count(F.when(g.between(6, 8), 1)).alias("weekly_pattern_count"),
         F.count(F.when(g.between(28, 31), 1)).alias("monthly_pattern_count"),
         F.count(F.lit(1)).alias("total_gaps"),
-    ))
+    )
+    per_gap = real.groupBy("pkg_nm", "gap_days").agg(F.count(F.lit(1)).alias("cnt"))
+    mode = mode_from_counts(per_gap, ["pkg_nm"], "gap_days", "cnt", "mode_gap")
+    return stats.join(mode, "pkg_nm").select("pkg_nm", "avg_gap", "mode_gap", "weekly_pattern_count",
+                                             "monthly_pattern_count", "total_gaps")
 
 
 def dow_profile(days: DataFrame) -> DataFrame:
@@ -188,22 +241,23 @@ def occurrence_label(rate_days: int = 90, min_business_day_runs: int = 5):
     )
 
 
-def classify_jobs(log: DataFrame, p: CadenceParams) -> DataFrame:
+def classify_jobs(log: DataFrame, p: CadenceParams, profile: DataFrame | None = None,
+                  clock: DataFrame | None = None) -> DataFrame:
     """One row per job with its features and ``occurrence`` label."""
-    recent = recent_runs(log, p)
-    days = job_days(recent)
-    features = job_features(job_metrics(recent, days, p), gap_stats(run_gaps(days)),
+    if profile is None:
+        profile = job_profile(log, p)
+    days = job_days(profile)
+    if clock is None:
+        clock = job_clock(profile)
+    features = job_features(job_metrics(days, clock, p), gap_stats(run_gaps(days)),
                             dow_profile(days), dom_profile(days))
     return features.withColumn("occurrence", occurrence_label(p.rate_days, p.min_business_day_runs))
 
 
-def runtime_p90(log: DataFrame, p: CadenceParams) -> DataFrame:
-    """Exact P90 of run time in seconds (boundary count), runs with start and stop."""
-    check_schema(log, EXEC_LOG, "exec_log")
-    runs = log.where(F.col("stop_dt").isNotNull() & F.col("start_dt").isNotNull()
-                     & (F.col("load_dt") >= ntz_lit(p.cutoff)) & F.col("pkg_nm").isNotNull())
-    return runs.groupBy("pkg_nm").agg(
-        F.percentile(boundary_diff("second", "start_dt", "stop_dt"), 0.90).alias("p90_runtime_seconds"))
+def runtime_p90(clock: DataFrame) -> DataFrame:
+    """Exact P90 of run time in seconds (boundary count) over runs with start and stop."""
+    return (clock.where(F.col("p90_runtime_seconds").isNotNull())
+                 .select("pkg_nm", "p90_runtime_seconds"))
 
 
 def monitored_jobs(classified: DataFrame, p: CadenceParams,

@@ -9,8 +9,9 @@ from opsledger.functions.timeparts import (
     at_clock, date_lit, hms_text, iso_with_offset, ntz_lit, utc_to_local,
 )
 from opsledger.operators.cadence import (
-    CadenceParams, classify_jobs, monitored_jobs, runtime_p90,
+    CadenceParams, classify_jobs, job_clock, job_profile, monitored_jobs, runtime_p90,
 )
+from opsledger.plans.materialize import materialize
 from opsledger.plans.numbering import global_index
 from opsledger.sources.tables import EXEC_LOG, check_schema
 
@@ -98,15 +99,19 @@ def report_order_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("class_rank", rank).withColumn("class_number", number)
 
 
-REPORT_ORDER = [F.col("class_rank").asc(), F.col("class_number").desc_nulls_first(),
-                F.col("expected_start_secs").desc(), F.col("pkg_nm").asc()]
+def report_order():
+    """M20 sort keys (built lazily: columns need an active session)."""
+    return [F.col("class_rank").asc(), F.col("class_number").desc_nulls_first(),
+            F.col("expected_start_secs").desc(), F.col("pkg_nm").asc()]
 
 
 def job_status(log: DataFrame, p: CadenceParams, tz: str = DEFAULT_TZ, **monitor_kw) -> DataFrame:
     """One row per monitored job with status and expected times (unordered)."""
-    expected = monitored_jobs(classify_jobs(log, p), p, **monitor_kw)
+    profile = job_profile(log, p)
+    clock = materialize(job_clock(profile))
+    expected = monitored_jobs(classify_jobs(log, p, profile, clock), p, **monitor_kw)
     today = latest_run_today(log, p).withColumnRenamed("pkg_nm", "t_pkg_nm")
-    runtime = runtime_p90(log, p).withColumnRenamed("pkg_nm", "r_pkg_nm")
+    runtime = runtime_p90(clock).withColumnRenamed("pkg_nm", "r_pkg_nm")
     joined = (expected.join(today, expected["pkg_nm"] == today["t_pkg_nm"], "left")
                       .join(runtime, expected["pkg_nm"] == runtime["r_pkg_nm"], "left"))
     with_status = joined.select("pkg_nm", status_expr(p).alias("status"), "occurrence",
@@ -116,8 +121,9 @@ def job_status(log: DataFrame, p: CadenceParams, tz: str = DEFAULT_TZ, **monitor
 
 def job_status_report(log: DataFrame, p: CadenceParams, tz: str = DEFAULT_TZ, **monitor_kw) -> DataFrame:
     """M20 + M22: status rows with ``report_pos`` (1-based position in the report order)."""
-    keyed = report_order_keys(job_status(log, p, tz, **monitor_kw))
-    return global_index(keyed, REPORT_ORDER, "report_pos")
+    # one row per monitored job, written once: the numbering reads it twice
+    keyed = materialize(report_order_keys(job_status(log, p, tz, **monitor_kw)))
+    return global_index(keyed, report_order(), "report_pos")
 
 
 STATUS_COLUMNS = ["pkg_nm", "status", "occurrence", "expected_start", "expected_completion",

@@ -23,15 +23,28 @@ def _recent(spark, sf):
     return cad.recent_runs(_log(spark, sf), P)
 
 
+def _profile(spark, sf):
+    return cad.job_profile(_log(spark, sf), P)
+
+
+def _clock(spark, sf):
+    return cad.job_clock(_profile(spark, sf))
+
+
 def _days(spark, sf):
-    return cad.job_days(_recent(spark, sf))
+    return cad.job_days(_profile(spark, sf))
+
+
+def _metrics(spark, sf):
+    profile = _profile(spark, sf)
+    return cad.job_metrics(cad.job_days(profile), cad.job_clock(profile), P)
 
 
 def _features(spark, sf):
-    recent = _recent(spark, sf)
-    days = cad.job_days(recent)
-    return cad.job_features(cad.job_metrics(recent, days, P), cad.gap_stats(cad.run_gaps(days)),
-                            cad.dow_profile(days), cad.dom_profile(days))
+    profile = _profile(spark, sf)
+    days = cad.job_days(profile)
+    return cad.job_features(cad.job_metrics(days, cad.job_clock(profile), P),
+                            cad.gap_stats(cad.run_gaps(days)), cad.dow_profile(days), cad.dom_profile(days))
 
 
 def _report(spark, sf):
@@ -53,18 +66,18 @@ def _x(name, build, cols, body, note=""):
 _m("M1", _recent,
    "pkg_nm:s load_dt:t start_dt:t stop_dt:t sts_cd:i run_date:d run_secs:i stop_secs:i day_name:s is_business_day:i",
    "SELECT * FROM m1")
-_m("M2", lambda s, sf: cad.job_metrics(_recent(s, sf), _days(s, sf), P),
+_m("M2", lambda s, sf: _metrics(s, sf),
    "pkg_nm:s total_runs:i distinct_run_days:i business_day_runs:i business_days_with_runs:i last_run_date:d",
    "SELECT * FROM m2")
 _m("M3", lambda s, sf: _features(s, sf),
    "pkg_nm:s business_days_with_runs:i total_business_days_in_period:i business_day_coverage:f",
    "SELECT * FROM m10")
-_m("M4", lambda s, sf: cad.job_metrics(_recent(s, sf), _days(s, sf), P)
+_m("M4", lambda s, sf: _metrics(s, sf)
    .withColumn("inferred_start_time", hms_text("inferred_start_secs")),
    "pkg_nm:s inferred_start_secs:i inferred_start_time:s",
    "SELECT pkg_nm, inferred_start_secs, strftime(TIMESTAMP '2000-01-01 00:00:00' + inferred_start_secs * INTERVAL '1' SECOND, '%H:%M:%S') "
    "AS inferred_start_time FROM m2")
-_m("M5", lambda s, sf: cad.job_metrics(_recent(s, sf), _days(s, sf), P)
+_m("M5", lambda s, sf: _metrics(s, sf)
    .withColumn("inferred_stop_time", hms_text("inferred_stop_secs")),
    "pkg_nm:s inferred_stop_secs:i inferred_stop_time:s",
    "SELECT pkg_nm, inferred_stop_secs, strftime(TIMESTAMP '2000-01-01 00:00:00' + inferred_stop_secs * INTERVAL '1' SECOND, '%H:%M:%S') "
@@ -90,7 +103,7 @@ _m("M12", lambda s, sf: cad.dom_profile(_days(s, sf)).withColumn("dom_ordinal",
    "SELECT pkg_nm, most_common_dom, CASE WHEN most_common_dom IN (11, 12, 13) THEN most_common_dom || 'th' "
    "WHEN most_common_dom % 10 = 1 THEN most_common_dom || 'st' WHEN most_common_dom % 10 = 2 THEN most_common_dom || 'nd' "
    "WHEN most_common_dom % 10 = 3 THEN most_common_dom || 'rd' ELSE most_common_dom || 'th' END AS dom_ordinal FROM m9")
-_m("M13", lambda s, sf: cad.runtime_p90(_log(s, sf), P), "pkg_nm:s p90_runtime_seconds:f", "SELECT * FROM m13")
+_m("M13", lambda s, sf: cad.runtime_p90(_clock(s, sf)), "pkg_nm:s p90_runtime_seconds:f", "SELECT * FROM m13")
 _m("M14", lambda s, sf: cad.monitored_jobs(cad.classify_jobs(_log(s, sf), P), P),
    "pkg_nm:s occurrence:s expected_start_secs:i expected_stop_secs:i", "SELECT * FROM m14")
 _m("M15", lambda s, sf: st.latest_run_today(_log(s, sf), P),
@@ -100,9 +113,11 @@ _m("M16", lambda s, sf: st.job_status(_log(s, sf), P), "pkg_nm:s status:s", "SEL
 
 def _stuck(s, sf):
     log = _log(s, sf)
-    expected = cad.monitored_jobs(cad.classify_jobs(log, P), P)
+    profile = cad.job_profile(log, P)
+    clock = cad.job_clock(profile)
+    expected = cad.monitored_jobs(cad.classify_jobs(log, P, profile, clock), P)
     today = st.latest_run_today(log, P).withColumnRenamed("pkg_nm", "t_pkg_nm")
-    runtime = cad.runtime_p90(log, P).withColumnRenamed("pkg_nm", "r_pkg_nm")
+    runtime = cad.runtime_p90(clock).withColumnRenamed("pkg_nm", "r_pkg_nm")
     j = (expected.join(today, expected["pkg_nm"] == today["t_pkg_nm"])
                  .join(runtime, expected["pkg_nm"] == runtime["r_pkg_nm"], "left")
                  .where((F.col("sts_cd") == 0) & F.col("stop_dt").isNull()))

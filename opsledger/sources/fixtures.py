@@ -23,9 +23,23 @@ EXEC_LOG_ANCHOR = "2024-01-31"
 EXEC_LOG_DAYS = 91
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a small input over the shuffle partitions before it is multiplied.
+
+    The derivations below turn one input row into up to ~1,000 rows; when the
+    input arrives in fewer partitions than the session's parallelism (a single
+    small file), the generation would otherwise run in one task. Inputs that
+    are already split are left alone.
+    """
+    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def exec_log(customer: DataFrame) -> DataFrame:
     """Job execution log ``pkg_nm, load_dt, start_dt, stop_dt, sts_cd`` (one row per run)."""
-    base = customer.select(
+    base = spread(customer.select("c_custkey")).select(
         F.col("c_custkey").alias("k"),
         (F.col("c_custkey") % 10).alias("cls"),
         F.floor(F.col("c_custkey") / 10).cast("int").alias("g"),
