@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,10 @@ def latest_run_today(log: DataFrame, p: CadenceParams) -> DataFrame:
     ``stop_dt`` desc with NULLs last, then the lowest ``sts_cd``.
     """
     check_schema(log, EXEC_LOG, "exec_log")
-    today = date_lit(p.as_of_date)
-    # Catalyst turns this date equality into a pushed range on load_dt
-    runs = log.where((F.to_date("load_dt") == today) & F.col("pkg_nm").isNotNull())
+    # "loaded today" as a half-open range on the raw column, so the scan can skip row groups
+    start = ntz_lit(p.as_of_date)
+    end = ntz_lit(p.as_of_date + _dt.timedelta(days=1))
+    runs = log.where((F.col("load_dt") >= start) & (F.col("load_dt") < end) & F.col("pkg_nm").isNotNull())
     latest = F.max(F.struct(F.col("load_dt"), F.col("start_dt"), F.col("stop_dt"),
                             (-F.col("sts_cd")).alias("neg_sts")))
     return (runs.groupBy("pkg_nm").agg(latest.alias("t"))
