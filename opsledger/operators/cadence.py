@@ -94,18 +94,16 @@ def run_profile(recent: DataFrame) -> DataFrame:
     with millions of runs shrinks to at most one row per distinct value
     (91 days, 86,400 seconds) before the shuffle.
     """
-    facts = F.filter(F.array(
-        F.struct(F.lit(DAY).alias("facet"),
-                 F.datediff("run_date", F.lit("1970-01-01").cast("date")).cast("long").alias("v")),
-        F.struct(F.lit(START).alias("facet"), F.col("run_secs").cast("long").alias("v")),
-        F.when(F.col("stop_dt").isNotNull(),
-               F.struct(F.lit(STOP).alias("facet"), F.col("stop_secs").cast("long").alias("v"))),
-        F.when(F.col("stop_dt").isNotNull() & F.col("start_dt").isNotNull(),
-               F.struct(F.lit(RUNTIME).alias("facet"),
-                        boundary_diff("second", "start_dt", "stop_dt").cast("long").alias("v"))),
-    ), lambda x: x.isNotNull())
-    return (recent.select("pkg_nm", F.inline(facts))
-                  .groupBy("pkg_nm", "facet", "v").agg(F.count(F.lit(1)).alias("c")))
+    per_run = recent.select(
+        "pkg_nm",
+        F.datediff("run_date", F.lit("1970-01-01").cast("date")).cast("long").alias("_day"),
+        F.col("run_secs").cast("long").alias("_start"),
+        F.when(F.col("stop_dt").isNotNull(), F.col("stop_secs").cast("long")).alias("_stop"),
+        F.when(F.col("start_dt").isNotNull(), boundary_diff("second", "start_dt", "stop_dt")).alias("_rt"))
+    facts = per_run.select("pkg_nm", F.expr(
+        f"stack(4, {DAY}, _day, {START}, _start, {STOP}, _stop, {RUNTIME}, _rt) AS (facet, v)"))
+    return (facts.where(F.col("v").isNotNull())
+                 .groupBy("pkg_nm", "facet", "v").agg(F.count(F.lit(1)).alias("c")))
 
 
 def job_profile(log: DataFrame, p: CadenceParams) -> DataFrame:

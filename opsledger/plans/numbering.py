@@ -6,7 +6,9 @@ becomes the whole job. The plans here give the same numbers with the work
 spread evenly:
 
 1. range-partition on the full sort key ``keys + order + remaining columns``
-   into a fixed number of partitions. The partitioner samples the data, so a
+   into a fixed number of partitions (about 128 MiB each by the planner's
+   size estimate, at least ``spark.sql.shuffle.partitions``, at most 65,536
+   so the offset table stays small). The partitioner samples the data, so a
    hot key is cut across many partitions (its order values differ). The
    partition count is explicit, so adaptive execution never merges these
    partitions and the partition index is stable across the jobs of one plan;
@@ -34,10 +36,29 @@ _ORDERABLE = (T.StringType, T.NumericType, T.DateType, T.TimestampType, T.Timest
               T.BooleanType, T.BinaryType)
 
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_PARTITIONS = 1 << 16   # bounds the broadcast offset table
+
+
+def _estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's planning-time size estimate, or None when it is unknown."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate only
+        return None
+    unknown = int(str(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1))).rstrip("b"))
+    return size if 0 < size < unknown else None
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions: ~128 MiB each by the size estimate, at least the shuffle setting."""
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = _estimated_bytes(df)
+    if size is None:
+        return base
+    return max(base, min(MAX_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
 
 
 def _sort_columns(df: DataFrame, keys, order) -> list:
