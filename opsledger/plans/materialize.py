@@ -10,12 +10,22 @@ back by every consumer.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from opsledger.session import ensure_checkpoint_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and return a DataFrame reading it."""
+    """Write ``df`` once to reliable storage and return a DataFrame reading it.
+
+    A reliable checkpoint computes its input twice (the eager count, then the
+    job writing the files) unless the input is persisted; it is persisted only
+    for the duration of the checkpoint and released right after.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
