@@ -261,7 +261,11 @@ def runtime_p90(clock: DataFrame) -> DataFrame:
 def monitored_jobs(classified: DataFrame, p: CadenceParams,
                    prefixes=MONITORED_PREFIXES, excluded_patterns=EXCLUDED_NAME_PATTERNS,
                    excluded_names=EXCLUDED_NAMES) -> DataFrame:
-    """Recurring jobs to watch, with expected start and stop (stop falls back to start)."""
+    """Recurring jobs to watch, with expected start and stop (stop falls back to start).
+
+    The P90 run time of ``job_clock`` rides along (when the input has it), so
+    the status step needs no second pass over the clock table.
+    """
     occ = F.col("occurrence")
     label_ok = F.lit(False)
     for pre in prefixes:
@@ -275,4 +279,5 @@ def monitored_jobs(classified: DataFrame, p: CadenceParams,
                       .select("pkg_nm", "occurrence",
                               F.col("inferred_start_secs").alias("expected_start_secs"),
                               F.coalesce("inferred_stop_secs", "inferred_start_secs")
-                               .alias("expected_stop_secs")))
+                               .alias("expected_stop_secs"),
+                              *(["p90_runtime_seconds"] if "p90_runtime_seconds" in classified.columns else [])))

@@ -11,7 +11,7 @@ from opsledger.functions.timeparts import (
     at_clock, date_lit, hms_text, iso_with_offset, ntz_lit, utc_to_local,
 )
 from opsledger.operators.cadence import (
-    CadenceParams, classify_jobs, job_clock, job_profile, monitored_jobs, runtime_p90,
+    CadenceParams, classify_jobs, job_profile, monitored_jobs,
 )
 from opsledger.plans.materialize import materialize
 from opsledger.plans.numbering import global_index
@@ -110,13 +110,11 @@ def report_order():
 
 def job_status(log: DataFrame, p: CadenceParams, tz: str = DEFAULT_TZ, **monitor_kw) -> DataFrame:
     """One row per monitored job with status and expected times (unordered)."""
-    profile = job_profile(log, p)
-    clock = materialize(job_clock(profile))
-    expected = monitored_jobs(classify_jobs(log, p, profile, clock), p, **monitor_kw)
+    # classification carries each job's P90 run time (job_clock), so the only
+    # other input is today's latest run: one row per job on both join sides
+    expected = monitored_jobs(classify_jobs(log, p, job_profile(log, p)), p, **monitor_kw)
     today = latest_run_today(log, p).withColumnRenamed("pkg_nm", "t_pkg_nm")
-    runtime = runtime_p90(clock).withColumnRenamed("pkg_nm", "r_pkg_nm")
-    joined = (expected.join(today, expected["pkg_nm"] == today["t_pkg_nm"], "left")
-                      .join(runtime, expected["pkg_nm"] == runtime["r_pkg_nm"], "left"))
+    joined = expected.join(today, expected["pkg_nm"] == today["t_pkg_nm"], "left")
     with_status = joined.select("pkg_nm", status_expr(p).alias("status"), "occurrence",
                                 "expected_start_secs", "expected_stop_secs")
     return with_sla_columns(with_status, p, tz)

@@ -113,13 +113,9 @@ _m("M16", lambda s, sf: st.job_status(_log(s, sf), P), "pkg_nm:s status:s", "SEL
 
 def _stuck(s, sf):
     log = _log(s, sf)
-    profile = cad.job_profile(log, P)
-    clock = cad.job_clock(profile)
-    expected = cad.monitored_jobs(cad.classify_jobs(log, P, profile, clock), P)
+    expected = cad.monitored_jobs(cad.classify_jobs(log, P, cad.job_profile(log, P)), P)
     today = st.latest_run_today(log, P).withColumnRenamed("pkg_nm", "t_pkg_nm")
-    runtime = cad.runtime_p90(clock).withColumnRenamed("pkg_nm", "r_pkg_nm")
     j = (expected.join(today, expected["pkg_nm"] == today["t_pkg_nm"])
-                 .join(runtime, expected["pkg_nm"] == runtime["r_pkg_nm"], "left")
                  .where((F.col("sts_cd") == 0) & F.col("stop_dt").isNull()))
     return j.withColumn("status", st.status_expr(P)).withColumn("is_stuck", F.col("status") == "No data")
 
