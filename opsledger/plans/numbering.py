@@ -6,9 +6,9 @@ becomes the whole job. The plans here give the same numbers with the work
 spread evenly:
 
 1. range-partition on the full sort key ``keys + order + remaining columns``
-   into a fixed number of partitions (about 128 MiB each by the planner's
-   size estimate, at least ``spark.sql.shuffle.partitions``, at most 65,536
-   so the offset table stays small). The partitioner samples the data, so a
+   into a fixed number of partitions (about 64 MiB of input each, by the
+   sizes of the plan's leaf relations; at least ``spark.sql.shuffle.partitions``,
+   at most 65,536 so the offset table stays small). The partitioner samples the data, so a
    hot key is cut across many partitions (its order values differ). The
    partition count is explicit, so adaptive execution never merges these
    partitions and the partition index is stable across the jobs of one plan;
@@ -36,22 +36,33 @@ _ORDERABLE = (T.StringType, T.NumericType, T.DateType, T.TimestampType, T.Timest
               T.BooleanType, T.BinaryType)
 
 
-TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+TARGET_PARTITION_BYTES = 64 * 1024 * 1024      # of input bytes (compressed files)
 MAX_PARTITIONS = 1 << 16   # bounds the broadcast offset table
 
 
 def _estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's planning-time size estimate, or None when it is unknown."""
+    """Input volume of the plan: the summed size estimates of its leaf relations.
+
+    The top-level estimate is not used: without column statistics a join's
+    estimate is the product of its inputs. The leaves (file scans, checkpoints)
+    carry real sizes; None when any of them is unknown.
+    """
+    unknown = int(str(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1))).rstrip("b"))
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+        total = 0
+        while it.hasNext():
+            size = int(str(it.next().stats().sizeInBytes()))
+            if size >= unknown:
+                return None
+            total += size
     except Exception:  # noqa: BLE001 - estimate only
         return None
-    unknown = int(str(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1))).rstrip("b"))
-    return size if 0 < size < unknown else None
+    return total or None
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions: ~128 MiB each by the size estimate, at least the shuffle setting."""
+    """Range partitions: ~64 MiB of input each, at least the shuffle setting."""
     if num_partitions:
         return int(num_partitions)
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
