@@ -105,3 +105,51 @@ def test_sla_breach_and_day_substring_rule(spark):
     assert got["bi"] == ("Waiting", "Waiting")          # Bi-Weekly is never scheduled
     assert got["late"] == ("Waiting", "Waiting")        # start SLA 13:00 UTC not reached at 12:00
     assert got["run"] == ("SLA Breach", "SLA Breach")   # past its stop SLA
+
+
+FEATURES = ("pkg_nm string, total_runs long, distinct_run_days long, business_days_with_runs long, "
+            "business_day_coverage double, weekly_pattern_count long, monthly_pattern_count long, "
+            "total_gaps long, mode_gap int, avg_gap double, unique_days long, most_common_dow string, "
+            "most_common_dom int, dom_cnt long")
+
+
+def _label(spark, **kw):
+    base = dict(pkg_nm="j", total_runs=1, distinct_run_days=1, business_days_with_runs=0,
+                business_day_coverage=0.0, weekly_pattern_count=None, monthly_pattern_count=None,
+                total_gaps=None, mode_gap=None, avg_gap=None, unique_days=1, most_common_dow="Mon",
+                most_common_dom=1, dom_cnt=1)
+    base.update(kw)
+    df = spark.createDataFrame([tuple(base.values())], FEATURES)
+    return df.select(cad.occurrence_label().alias("o")).first().o
+
+
+def test_label_thresholds(spark):
+    assert _label(spark, total_runs=901, distinct_run_days=91) == "Frequent"
+    assert _label(spark, total_runs=900, distinct_run_days=91) == "Daily"        # 900/90 = 10, not > 10
+    assert _label(spark, total_runs=77, distinct_run_days=77) == "Daily"         # 77/90 >= 0.85
+    assert _label(spark, total_runs=76, distinct_run_days=76, total_gaps=75, mode_gap=1,
+                  weekly_pattern_count=0, monthly_pattern_count=0, avg_gap=1.0, unique_days=7) == "Adhoc/New 1st"
+    assert _label(spark, total_runs=136, distinct_run_days=68, unique_days=7, total_gaps=67, mode_gap=1,
+                  weekly_pattern_count=0, monthly_pattern_count=0, avg_gap=1.3) == "Multiple Daily"
+    assert _label(spark, total_runs=135, distinct_run_days=68, unique_days=7, total_gaps=67, mode_gap=1,
+                  weekly_pattern_count=0, monthly_pattern_count=0, avg_gap=1.3).startswith("Adhoc/New")
+    assert _label(spark, total_runs=60, distinct_run_days=60, business_days_with_runs=52,
+                  business_day_coverage=0.8, unique_days=5) == "Mon-Fri"
+    assert _label(spark, total_runs=60, distinct_run_days=60, business_days_with_runs=4,
+                  business_day_coverage=0.8, unique_days=5, total_gaps=59, mode_gap=1,
+                  weekly_pattern_count=0, monthly_pattern_count=0, avg_gap=1.5).startswith("Adhoc/New")
+    # weekly share exactly 0.7
+    assert _label(spark, total_runs=11, distinct_run_days=11, total_gaps=10, weekly_pattern_count=7,
+                  mode_gap=3, monthly_pattern_count=0, unique_days=3, avg_gap=8.0) == "Weekly Mon"
+
+
+def test_label_three_valued_logic(spark):
+    # no gaps: weekly/monthly tests are unknown; 8..15 runs on one weekday still makes Weekly
+    assert _label(spark, total_runs=9, distinct_run_days=1, unique_days=1, most_common_dow="Fri") == "Weekly Fri"
+    # no gaps and 2 runs on one day with dom_cnt 2 -> Monthly via the run-count rule
+    assert _label(spark, total_runs=2, distinct_run_days=1, dom_cnt=2, most_common_dom=22) == "Monthly 22nd"
+    # no gaps, one run -> Quarterly via n <= 3
+    assert _label(spark, total_runs=1, most_common_dom=13) == "Quarterly 13th"
+    # bi-weekly needs mode 13..15 and (gaps >= 2 or runs >= 3)
+    assert _label(spark, total_runs=3, distinct_run_days=3, total_gaps=2, mode_gap=14, avg_gap=14.0,
+                  weekly_pattern_count=0, monthly_pattern_count=0, unique_days=1) == "Bi-Weekly"

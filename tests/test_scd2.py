@@ -94,3 +94,14 @@ def test_inverted_interval_check(spark):
     assert scd2.inverted_intervals(out2).count() == 1
     assert scd2.null_key_count(src2).first().null_keys == 0
     assert out2.where(F.col("hist_id").isNull()).count() == 0
+
+
+def test_each_matching_closed_row_gives_a_new_version(spark):
+    # rule 9: two closed rows ending the day before the new start, no open row
+    hist = spark.createDataFrame([
+        (10, 1, "A", "x", D(2023, 1, 1), D(2023, 12, 31), "N", "UPDATE", 1),
+        (11, 1, "A", "y", D(2023, 6, 1), D(2023, 12, 31), "N", "UPDATE", 2)], SCD_HISTORY)
+    src = _src(spark, [(1, "A", "z", D(2024, 1, 1))])
+    out = scd2.apply_changes(hist, src, D(2024, 1, 31))
+    new = sorted((r.hist_id, r.change_version_id) for r in out.where("curr_flag = 'Y'").collect())
+    assert new == [(12, 2), (13, 3)]
