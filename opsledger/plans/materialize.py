@@ -24,7 +24,10 @@ def materialize(df: DataFrame) -> DataFrame:
     for the duration of the checkpoint and released right after.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # Scans of the written table are never coalesced by adaptive execution, so
+    # write at most one partition per core (narrow: never a shuffle).
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.coalesce(cores).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return held.checkpoint(eager=True)
     finally:

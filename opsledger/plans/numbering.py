@@ -7,7 +7,7 @@ spread evenly:
 
 1. range-partition on the full sort key ``keys + order + remaining columns``
    into a fixed number of partitions (about 64 MiB of input each, by the
-   sizes of the plan's leaf relations; at least ``spark.sql.shuffle.partitions``,
+   sizes of the plan's leaf relations; at least one per core of the cluster,
    at most 65,536 so the offset table stays small). The partitioner samples the data, so a
    hot key is cut across many partitions (its order values differ). The
    partition count is explicit, so adaptive execution never merges these
@@ -62,14 +62,17 @@ def _estimated_bytes(df: DataFrame) -> int | None:
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions: ~64 MiB of input each, at least the shuffle setting."""
+    """Range partitions: ~64 MiB of input each, at least one per core of the cluster.
+
+    Falls back to ``spark.sql.shuffle.partitions`` when the input size is unknown.
+    """
     if num_partitions:
         return int(num_partitions)
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     size = _estimated_bytes(df)
     if size is None:
-        return base
-    return max(base, min(MAX_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(MAX_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
 
 
 def _sort_columns(df: DataFrame, keys, order) -> list:

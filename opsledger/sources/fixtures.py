@@ -24,14 +24,14 @@ EXEC_LOG_DAYS = 91
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small input over the shuffle partitions before it is multiplied.
+    """Round-robin a small input over the cluster's cores before it is multiplied.
 
     The derivations below turn one input row into up to ~1,000 rows; when the
-    input arrives in fewer partitions than the session's parallelism (a single
-    small file), the generation would otherwise run in one task. Inputs that
-    are already split are left alone.
+    input arrives in fewer partitions than there are cores (a single small
+    file), the generation would otherwise run in one task. Inputs that are
+    already split are left alone.
     """
-    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
