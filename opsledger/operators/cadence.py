@@ -130,11 +130,6 @@ def job_clock(profile: DataFrame) -> DataFrame:
         F.max(F.when(F.col("facet") == RUNTIME, F.col("pct"))).alias("p90_runtime_seconds"))
 
 
-def clock_times(profile: DataFrame) -> DataFrame:
-    """M4 + M5: inferred start (P10 of start seconds) and stop (P90 of stop seconds), rounded."""
-    return job_clock(profile).select("pkg_nm", "inferred_start_secs", "inferred_stop_secs")
-
-
 def job_metrics(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
     """M2 + M3 + M4 + M5: per-job counts, business-day coverage inputs, inferred clock times."""
     by_day = days.groupBy("pkg_nm").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsledger.functions.timeparts import (
-    at_clock, date_lit, hms_text, iso_with_offset, ntz_lit, utc_to_local,
+    at_clock, date_lit, iso_with_offset, ntz_lit, utc_to_local,
 )
 from opsledger.operators.cadence import (
     CadenceParams, classify_jobs, job_profile, monitored_jobs,

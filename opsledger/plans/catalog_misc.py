@@ -13,7 +13,7 @@ from opsledger.operators import job_reports as jr
 from opsledger.operators import query_history as qh
 from opsledger.operators import scd2
 from opsledger.plans.oracle import AS_OF_EVENTS as NOW_EV
-from opsledger.plans.registry import AS_OF_EVENTS, AS_OF_LOG, Query, register, spec
+from opsledger.plans.registry import AS_OF_EVENTS, Query, register, spec
 from opsledger.sources import fixtures as fx
 from opsledger.sources.tables import PROVIDED_TABLES, read_table
 
@@ -305,4 +305,3 @@ _q("Q4", lambda s, sf: qh.long_history_elapsed(_qh(s, sf)),
    "execution_status AS status, end_time, total_elapsed_time / 3600000 AS duration_h FROM query_history "
    "WHERE total_elapsed_time > 3600000", _QH)
 
-del AS_OF_LOG
