@@ -105,3 +105,16 @@ def test_each_matching_closed_row_gives_a_new_version(spark):
     out = scd2.apply_changes(hist, src, D(2024, 1, 31))
     new = sorted((r.hist_id, r.change_version_id) for r in out.where("curr_flag = 'Y'").collect())
     assert new == [(12, 2), (13, 3)]
+
+
+def test_history_versions_are_written_side_by_side(spark, tmp_path):
+    from opsledger.sources import sinks
+    base = str(tmp_path / "customer_history")
+    empty = spark.createDataFrame([], SCD_HISTORY)
+    p1 = sinks.write_next_version(scd2.apply_changes(empty, _src(spark, SEED), D(2024, 1, 31)), base)
+    h1 = sinks.read_latest(spark, base)
+    changed = [SEED[0], (2, "Tara Karlston", "Developer", D(2021, 1, 1)), SEED[2], SEED[3]]
+    p2 = sinks.write_next_version(scd2.apply_changes(h1, _src(spark, changed), D(2024, 1, 31)), base)
+    assert p1.endswith("v=1") and p2.endswith("v=2")
+    assert sinks.list_versions(spark, base) == [1, 2]
+    assert spark.read.parquet(p1).count() == 4 and sinks.read_latest(spark, base).count() == 5
