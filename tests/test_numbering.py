@@ -65,3 +65,24 @@ def test_mode_ties_to_smallest(spark):
     df = spark.createDataFrame([("a", 7, 2), ("a", 3, 2), ("a", 9, 1), ("b", 5, 1)], "g string, v int, c long")
     got = {r.g: r.m for r in mode_from_counts(df, ["g"], "v", "c", "m").collect()}
     assert got == {"a": 3, "b": 5}
+
+
+def test_numbering_property(spark):
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+
+    keys = st.one_of(st.none(), st.sampled_from(["a", "b", "hot", "hot", "hot", "z"]))
+    rows = st.lists(st.tuples(keys, st.integers(0, 5)), min_size=1, max_size=300)
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(rows, st.integers(1, 9))
+    def check(data, parts):
+        df = spark.createDataFrame([(k, o, i) for i, (k, o) in enumerate(data)], "k string, o int, id long")
+        got = number_within_groups(df, ["k"], ["o"], "rn", num_partitions=parts)
+        w = Window.partitionBy("k").orderBy(F.col("o").asc_nulls_first(), F.col("id").asc_nulls_first())
+        ref = df.withColumn("rn", F.row_number().over(w))
+        assert sorted((r.id, r.rn) for r in got.collect()) == sorted((r.id, r.rn) for r in ref.collect())
+        gi = global_index(df, [F.col("o").asc(), F.col("id").asc()], "ix", num_partitions=parts)
+        assert sorted(r.ix for r in gi.collect()) == list(range(1, len(data) + 1))
+
+    check()
