@@ -28,7 +28,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = get_session(f"local[{cpus}]", app="opsledger-bench", shuffle_partitions=cpus * 2,
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus * 2)))
+    spark = get_session(f"local[{cpus}]", app="opsledger-bench", shuffle_partitions=partitions,
                         extra_conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     registry = all_queries()
     names = only or HEADLINE
