@@ -86,7 +86,7 @@ def group_sections(rows: DataFrame) -> DataFrame:
     status value, so its final ordering window is tiny.
     """
     sections = rows.groupBy("report_group").agg(
-        F.first("group_rank").alias("group_rank"),
+        F.min("group_rank").alias("group_rank"),
         F.count(F.lit(1)).alias("row_count"),
         F.min("report_pos").alias("first_pos"))
     w = Window.orderBy("group_rank", "first_pos")
