@@ -14,7 +14,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     rows = docs.select(F.struct(*COLUMNS).alias("_doc"), F.col("text").alias("_text"), F.col("source").alias("_source"))
-    return judge(rows, "_text", "_source").filter("kept").select("_doc.*")
+    return judge(rows, ["_doc"], "_text", "_source").filter("kept").select("_doc.*")
 
 
 STAGES = [("quality rules", quality_stage)]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from opsledger.llm.common import SPACE, table
 
 SYMBOLS = "#*$%&|<>"
+STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 NO_HOST = "\x00"
 
 
@@ -108,8 +109,9 @@ def host_verdicts(flagged: DataFrame, host_col: str, names: list[str], reject_ra
     return out.withColumn("host_rejected", F.greatest(*[F.col(f"rate_{r}") for r in names], F.lit(0.0)) > reject_rate)
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", reject_rate: float = 0.9) -> DataFrame:
-    """All columns of ``docs`` plus the statistics, ``base_failed`` and ``kept``.
+def judge(docs: DataFrame, carry: list[str], text_col: str = "text", host_col: str = "source",
+          reject_rate: float = 0.9) -> DataFrame:
+    """Columns ``carry`` of ``docs`` plus the statistics, ``base_failed``, ``host_rejected`` and ``kept``.
 
     The measured rows are written once; the host table is aggregated from them
     and joined back on the host. Where it is not small enough to broadcast, the
@@ -117,7 +119,7 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", rej
     """
     names = list(rules())
     measured = document_stats(docs, text_col).withColumn("_host", F.coalesce(F.col(host_col), F.lit(NO_HOST)))
-    flagged = table(measured.withColumns({f"fail_{r}": c for r, c in rules().items()}), "measured")
+    flagged = table(measured.select(*carry, "_host", *STATS, *[c.alias(f"fail_{r}") for r, c in rules().items()]), "measured")
     verdicts = table(host_verdicts(flagged, "_host", names, reject_rate).select("_host", "host_rejected"), "verdicts")
     out = flagged.join(verdicts, "_host", "left")
     return (out.withColumn("base_failed", F.col("fail_base"))
@@ -127,6 +129,6 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", rej
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The digest of ``op10``: doc_id, n_words, four statistics, base_failed, kept, host_rejected."""
-    judged = judge(docs.select("doc_id", "text", "source").withColumnRenamed("source", "_source"), host_col="_source")
+    judged = judge(docs.select("doc_id", "text", "source"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "host_rejected")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsledger.llm.common import documents
 from opsledger.llm.license_scan import license_scan
+from opsledger.llm.mixing import mixing
+from opsledger.llm.packing import packing
 from opsledger.llm.quality_rules import quality_rules
 from opsledger.llm.sharding import sharding
 
@@ -16,6 +18,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding(documents(spark, sf_dir))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing(documents(spark, sf_dir))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(documents(spark, sf_dir))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
@@ -25,7 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op8_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op5_sharding, op6_mixing, op7_packing, op8_license_scan, op10_quality_rules)}
 
 
 def llm_oracles() -> dict[str, str]:
