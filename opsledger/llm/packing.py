@@ -201,7 +201,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(basis[:, j].astype(int), x) for j, x in enumerate(np.linalg.solve(basis, need)) if x > 1e-9]
 
 
-def solve(histogram: dict[int, int], capacity: int, small: float = 1 / 16, groups: int = 64) -> _Plan:
+def solve(histogram: dict[int, int], capacity: int, small: float = 1 / 3, groups: int = 256) -> _Plan:
     """Pack ``histogram`` (length -> count); all work is on lengths and counts."""
     plan = _Plan(capacity)
     left = {n: c for n, c in histogram.items() if c}
@@ -264,7 +264,7 @@ def solve(histogram: dict[int, int], capacity: int, small: float = 1 / 16, group
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, small: float = 1 / 16, groups: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, small: float = 1 / 3, groups: int = 256) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32, ...) plus sequence_id and offset."""
     pieces = table(pieces.withColumn("_u", F.monotonically_increasing_id()), "pieces")
     # at most ``capacity`` rows

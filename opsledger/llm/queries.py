@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opsledger.llm.common import documents
+from opsledger.llm.language_id import identify
 from opsledger.llm.license_scan import license_scan
+from opsledger.llm.minhash_forest import near_duplicates
 from opsledger.llm.mixing import mixing
 from opsledger.llm.packing import packing
+from opsledger.llm.quality_classifier import classify
 from opsledger.llm.quality_rules import quality_rules
 from opsledger.llm.sharding import sharding
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding(documents(spark, sf_dir))
 
@@ -30,12 +41,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op6_mixing, op7_packing, op8_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules)}
 
 
 def llm_oracles() -> dict[str, str]:
