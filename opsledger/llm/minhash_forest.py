@@ -88,7 +88,7 @@ class Shingler:
             if b - a >= WORDS:
                 out.append(np.unique(spans[a:b - WORDS + 1]))
             elif b > a:
-                out.append(_mix((h[a:b] * self.place[:b - a]).sum(keepdims=True) + np.uint64(b - a) * ODD))
+                out.append(_mix((h[a:b] * self.place[:b - a]).sum(keepdims=True) + np.full(1, b - a, dtype=np.uint64) * ODD))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
         return out

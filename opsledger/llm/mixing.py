@@ -23,7 +23,7 @@ place in the hashed order.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsledger.llm.common import running, table, word_count
@@ -71,15 +71,16 @@ def splitting_tree(draws: list[int], shards: int, seed: int) -> np.ndarray:
 
 def plan_mix(docs: DataFrame, shards: int = 8, blocks: int = 512, most: float = 3.0, seed: int = 7,
              max_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(rows, draws): rows are ``docs`` with size, _s, _block, source_size, target; draws are (_s, _block, copy, shard).
+    """(rows, draws): rows are (doc_id, _key, size, _s, _block, source_size, target); draws are (_s, _block, copy, shard).
 
-    ``docs`` needs doc_id, text and source; further columns stay.
+    ``docs`` needs doc_id, text and source; texts are only measured here.
     """
     spark = docs.sparkSession
     # a source's key: its name behind a mark, nothing for null
-    sized = docs.withColumns({
-        "size": word_count(F.col("text")), "_s": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
-        "_h": F.xxhash64(F.lit(seed), "doc_id"), "_u": F.monotonically_increasing_id()})
+    sized = docs.select(
+        "doc_id", _row_key(docs).alias("_key"), word_count(F.col("text")).alias("size"),
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_s"),
+        F.xxhash64(F.lit(seed), "doc_id").alias("_h"), F.monotonically_increasing_id().alias("_u"))
     sized = table(sized, "sized")
     found = sized.groupBy("_s").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
@@ -90,9 +91,9 @@ def plan_mix(docs: DataFrame, shards: int = 8, blocks: int = 512, most: float =
     known = F.broadcast(spark.createDataFrame(
         [(s, n, t, max(1, -(-n // blocks))) for (s, n), t in zip(sources, targets)],
         "_s string, source_size long, target double, _words long"))
-    placed = running(sized, ["_h", "doc_id", "size", "_u"], ["size"], ["_s"])
+    placed = running(sized, ["_h", "doc_id", "_key", "_u"], ["size"], ["_s"])
     rows = table(placed.join(known, "_s").withColumn("_block", F.floor(F.col("size_before") / F.col("_words")).cast("long"))
-                 .drop("_h", "_u", "size_before", "row_before", "_words"), "blocks")
+                 .select("doc_id", "_key", "size", "_s", "_block", "source_size", "target"), "blocks")
     # at most ``blocks`` + 1 rows per source from here on
     permuted = Window.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed + 1), "_s", "_block"), "_block")
     whole = Window.partitionBy("_s")
@@ -121,12 +122,24 @@ def plan_mix(docs: DataFrame, shards: int = 8, blocks: int = 512, most: float =
     return rows, table(draws, "draws")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def mix(docs: DataFrame, shards: int = 8, seed: int = 7, **options) -> DataFrame:
-    """The drawn rows: every column of ``docs`` plus copy, shard and place_hash, in shuffled order within shards."""
+    """The drawn rows: every column of ``docs`` plus copy, shard and place_hash.
+
+    Texts are shuffled once, by a hash of the row, so every partition holds a
+    random part of every shard; it is then put into the shards' hashed order.
+    Equal rows are told apart by a number, which is all that they differ by.
+    """
     rows, draws = plan_mix(docs, shards, seed=seed, **options)
-    out = (rows.drop("source_size", "target", "size").join(draws, ["_s", "_block"])
-           .withColumn("place_hash", F.xxhash64(F.lit(seed + 2), "doc_id", "copy")).drop("_s", "_block"))
-    return out.repartitionByRange("shard", "place_hash").sortWithinPartitions("shard", "place_hash")
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    drawn = rows.withColumn("_i", number).join(draws, ["_s", "_block"]).select("_key", "_i", "copy", "shard")
+    names = docs.columns
+    whole = docs.select(_row_key(docs).alias("_key"), F.struct(*names).alias("_doc")).withColumn("_i", number)
+    out = whole.join(drawn, ["_key", "_i"]).select("_doc.*", "copy", "shard", F.xxhash64(F.lit(seed + 2), "_key", "copy").alias("place_hash"))
+    return out.sortWithinPartitions("shard", "place_hash")
 
 
 def mixing(docs: DataFrame) -> DataFrame:
