@@ -97,5 +97,11 @@ def crc_fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n
 
 
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts travel to Python in batches of ``rows``, so that a batch stays at some megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -34,7 +34,7 @@ from opsledger.llm.common import crc_fold, table
 ORDER, GAP = 4, 3
 BOUNDARY, BLANK = 1, 32
 EDGE = "￿" * GAP
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def folding() -> np.ndarray:
@@ -89,17 +89,26 @@ def chunks(texts: list[str]):
 
 def count_grams(rows: DataFrame) -> DataFrame:
     """(lang, gram, n) over ``rows`` (lang, text): sums per task, then per gram."""
+    def merged(parts):
+        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
     def count(batches):
-        fold = folding()
+        fold, held = folding(), {}
         for batch in batches:
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                parts = [np.unique(grams(texts[a:b], fold)[0], return_counts=True) for a, b in chunks(texts)]
-                keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)],
+                parts = held.setdefault(lang, [])
+                parts += [np.unique(grams(texts[a:b], fold)[0], return_counts=True) for a, b in chunks(texts)]
+                if len(parts) > 16:
+                    held[lang] = [merged(parts)]
+        for lang, parts in held.items():
+            keys, n = merged(parts)
+            for lo in range(0, len(keys), CHUNK):
+                k = keys[lo:lo + CHUNK].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n[lo:lo + CHUNK])],
                                                  ["lang", "gram", "n"])
 
     return (rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")

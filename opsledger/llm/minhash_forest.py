@@ -34,7 +34,7 @@ from opsledger.llm.common import table
 from opsledger.llm.components import components
 
 WORDS = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -15,12 +15,17 @@ from opsledger.llm.packing import packing
 from opsledger.llm.quality_classifier import classify
 from opsledger.llm.quality_rules import quality_rules
 from opsledger.llm.sharding import sharding
+from opsledger.llm.suffix_dedup import dedup
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(documents(spark, sf_dir))
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules)}
 
 
 def llm_oracles() -> dict[str, str]:
