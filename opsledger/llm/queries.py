@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opsledger.llm.common import documents
+from opsledger.llm.graph_search import nearest
 from opsledger.llm.language_id import identify
 from opsledger.llm.license_scan import license_scan
 from opsledger.llm.minhash_forest import near_duplicates
@@ -26,6 +27,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir))
 
 
+def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_graph_search, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules)}
 
 
 def llm_oracles() -> dict[str, str]:

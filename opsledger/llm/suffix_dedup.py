@@ -150,18 +150,22 @@ def phrase_rows(docs: DataFrame, length: int, trigger: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(parse, f"tau long, phrase long, doc_id {id_field}, at int, shape int")
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """(doc_id, z): texts as compressed bytes, so that joins on doc_id move less."""
-    id_field = docs.schema["doc_id"].dataType.simpleString()
+def squeezed(docs: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
+    """(doc_id, z, carry): texts as compressed bytes, so that joins on doc_id move less."""
+    schema = docs.select("doc_id").schema.add("z", "binary")
+    for c in carry:
+        schema = schema.add(docs.schema[c])
+    names = ["doc_id", "z", *carry]
 
     def squeeze(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t) for t in _texts(batch.column(1))], pa.binary())], ["doc_id", "z"])
+            z = pa.array([pack(t) for t in _texts(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z, *batch.columns[2:]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(squeeze, f"doc_id {id_field}, z binary")
+    return docs.select("doc_id", "text", *carry).mapInArrow(squeeze, schema)
 
 
 def phrase_texts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -310,14 +314,21 @@ def repeats(docs: DataFrame, texts: DataFrame, length: int = LENGTH, trigger: in
     return out.unionByName(late.select("doc_id", "at", "windows"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text.
+def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, with_text: bool = False,
+          carry: list[str] | tuple = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns ``carry`` and, if asked for, the kept text.
 
     A cut inside a character drops what is left of that character's bytes
     from ``text``; the hash is of the bytes as they are left.
     """
-    docs = docs.select("doc_id", "text")
-    id_field = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", *carry)
+    schema = docs.select("doc_id").schema
+    for c in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(c, "long")
+    schema = schema.add("kept_sha256", "string")
+    schema = schema.add("text", "string") if with_text else schema
+    for c in carry:
+        schema = schema.add(docs.schema[c])
     texts = squeezed(docs)
     known = docs.filter(F.col("doc_id").isNotNull())
     runs = repeats(known, texts, length, trigger).groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
@@ -349,7 +360,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, with_te
                     out["text"].append(text.decode("utf-8", "ignore"))
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[c], k) for c, k in zip(names, kinds)]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[c], k) for c, k in zip(names, kinds)], *batch.columns[3:]],
+                                              ["doc_id", *names, *carry])
 
-    return texts.join(runs, "doc_id", "left").select("doc_id", "z", "runs").mapInArrow(
-        cut, f"doc_id {id_field}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
+    return squeezed(docs, carry).join(runs, "doc_id", "left").select("doc_id", "z", "runs", *carry).mapInArrow(cut, schema)
