@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates; of rows of one doc_id the first by text."""
+    """One document, the smallest doc_id, of each group of near duplicates; rows of one doc_id stay or go together."""
     prepare(spark)
     dropped = table(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
