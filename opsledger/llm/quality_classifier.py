@@ -111,6 +111,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8192, bits: int =
             rows = [features(t.as_py(), bits, orders, seen).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["label", "x", "key"])
 
+    def model_of(rows, label):
+        w, bias, a, b = fit(rows, np.array(label, dtype=int), bits)
+        return np.concatenate([w, [bias, a, b]])
+
     def learn(batches):
         rows, label = [], []
         for batch in batches:
@@ -122,7 +126,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8192, bits: int =
     train = (docs.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("key"))
              .mapInArrow(vectors, "label int, x binary, key long"))
     # the bounded sample is fitted in one task
-    model = np.frombuffer(train.orderBy("key").coalesce(1).mapInArrow(learn, "model binary").collect()[0][0])
+    found = train.orderBy("key").coalesce(1).mapInArrow(learn, "model binary").collect()
+    model = np.frombuffer(found[0][0]) if found else model_of([], [])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
