@@ -2,15 +2,12 @@
 
 Plan shape, chosen for a log where one job may own a third of all rows:
 
-* the log is scanned once (``run_profile``): each run emits a few
-  (facet, value) facts and one aggregation with map-side combining counts
-  each distinct (job, facet, value). The compact result is written once to
-  the checkpoint folder (``job_profile``) and every statistic reads it;
-* run days (``job_days``, at most one row per calendar day per job) feed the
+* the 90-day slice is read by two aggregations with map-side combining, with
+  the time bound and the columns pushed into the scan: runs per (job, day) and
+  the percentiles of each job. Nothing is written in between;
+* the (job, day) counts, at most one row per calendar day per job, feed the
   gap, weekday and day-of-month profiles, so no window or shuffle ever sees
   the raw rows of a hot job;
-* percentiles are exact, computed from value->count tables whose size is
-  bounded by the value domain (86,400 seconds of a day), not by run count;
 * "most common" picks use ``max(struct(count, tie-break))`` aggregates
   instead of ``row_number`` windows;
 * per-job tables are joined on ``pkg_nm``: one row per key on both sides.
@@ -28,8 +25,7 @@ from opsledger.functions.timeparts import (
     boundary_diff, date_lit, day_abbrev, is_business_day, iso_dow, ntz_lit, ordinal_text,
     seconds_of_day,
 )
-from opsledger.plans.materialize import materialize
-from opsledger.plans.quantiles import mode_from_counts, percentile_from_counts
+from opsledger.plans.quantiles import mode_from_counts
 from opsledger.sources.tables import EXEC_LOG, check_schema
 
 # Fixed values of the classification (monitoring query): label prefixes that are
@@ -80,54 +76,25 @@ def recent_runs(log: DataFrame, p: CadenceParams) -> DataFrame:
                        is_business_day(run_date).alias("is_business_day")))
 
 
-# facet codes of run_profile
-DAY, START, STOP, RUNTIME = 0, 1, 2, 3
+def job_days(recent: DataFrame) -> DataFrame:
+    """One row per (job, run date) with its number of runs."""
+    days = recent.groupBy("pkg_nm", "run_date").agg(F.count(F.lit(1)).alias("n_runs"))
+    return days.withColumn("is_business_day", is_business_day("run_date"))
 
 
-def run_profile(recent: DataFrame) -> DataFrame:
-    """Every per-job statistic of the log in ONE scan and ONE shuffle.
+def job_clock(recent: DataFrame) -> DataFrame:
+    """M4 + M5 + M13: exact P10 start, P90 stop (both rounded) and P90 run time per job.
 
-    Each run emits up to four ``(facet, v)`` facts: its run day (days since
-    1970), start second of day, stop second of day (when stopped) and run
-    time in seconds (when started and stopped). One aggregation with
-    map-side combining counts each distinct ``(pkg_nm, facet, v)``, so a job
-    with millions of runs shrinks to at most one row per distinct value
-    (91 days, 86,400 seconds) before the shuffle.
+    ``percentile`` keeps value -> count per job and is merged map-side, so a
+    job's state is bounded by the 86,400 seconds of a day for the clock times
+    and by its distinct whole-second run times.
     """
-    per_run = recent.select(
-        "pkg_nm",
-        F.datediff("run_date", F.lit("1970-01-01").cast("date")).cast("long").alias("_day"),
-        F.col("run_secs").cast("long").alias("_start"),
-        F.when(F.col("stop_dt").isNotNull(), F.col("stop_secs").cast("long")).alias("_stop"),
-        F.when(F.col("start_dt").isNotNull(), boundary_diff("second", "start_dt", "stop_dt")).alias("_rt"))
-    facts = per_run.select("pkg_nm", F.expr(
-        f"stack(4, {DAY}, _day, {START}, _start, {STOP}, _stop, {RUNTIME}, _rt) AS (facet, v)"))
-    return (facts.where(F.col("v").isNotNull())
-                 .groupBy("pkg_nm", "facet", "v").agg(F.count(F.lit(1)).alias("c")))
-
-
-def job_profile(log: DataFrame, p: CadenceParams) -> DataFrame:
-    """``run_profile`` of the lookback window, written once (several consumers read it)."""
-    return materialize(run_profile(recent_runs(log, p)))
-
-
-def job_days(profile: DataFrame) -> DataFrame:
-    """One row per (job, run date) with its number of runs."""
-    return (profile.where(F.col("facet") == DAY)
-                   .select("pkg_nm", F.date_add(F.lit("1970-01-01").cast("date"), F.col("v").cast("int"))
-                           .alias("run_date"), F.col("c").alias("n_runs"))
-                   .withColumn("is_business_day", is_business_day("run_date")))
-
-
-def job_clock(profile: DataFrame) -> DataFrame:
-    """M4 + M5 + M13 in one pass: P10 start, P90 stop (both rounded) and P90 run time per job."""
-    p = F.when(F.col("facet") == START, F.lit(0.10)).otherwise(F.lit(0.90))
-    pct = percentile_from_counts(profile.where(F.col("facet") != DAY), ["pkg_nm", "facet"], "v", "c", p, "pct")
-    rounded = F.round(F.col("pct")).cast("int")
-    return pct.groupBy("pkg_nm").agg(
-        F.max(F.when(F.col("facet") == START, rounded)).alias("inferred_start_secs"),
-        F.max(F.when(F.col("facet") == STOP, rounded)).alias("inferred_stop_secs"),
-        F.max(F.when(F.col("facet") == RUNTIME, F.col("pct"))).alias("p90_runtime_seconds"))
+    stopped = F.when(F.col("stop_dt").isNotNull(), F.col("stop_secs"))
+    runtime = F.when(F.col("start_dt").isNotNull(), boundary_diff("second", "start_dt", "stop_dt"))
+    return recent.groupBy("pkg_nm").agg(
+        F.round(F.percentile("run_secs", F.lit(0.10))).cast("int").alias("inferred_start_secs"),
+        F.round(F.percentile(stopped, F.lit(0.90))).cast("int").alias("inferred_stop_secs"),
+        F.percentile(runtime, F.lit(0.90)).alias("p90_runtime_seconds"))
 
 
 def job_metrics(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
@@ -234,15 +201,11 @@ def occurrence_label(rate_days: int = 90, min_business_day_runs: int = 5):
     )
 
 
-def classify_jobs(log: DataFrame, p: CadenceParams, profile: DataFrame | None = None,
-                  clock: DataFrame | None = None) -> DataFrame:
+def classify_jobs(log: DataFrame, p: CadenceParams) -> DataFrame:
     """One row per job with its features and ``occurrence`` label."""
-    if profile is None:
-        profile = job_profile(log, p)
-    days = job_days(profile)
-    if clock is None:
-        clock = job_clock(profile)
-    features = job_features(job_metrics(days, clock, p), gap_stats(run_gaps(days)),
+    recent = recent_runs(log, p)
+    days = job_days(recent)
+    features = job_features(job_metrics(days, job_clock(recent), p), gap_stats(run_gaps(days)),
                             dow_profile(days), dom_profile(days))
     return features.withColumn("occurrence", occurrence_label(p.rate_days, p.min_business_day_runs))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from opsledger.functions.timeparts import ntz_lit
 from opsledger.operators.cadence import CadenceParams
+from opsledger.operators.status import report_order, report_order_keys
+from opsledger.plans.materialize import written
 from opsledger.plans.numbering import global_index
 
 # Fixed values of the report: group ranks and the display class of each status.
@@ -16,7 +18,8 @@ GROUP_RANK = (("Failed", 1), ("SLA Breach", 2), ("Running", 3), ("Completed", 4)
 OTHER_GROUP_RANK = 6
 STATUS_CLASS = (("Waiting", "Waiting"), ("Running", "Running"), ("Completed", "Completed"),
                 ("Failed", "Failed"), ("No data", "Failed-Stuck"))
-WEEKDAY_LIST = "Mon Tue Wed Thu Fri"
+WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri")
+DAY_NUMBER_CLASSES = ("Monthly", "Quarterly", "Adhoc/New")
 
 
 def scheduled_today(exact_day: bool = False):
@@ -31,16 +34,12 @@ def scheduled_today(exact_day: bool = False):
     sla_date = F.to_date(F.substring(F.col("expected_start_sla_dt"), 1, 10))
     day3 = F.date_format(sla_date, "EEE")
     dom = F.dayofmonth(sla_date).cast("string")
-    if exact_day:
-        has_day = F.regexp_replace(occ, "[^0-9]", "") == dom
-    else:
-        has_day = occ.contains(dom)
-    return (occ.startswith("Daily")
-            | (occ.startswith("Weekly") & occ.contains(day3))
-            | (occ.startswith("Monthly") & has_day)
-            | ((occ == "Mon-Fri") & F.lit(WEEKDAY_LIST).contains(day3))
-            | (occ.startswith("Quarterly") & has_day)
-            | (occ.startswith("Adhoc/New") & has_day))
+    numbered = occ.rlike("^(" + "|".join(DAY_NUMBER_CLASSES) + ")")
+    has_day = (F.regexp_replace(occ, "[^0-9]", "") == dom) if exact_day else occ.contains(dom)
+    return (F.when(numbered, has_day)
+             .when(occ == "Mon-Fri", day3.isin(*WEEKDAYS))
+             .when(occ.startswith("Weekly"), occ.contains(day3))
+             .otherwise(occ.startswith("Daily")))
 
 
 def report_group(as_of: _dt.datetime, exact_day: bool = False):
@@ -69,9 +68,9 @@ def display_class():
     return F.when(F.col("report_group") == "SLA Breach", F.lit("SLA-Breach")).otherwise(out)
 
 
-def grouped_rows(status_report: DataFrame, p: CadenceParams, exact_day: bool = False) -> DataFrame:
-    """X1 + X2 + X4 on the M20-ordered status rows (needs ``report_pos``)."""
-    return (status_report
+def grouped_rows(status: DataFrame, p: CadenceParams, exact_day: bool = False) -> DataFrame:
+    """X1 + X2 + X4 on the status rows, with the M20 order keys; no order is made here."""
+    return (report_order_keys(status)
             .withColumn("scheduled_today", scheduled_today(exact_day))
             .withColumn("report_group", report_group(p.as_of, exact_day))
             .withColumn("group_rank", group_rank())
@@ -82,20 +81,23 @@ def group_sections(rows: DataFrame) -> DataFrame:
     """One row per group: rank, row count, and section position.
 
     Groups of equal rank (the "other" statuses) come in order of first
-    appearance in the report. The section table has at most one row per
-    status value, so its final ordering window is tiny.
+    appearance in the report, that is by their smallest M20 key. The section
+    table has at most one row per status value, so its final ordering window
+    is tiny.
     """
+    # the M20 order as one ascending key: descending numbers negated, their NULLs first
+    first = F.struct("class_rank", (-F.col("class_number")).alias("n"), (-F.col("expected_start_secs")).alias("s"), "pkg_nm")
     sections = rows.groupBy("report_group").agg(
         F.min("group_rank").alias("group_rank"),
         F.count(F.lit(1)).alias("row_count"),
-        F.min("report_pos").alias("first_pos"))
-    w = Window.orderBy("group_rank", "first_pos")
-    return sections.withColumn("section_pos", F.row_number().over(w)).drop("first_pos")
+        F.min(first).alias("first_key"))
+    w = Window.orderBy("group_rank", "first_key")
+    return sections.withColumn("section_pos", F.row_number().over(w)).drop("first_key")
 
 
 def report_rows(rows: DataFrame) -> DataFrame:
-    """Rows in report order: by group rank, then the M20 position."""
-    ordered = global_index(rows, [F.col("group_rank").asc(), F.col("report_pos").asc()], "row_pos")
+    """Rows in report order: by group rank, then the M20 keys, in one numbering."""
+    ordered = global_index(written(rows, "report"), [F.col("group_rank").asc(), *report_order()], "row_pos")
     return ordered.select("row_pos", "group_rank", "report_group",
                           F.col("pkg_nm").alias("pipeline_name"), "occurrence", "status", "status_class",
                           F.col("expected_start").alias("starts_at"),

@@ -11,9 +11,9 @@ from opsledger.functions.timeparts import (
     at_clock, date_lit, iso_with_offset, ntz_lit, utc_to_local,
 )
 from opsledger.operators.cadence import (
-    CadenceParams, classify_jobs, job_profile, monitored_jobs,
+    CadenceParams, classify_jobs, monitored_jobs,
 )
-from opsledger.plans.materialize import materialize
+from opsledger.plans.materialize import written
 from opsledger.plans.numbering import global_index
 from opsledger.sources.tables import EXEC_LOG, check_schema
 
@@ -112,7 +112,7 @@ def job_status(log: DataFrame, p: CadenceParams, tz: str = DEFAULT_TZ, **monitor
     """One row per monitored job with status and expected times (unordered)."""
     # classification carries each job's P90 run time (job_clock), so the only
     # other input is today's latest run: one row per job on both join sides
-    expected = monitored_jobs(classify_jobs(log, p, job_profile(log, p)), p, **monitor_kw)
+    expected = monitored_jobs(classify_jobs(log, p), p, **monitor_kw)
     today = latest_run_today(log, p).withColumnRenamed("pkg_nm", "t_pkg_nm")
     joined = expected.join(today, expected["pkg_nm"] == today["t_pkg_nm"], "left")
     with_status = joined.select("pkg_nm", status_expr(p).alias("status"), "occurrence",
@@ -122,8 +122,8 @@ def job_status(log: DataFrame, p: CadenceParams, tz: str = DEFAULT_TZ, **monitor
 
 def job_status_report(log: DataFrame, p: CadenceParams, tz: str = DEFAULT_TZ, **monitor_kw) -> DataFrame:
     """M20 + M22: status rows with ``report_pos`` (1-based position in the report order)."""
-    # one row per monitored job, written once: the numbering reads it twice
-    keyed = materialize(report_order_keys(job_status(log, p, tz, **monitor_kw)))
+    # one row per monitored job; written, as the range partitioning reads its input twice
+    keyed = written(report_order_keys(job_status(log, p, tz, **monitor_kw)), "status")
     return global_index(keyed, report_order(), "report_pos")
 
 

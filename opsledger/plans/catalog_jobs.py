@@ -23,28 +23,22 @@ def _recent(spark, sf):
     return cad.recent_runs(_log(spark, sf), P)
 
 
-def _profile(spark, sf):
-    return cad.job_profile(_log(spark, sf), P)
-
-
 def _clock(spark, sf):
-    return cad.job_clock(_profile(spark, sf))
+    return cad.job_clock(_recent(spark, sf))
 
 
 def _days(spark, sf):
-    return cad.job_days(_profile(spark, sf))
+    return cad.job_days(_recent(spark, sf))
 
 
 def _metrics(spark, sf):
-    profile = _profile(spark, sf)
-    return cad.job_metrics(cad.job_days(profile), cad.job_clock(profile), P)
+    recent = _recent(spark, sf)
+    return cad.job_metrics(cad.job_days(recent), cad.job_clock(recent), P)
 
 
 def _features(spark, sf):
-    profile = _profile(spark, sf)
-    days = cad.job_days(profile)
-    return cad.job_features(cad.job_metrics(days, cad.job_clock(profile), P),
-                            cad.gap_stats(cad.run_gaps(days)), cad.dow_profile(days), cad.dom_profile(days))
+    days = _days(spark, sf)
+    return cad.job_features(_metrics(spark, sf), cad.gap_stats(cad.run_gaps(days)), cad.dow_profile(days), cad.dom_profile(days))
 
 
 def _report(spark, sf):
@@ -52,7 +46,7 @@ def _report(spark, sf):
 
 
 def _grouped(spark, sf):
-    return sla.grouped_rows(_report(spark, sf), P)
+    return sla.grouped_rows(st.job_status(_log(spark, sf), P), P)
 
 
 def _m(name, build, cols, body, note=""):
@@ -113,7 +107,7 @@ _m("M16", lambda s, sf: st.job_status(_log(s, sf), P), "pkg_nm:s status:s", "SEL
 
 def _stuck(s, sf):
     log = _log(s, sf)
-    expected = cad.monitored_jobs(cad.classify_jobs(log, P, cad.job_profile(log, P)), P)
+    expected = cad.monitored_jobs(cad.classify_jobs(log, P), P)
     today = st.latest_run_today(log, P).withColumnRenamed("pkg_nm", "t_pkg_nm")
     j = (expected.join(today, expected["pkg_nm"] == today["t_pkg_nm"])
                  .where((F.col("sts_cd") == 0) & F.col("stop_dt").isNull()))

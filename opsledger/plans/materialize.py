@@ -1,34 +1,22 @@
-"""Cutting lineage for intermediates read by several branches of one plan.
+"""Intermediates that several steps of one plan read.
 
-Catalyst prunes columns per consumer, so two branches that start from the
-same aggregate rarely share its exchange and the input would be scanned
-once per branch. Intermediates with several consumers are therefore written
-once with a reliable ``checkpoint()`` into the session's checkpoint folder
-(``spark.checkpoint.dir`` on a cluster; it survives executor loss) and read
-back by every consumer.
+They are written once as Parquet to the session's shared folder
+(``spark.checkpoint.dir``), which survives lost executors, cuts the lineage
+and gives the planner their true size.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame
 
 from opsledger.session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and return a DataFrame reading it.
-
-    A reliable checkpoint computes its input twice (the eager count, then the
-    job writing the files) unless the input is persisted; it is persisted only
-    for the duration of the checkpoint and released right after.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    # Scans of the written table are never coalesced by adaptive execution, so
-    # write at most one partition per core (narrow: never a shuffle).
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    held = df.coalesce(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return held.checkpoint(eager=True)
-    finally:
-        held.unpersist()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` now and return a DataFrame that reads it."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

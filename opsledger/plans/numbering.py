@@ -1,180 +1,106 @@
 """Exact row numbering that does not send a hot key to a single task.
 
 ``row_number() OVER (PARTITION BY keys ORDER BY order)`` puts every row of a
-key into one task. When one key owns a large share of the table that task
-becomes the whole job. The plans here give the same numbers with the work
-spread evenly:
-
-1. range-partition on the full sort key ``keys + order + remaining columns``
-   into a fixed number of partitions (about 64 MiB of input each, by the
-   sizes of the plan's leaf relations; at least one per core of the cluster,
-   at most 65,536 so the offset table stays small). The partitioner samples the data, so a
-   hot key is cut across many partitions (its order values differ). The
-   partition count is explicit, so adaptive execution never merges these
-   partitions and the partition index is stable across the jobs of one plan;
-2. number rows inside each sorted partition (``local``);
-3. one small table with one row per partition (first key, last key, rows of
-   the last key) gives each partition the count of its first key's rows in
-   earlier partitions. That table is bounded by the partition count, not by
-   the data, so broadcasting it is safe;
-4. final number = local number + offset (only for the partition's first key).
-
-All three uses of the sorted data read the same range exchange, which the
-planner reuses, so the table is scanned and shuffled once.
+key into one task. Here the rows are range-partitioned on the full sort order,
+so a hot key is cut across many partitions, and written once to the session's
+shared folder together with their partition number. Every later step reads
+that table, so all of them see the same partitions:
+
+- ``global_index`` adds the rows of earlier partitions to a row's place in its
+  partition;
+- ``number_within_groups`` numbers each (partition, key) by itself and adds,
+  for the key a partition starts with, that key's rows in earlier partitions.
+
+Keys enter the sort as a 128-bit hash. Rows that the order leaves equal are
+told apart by their remaining numbers, dates and flags and then by one 64-bit
+hash of all remaining columns, so the sampled bounds and the broadcast table
+hold numbers and order values, never whole texts. The broadcast table has one
+row of a few numbers per partition. The partition count is
+``spark.sql.shuffle.partitions`` as adaptive execution coalesces it.
+Everything is built-in functions; no Python workers.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PID, _LRN = "_nb_pid", "_nb_lrn"
+from opsledger.plans.materialize import written
 
-_ORDERABLE = (T.StringType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType,
-              T.BooleanType, T.BinaryType)
+_PID, _POS, _TIE, _KEY = "_nb_pid", "_nb_pos", "_nb_tie", ("_nb_key1", "_nb_key2")
 
 
-TARGET_PARTITION_BYTES = 64 * 1024 * 1024      # of input bytes (compressed files)
-MAX_PARTITIONS = 1 << 16   # bounds the broadcast offset table
+#: Types of a few bytes, which break ties by their value; other columns do by hash.
+_SHORT = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    """Input volume of the plan: the summed size estimates of its leaf relations.
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.MapType):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_holds_map(f.dataType) for f in kind.fields)
 
-    The top-level estimate is not used: without column statistics a join's
-    estimate is the product of its inputs. The leaves (file scans, checkpoints)
-    carry real sizes; None when any of them is unknown.
-    """
-    unknown = int(str(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1))).rstrip("b"))
-    try:
-        it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-        total = 0
-        while it.hasNext():
-            size = int(str(it.next().stats().sizeInBytes()))
-            if size >= unknown:
-                return None
-            total += size
-    except Exception:  # noqa: BLE001 - estimate only
-        return None
-    return total or None
-
-
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions: ~64 MiB of input each, at least one per core of the cluster.
-
-    Falls back to ``spark.sql.shuffle.partitions`` when the input size is unknown.
-    """
-    if num_partitions:
-        return int(num_partitions)
-    size = _estimated_bytes(df)
-    if size is None:
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(cores, min(MAX_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
-
-
-def _sort_columns(df: DataFrame, keys, order) -> list:
-    """keys, then the requested order, then every other orderable column as tie-break."""
-    used = {k.lower() for k in keys}
-    cols = [F.col(k).asc_nulls_first() for k in keys]
-    for o in order:
-        if isinstance(o, str):
-            used.add(o.lower())
-            cols.append(F.col(o).asc_nulls_first())
-        else:
-            cols.append(o)
-    # Tie-break on the remaining columns makes the numbering deterministic for
-    # rows that differ; fully identical rows are interchangeable anyway.
-    for f in df.schema.fields:
-        if f.name.lower() not in used and isinstance(f.dataType, _ORDERABLE):
-            cols.append(F.col(f.name).asc_nulls_first())
-    return cols
-
-
-def _sorted_partitions(df: DataFrame, keys, order, num_partitions):
-    cols = _sort_columns(df, keys, order)
-    n = _partitions(df, num_partitions)
-    return df.repartitionByRange(n, *cols).sortWithinPartitions(*cols) \
-             .withColumn(_PID, F.spark_partition_id())
+
+def _hash(df: DataFrame, names, seed: int) -> Column:
+    """64-bit hash of the named columns, with their NULLs told apart."""
+    parts = [F.lit(seed)]
+    for n in names:
+        c = F.to_json(F.struct(n)) if _holds_map(df.schema[n].dataType) else F.col(n)
+        parts += [F.col(n).isNull(), c]
+    return F.xxhash64(*parts)
+
+
+def _ranged(df: DataFrame, lead: dict[str, Column], order, num_partitions: int | None) -> tuple[DataFrame, list[Column]]:
+    """``df`` in ranges of (lead, order, tie), written with partition number and place; and the sort within ``lead``."""
+    named = {o.lower() for o in order if isinstance(o, str)}
+    rest = [f.name for f in df.schema.fields if f.name.lower() not in named]
+    short = [f.name for f in df.schema.fields if f.name in rest and isinstance(f.dataType, _SHORT)]
+    inner = [F.col(o).asc_nulls_first() if isinstance(o, str) else o for o in [*order, *short]] + [F.col(_TIE)]
+    keyed = df.withColumns({**lead, _TIE: _hash(df, rest, 7)})
+    cols = [F.col(k) for k in lead] + inner
+    ranged = keyed.repartitionByRange(num_partitions, *cols) if num_partitions else keyed.repartitionByRange(*cols)
+    pid = F.spark_partition_id()
+    # the id counter advances in sorted order within a partition
+    place = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
+    return written(ranged.sortWithinPartitions(*cols).withColumns({_PID: pid, _POS: place}), "numbering"), inner
 
 
 def global_index(df: DataFrame, order, out_col: str = "row_index", start: int = 1,
                  num_partitions: int | None = None) -> DataFrame:
     """Consecutive numbers ``start, start+1, ...`` in ``order`` (a total order after tie-breaks)."""
-    s = _sorted_partitions(df, [], order, num_partitions)
-    # position inside the sorted partition: the id counter advances in sorted order
-    local = s.withColumn(_LRN, F.monotonically_increasing_id()
-                         - F.shiftleft(F.col(_PID).cast("long"), 33))
-    counts = s.groupBy(_PID).agg(F.count(F.lit(1)).alias("_nb_cnt"))
+    rows, _ = _ranged(df, {}, order, num_partitions)
+    counts = rows.groupBy(_PID).agg(F.count(F.lit(1)).alias("_nb_cnt"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_PID, F.coalesce(F.sum("_nb_cnt").over(before), F.lit(0)).alias("_nb_off"))
-    return (local.join(F.broadcast(offsets), _PID)
-                 .withColumn(out_col, F.col(_LRN) + F.col("_nb_off") + F.lit(start))
-                 .drop(_PID, _LRN, "_nb_off"))
-
-
-def _same_key(a, b) -> bool:
-    for x, y in zip(a, b):
-        if pd.isna(x) and pd.isna(y):
-            continue
-        if pd.isna(x) or pd.isna(y) or x != y:
-            return False
-    return True
-
-
-def _local_numbers(key_names):
-    """Per sorted partition: 1-based position of each row inside its key run."""
-    def number(batches):
-        prev_key, prev_n = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{_LRN: pd.Series([], dtype="int64")})
-                continue
-            grouped = pdf.groupby(key_names, dropna=False, sort=False)
-            rn = grouped.cumcount().to_numpy(dtype="int64") + 1
-            first_key = tuple(pdf.iloc[0][k] for k in key_names)
-            if prev_key is not None and _same_key(first_key, prev_key):
-                rn = rn + (grouped.ngroup().to_numpy() == 0) * prev_n
-            prev_key = tuple(pdf.iloc[-1][k] for k in key_names)
-            prev_n = int(rn[-1])
-            yield pdf.assign(**{_LRN: rn})
-    return number
+    return (rows.join(F.broadcast(offsets), _PID)
+                .withColumn(out_col, F.col(_POS) + F.col("_nb_off") + F.lit(start))
+                .drop(_PID, _POS, _TIE, "_nb_off"))
 
 
 def number_within_groups(df: DataFrame, keys, order, out_col: str = "row_num",
                          num_partitions: int | None = None) -> DataFrame:
-    """``row_number() OVER (PARTITION BY keys ORDER BY order, <other columns>)`` as ``out_col``.
+    """``row_number() OVER (PARTITION BY keys ORDER BY order, <ties>)`` as ``out_col``.
 
     NULL keys form one group, as in SQL window partitioning.
     """
     keys = list(keys)
     if not keys:
         return global_index(df, order, out_col, 1, num_partitions)
-    s = _sorted_partitions(df, keys, order, num_partitions)
-    key_struct = F.struct(*[F.col(k) for k in keys])
-
-    # per partition: first and last key (struct order = ascending, nulls first)
-    bounds = s.groupBy(_PID).agg(F.min(key_struct).alias("_nb_first"),
-                                 F.max(key_struct).alias("_nb_last"))
-    last_rows = (s.join(F.broadcast(bounds), _PID)
-                  .where(key_struct.eqNullSafe(F.col("_nb_last")))
-                  .groupBy(_PID).agg(F.count(F.lit(1)).alias("_nb_last_cnt")))
-    stats = bounds.join(last_rows, _PID)
-    # rows of the same key in earlier partitions: those partitions are contiguous
-    # and each ends with that key, so a running sum per last key gives the count
+    lead = {k: _hash(df, keys, seed) for seed, k in enumerate(_KEY)}
+    rows, inner = _ranged(df, lead, order, num_partitions)
+    key = F.struct(*_KEY)
+    bounds = rows.groupBy(_PID).agg(F.min(key).alias("_nb_first"), F.max(key).alias("_nb_last"))
+    ends = (rows.select(_PID, key.alias("_nb_key")).join(F.broadcast(bounds), _PID).where(F.col("_nb_key") == F.col("_nb_last"))
+                .groupBy(_PID, "_nb_first", "_nb_last").agg(F.count(F.lit(1)).alias("_nb_cnt")))
+    # partitions that hold a key are neighbours and all but the last of them end with it
     run = Window.partitionBy("_nb_last").orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
-    stats = stats.withColumn("_nb_run", F.sum("_nb_last_cnt").over(run))
     by_pid = Window.orderBy(_PID)
-    offsets = stats.select(
-        _PID, "_nb_first",
-        F.when(F.lag("_nb_last").over(by_pid).eqNullSafe(F.col("_nb_first")),
-               F.lag("_nb_run").over(by_pid)).otherwise(F.lit(0)).alias("_nb_off"))
-
-    out_schema = T.StructType(s.schema.fields + [T.StructField(_LRN, T.LongType(), False)])
-    local = s.mapInPandas(_local_numbers(keys), out_schema)
-    return (local.join(F.broadcast(offsets), _PID)
-                 .withColumn(out_col, F.col(_LRN) + F.when(key_struct.eqNullSafe(F.col("_nb_first")),
-                                                            F.col("_nb_off")).otherwise(F.lit(0)))
-                 .drop(_PID, _LRN, "_nb_first", "_nb_off"))
+    ends = ends.withColumn("_nb_run", F.sum("_nb_cnt").over(run))
+    offsets = ends.select(_PID, "_nb_first", F.when(F.lag("_nb_last").over(by_pid) == F.col("_nb_first"),
+                                                    F.lag("_nb_run").over(by_pid)).otherwise(F.lit(0)).alias("_nb_off"))
+    local = F.row_number().over(Window.partitionBy(_PID, *_KEY).orderBy(*inner))
+    return (rows.withColumn(out_col, local).join(F.broadcast(offsets), _PID)
+                .withColumn(out_col, F.col(out_col).cast("long") + F.when(key == F.col("_nb_first"), F.col("_nb_off")).otherwise(F.lit(0)))
+                .drop(_PID, _POS, _TIE, *_KEY, "_nb_first", "_nb_off"))

@@ -1,48 +1,11 @@
-"""Exact continuous percentiles from (group, value, count) tables.
-
-``percentile_cont`` over raw rows needs every value of a group in one
-aggregation buffer. When the values come from a small domain (seconds of a
-day, day numbers, whole-second run times), the raw rows are first reduced by
-a hash aggregate with map-side combining to one row per distinct value with
-its count; only these compact tables are ranked. A hot group therefore costs
-at most its number of distinct values, never its number of rows.
-
-The interpolation is the textbook one (and Spark's): with ``n`` values in
-ascending order and ``pos = p * (n - 1)``, the result is
-``(ceil(pos) - pos) * v[floor(pos)] + (pos - floor(pos)) * v[ceil(pos)]``.
-"""
+"""Most frequent value from (group, value, count) tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def percentile_from_counts(counts: DataFrame, group_cols, value_col: str, count_col: str,
-                           p, out_col: str = "percentile") -> DataFrame:
-    """Exact ``percentile_cont(p)`` per group; ``p`` may be a literal or a column of ``counts``."""
-    group_cols = list(group_cols)
-    pcol = p if not isinstance(p, (int, float)) else F.lit(float(p))
-    ordered = Window.partitionBy(*group_cols).orderBy(value_col)
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = counts.select(*group_cols, value_col,
-                           F.sum(count_col).over(running).alias("_q_cum"),
-                           F.sum(count_col).over(whole).alias("_q_n"),
-                           pcol.cast("double").alias("_q_p"))
-    pos = (F.col("_q_n") - 1).cast("double") * F.col("_q_p")
-    ranked = ranked.select("*", pos.alias("_q_pos"), F.floor(pos).alias("_q_lo"), F.ceil(pos).alias("_q_hi"))
-    # value at 0-based rank k is the first value whose running count exceeds k
-    picked = ranked.groupBy(*group_cols).agg(
-        F.min(F.when(F.col("_q_cum") > F.col("_q_lo"), F.col(value_col))).cast("double").alias("_q_vlo"),
-        F.min(F.when(F.col("_q_cum") > F.col("_q_hi"), F.col(value_col))).cast("double").alias("_q_vhi"),
-        F.max("_q_pos").alias("_q_pos"), F.max("_q_lo").alias("_q_lo"), F.max("_q_hi").alias("_q_hi"))
-    value = (F.when((F.col("_q_lo") == F.col("_q_hi")) | (F.col("_q_vlo") == F.col("_q_vhi")), F.col("_q_vlo"))
-              .otherwise((F.col("_q_hi") - F.col("_q_pos")) * F.col("_q_vlo")
-                         + (F.col("_q_pos") - F.col("_q_lo")) * F.col("_q_vhi")))
-    return picked.select(*group_cols, value.alias(out_col))
-
-
 def mode_from_counts(counts: DataFrame, group_cols, value_col: str, count_col: str,
                      out_col: str = "mode") -> DataFrame:
     """Most frequent value per group; ties go to the smallest value."""

@@ -44,8 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of this session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that setting
-    is always used as is. Only when it is unset (local tests) a fresh scratch
-    folder is created and registered.
+    is always used as is, and a session on a cluster without it fails here.
+    Only a local session (driver and executor in one process) gets a scratch
+    folder of its own.
     """
     sc = spark.sparkContext
     current = (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -53,7 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return current
+        return sc.getCheckpointDir()
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError(f"master {sc.master}: set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="opsledger-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
-    return path
+    return sc.getCheckpointDir()

@@ -23,17 +23,22 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def list_versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions under ``base`` (directories ``v=N`` holding ``_SUCCESS``), ascending."""
+def _versions(spark: SparkSession, base: str) -> dict[int, bool]:
+    """Every directory ``v=N`` under ``base`` and whether it is complete (holds ``_SUCCESS``)."""
     fs, root, jvm = _fs(spark, base)
     if not fs.exists(root):
-        return []
-    out = []
+        return {}
+    out = {}
     for st in fs.listStatus(root):
         m = _VERSION.match(st.getPath().getName())
-        if m and st.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
+        if m and st.isDirectory():
+            out[int(m.group(1))] = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+    return out
+
+
+def list_versions(spark: SparkSession, base: str) -> list[int]:
+    """Complete versions under ``base``, ascending."""
+    return sorted(v for v, complete in _versions(spark, base).items() if complete)
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
@@ -44,8 +49,11 @@ def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
 
 
 def write_next_version(df: DataFrame, base: str) -> str:
-    """Write ``df`` as version ``latest + 1`` under ``base`` and return its path."""
-    versions = list_versions(df.sparkSession, base)
-    path = f"{base.rstrip('/')}/v={(versions[-1] + 1) if versions else 1}"
+    """Write ``df`` as the next version under ``base`` and return its path.
+
+    The number follows the highest one there is, complete or not: what a
+    failed write left behind is neither read nor written again.
+    """
+    path = f"{base.rstrip('/')}/v={max(_versions(df.sparkSession, base), default=0) + 1}"
     df.write.mode("errorifexists").parquet(path)
     return path
