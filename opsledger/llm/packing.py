@@ -51,7 +51,7 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, limit: int):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -62,6 +62,8 @@ class WordIds(dict):
             ids = self[core] + self[chunk[len(core):]]
         elif chunk.isascii() and (low := chunk.lower()) != chunk:
             ids = self[low]
+        elif chunk.isascii() and chunk.isalpha():  # normalized and one word already: only the merges are left to do
+            ids = np.array([t.id for t in self.model.tokenize(chunk)], dtype="<u4").tobytes()
         else:
             ids = self.whole(chunk)
         if len(self) < self.limit and len(chunk) < 64:
