@@ -57,9 +57,9 @@ def calendar_for(df: DataFrame, date_col: str) -> DataFrame:
     return s.select(F.datediff(d, F.col("lo")).alias("rn"), d, *_attrs(d))
 
 
-def week_calendar_for(df: DataFrame, date_col: str, limit: int | None = 170,
+def week_calendar_for(df: DataFrame, date_col: str, limit: int | None = None,
                       attrs_from: str = "row_number") -> DataFrame:
-    """C2 over a table: weekly dates from its first date, first ``limit`` weeks."""
+    """C2 over a table: weekly dates of its whole span, or the first ``limit`` weeks."""
     s = _span_series(df, date_col, 7)
     rn = (F.datediff(F.col("date_dt"), F.col("lo")) / 7).cast("int")
     src = F.date_add(F.col("lo"), rn) if attrs_from == "row_number" else F.col("date_dt")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsledger.plans.numbering import number_within_groups
+from opsledger.plans.numbering import global_index, number_within_groups
 
 
 def _keys(keys) -> list[str]:
@@ -61,20 +61,28 @@ def grouped_value_lists(df: DataFrame, group: str, value: str, out_col: str = "s
     """For groups with more than one non-NULL value, the distinct values in value order, joined.
 
     The HAVING counts non-NULL rows, not distinct values, so ``5, 5`` qualifies
-    and prints ``5``. Distinct values are de-duplicated map-side before they
-    are gathered, so a group only ever holds its distinct values.
+    and prints ``5``. Rows are counted per (group, value) map-side, so a group
+    only ever gathers its distinct values; one scan, no join.
     """
-    counts = df.groupBy(group).agg(F.count(value).alias("_d4_n"))
-    distinct_vals = df.where(F.col(value).isNotNull()).select(group, value).distinct()
-    lists = distinct_vals.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("_d4_vals"))
-    kept = counts.where(F.col("_d4_n") > 1)
-    # null-safe: the NULL group is a group too
-    joined = kept.join(lists.withColumnRenamed(group, "_d4_g"),
-                       kept[group].eqNullSafe(F.col("_d4_g")), "left")
-    return joined.select(group, F.array_join(F.transform("_d4_vals", lambda x: x.cast("string")), sep)
-                         .alias(out_col))
-
-
-def sort_groups_desc(df: DataFrame, group: str) -> DataFrame:
-    """Presentation order of D4: group descending, NULL group first."""
-    return df.orderBy(F.col(group).desc_nulls_first())
+    per_value = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_d4_n"))
+    lists = per_value.groupBy(group).agg(F.sum("_d4_n").alias("_d4_rows"), F.array_sort(F.collect_list(value)).alias("_d4_vals"))
+    return lists.where(F.col("_d4_rows") > 1).select(
+        group, F.array_join(F.transform("_d4_vals", lambda x: x.cast("string")), sep).alias(out_col))
+
+
+def ordered_groups(df: DataFrame, group: str, out_col: str = "report_pos") -> DataFrame:
+    """Report order of D4: position by group descending, NULL group first."""
+    return global_index(df, [F.col(group).desc_nulls_first()], out_col)
+
+
+def ordered_flags(df: DataFrame, key: str, order=(), flag_col: str = "duplicate_value", out_col: str = "report_pos") -> DataFrame:
+    """D2 with its report order: position by key and ``order``; the flag asks for an earlier position of the key.
+
+    One numbering of the sorted table; the first position of each key is an
+    aggregate that is joined back.
+    """
+    placed = global_index(df, [key, *order], out_col)
+    first = placed.groupBy(F.col(key).alias("_d2_key")).agg(F.min(out_col).alias("_d2_first"))
+    flag = F.when(F.col(key).isNotNull() & (F.col(out_col) > F.col("_d2_first")), F.lit("Yes")).otherwise(F.lit("No"))
+    joined = placed.join(first, placed[key].eqNullSafe(first["_d2_key"]))
+    return joined.withColumn(flag_col, flag).drop("_d2_key", "_d2_first")

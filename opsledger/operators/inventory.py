@@ -11,10 +11,11 @@ from typing import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsledger.plans.numbering import global_index
 from opsledger.sources.tables import INVENTORY_COLUMNS, INVENTORY_TABLES, check_schema
 
 # Fixed values of the widening statement generator.
-WIDEN_TEMPLATE = ("ALTER TABLE IF EXISTS ", ".", " ALTER COLUMN ", " TYPE VARCHAR(100);")
+WIDEN_TEMPLATE = "ALTER TABLE IF EXISTS %s.%s ALTER COLUMN %s TYPE VARCHAR(%d);"
 BASE_TABLE = "BASE TABLE"
 
 
@@ -33,7 +34,7 @@ def column_occurrences(columns: DataFrame, column_name: str) -> DataFrame:
 
 def column_lists(columns: DataFrame, schema: str | None = None, tables: Iterable[str] | None = None,
                  exclude_columns: Iterable[str] = (), sep: str = ", ") -> DataFrame:
-    """Per table, its column names in ordinal order joined by ``sep``."""
+    """Per schema and table, its column names in ordinal order joined by ``sep``."""
     check_schema(columns, INVENTORY_COLUMNS, "columns inventory")
     c = columns
     if schema is not None:
@@ -45,13 +46,15 @@ def column_lists(columns: DataFrame, schema: str | None = None, tables: Iterable
         c = c.where(~F.col("column_name").isin(*exclude_columns))
     # a table's column list is bounded by its column count (catalog size)
     ordered = F.array_sort(F.collect_list(F.struct("ordinal_position", "column_name")))
-    return c.groupBy("table_name").agg(
+    return c.groupBy("table_schema", "table_name").agg(
         F.array_join(F.transform(ordered, lambda s: s["column_name"]), sep).alias("column_list"))
 
 
 def widening_statements(columns: DataFrame, tables: DataFrame, column_names: Iterable[str],
                         exclude_schemas: Iterable[str] = (), max_length: int = 100) -> DataFrame:
-    """I4: ``ALTER TABLE ... TYPE VARCHAR(100);`` for short text columns of base tables.
+    """I4: ``ALTER TABLE ... TYPE VARCHAR(<max_length>);`` for shorter text columns of base tables.
+
+    ``report_pos`` is the place in the report: by schema, table, then column.
 
     A NULL length (non-text column) fails ``< max_length`` and is skipped.
     """
@@ -65,9 +68,27 @@ def widening_statements(columns: DataFrame, tables: DataFrame, column_names: Ite
     t = tables.where(F.col("table_type") == BASE_TABLE).select(
         F.col("table_schema").alias("t_schema"), F.col("table_name").alias("t_name"))
     j = c.join(t, (c["table_schema"] == t["t_schema"]) & (c["table_name"] == t["t_name"]))
-    a, b, cc, d = WIDEN_TEMPLATE
-    return j.select(F.concat(F.lit(a), F.col("t_schema"), F.lit(b), F.col("t_name"), F.lit(cc),
-                             F.col("column_name"), F.lit(d)).alias("statement"))
+    named = j.select("t_schema", "t_name", "column_name",
+                     F.format_string(WIDEN_TEMPLATE, "t_schema", "t_name", "column_name", F.lit(max_length)).alias("statement"))
+    return global_index(named, ["t_schema", "t_name", "column_name"], "report_pos").select("statement", "report_pos")
+
+
+def base_tables(tables: DataFrame, schema: str) -> DataFrame:
+    """Names of the base tables of one schema."""
+    check_schema(tables, INVENTORY_TABLES, "tables inventory")
+    return tables.where((F.col("table_type") == BASE_TABLE) & (F.col("table_schema") == schema)).select("table_name").distinct()
+
+
+def inventory_row_counts(tables: DataFrame, schema: str, reader: Callable[[str], DataFrame], max_tables: int = 10_000) -> DataFrame:
+    """I5 driven by a catalog: row count of every base table of ``schema``.
+
+    The plan has one scan per table, so the driver reads the list of names; it
+    refuses a schema of more than ``max_tables``.
+    """
+    names = [r["table_name"] for r in base_tables(tables, schema).limit(max_tables + 1).collect()]
+    if len(names) > max_tables:
+        raise ValueError(f"schema {schema} has more than {max_tables} base tables")
+    return bulk_row_counts(tables.sparkSession, sorted(names), reader)
 
 
 def bulk_row_counts(spark: SparkSession, names: Iterable[str], reader: Callable[[str], DataFrame]) -> DataFrame:
@@ -78,10 +99,9 @@ def bulk_row_counts(spark: SparkSession, names: Iterable[str], reader: Callable[
     join to the name list keeps empty tables with a count of 0.
     """
     names = list(names)
-    parts = [reader(n).select(F.lit(n).alias("table_name")) for n in names]
-    counted = parts[0]
-    for p in parts[1:]:
-        counted = counted.unionByName(p)
+    counted = spark.createDataFrame([], "table_name string")
+    for n in names:
+        counted = counted.unionByName(reader(n).select(F.lit(n).alias("table_name")))
     counts = counted.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
     listing = spark.createDataFrame([(n,) for n in names], "table_name string")
     return (listing.join(counts, "table_name", "left")

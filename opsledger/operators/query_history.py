@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsledger.functions.timeparts import boundary_diff, elapsed_duration_text, ntz_lit
+from opsledger.plans.numbering import global_index
 from opsledger.sources.tables import QUERY_HISTORY, check_schema
 
 # Open statuses, default excluded user, thresholds.
@@ -24,7 +25,9 @@ def current_long_queries(qh: DataFrame, as_of: _dt.datetime, excluded_users=EXCL
     check_schema(qh, QUERY_HISTORY, "query_history")
     dur = boundary_diff("second", "start_time", ntz_lit(as_of))
     user_ok = ~F.col("user_name").isin(*excluded_users) if excluded_users else F.col("user_name").isNotNull()
-    return (qh.where(F.col("execution_status").isin(*OPEN_STATUSES) & user_ok & (dur > threshold_s))
+    # a plain bound on the column that the exact filter implies, so the scan can skip row groups
+    latest = F.col("start_time") < ntz_lit(as_of - _dt.timedelta(seconds=threshold_s - 1))
+    return (qh.where(F.col("execution_status").isin(*OPEN_STATUSES) & user_ok & latest & (dur > threshold_s))
               .select("user_name", "database_name", "warehouse_name",
                       F.col("query_type").alias("operation"), F.col("query_text").alias("query"),
                       F.date_format("start_time", "hh:mm:ss a").alias("start_time_text"),
@@ -60,6 +63,6 @@ def long_history_elapsed(qh: DataFrame, threshold_ms: int = LONG_HISTORY_MS) ->
                       (F.col("total_elapsed_time") / F.lit(3_600_000.0)).alias("duration_h")))
 
 
-def newest_first(df: DataFrame) -> DataFrame:
-    """Presentation order of all four reports (range-partitioned global sort)."""
-    return df.orderBy(F.col("start_time").desc())
+def newest_first(df: DataFrame, columns, out_col: str = "report_pos") -> DataFrame:
+    """Report order of Q1-Q4: position by start time descending, equal times by ``columns`` ascending."""
+    return global_index(df, [F.col("start_time").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns]], out_col)

@@ -14,9 +14,12 @@ S3 new version rows where a history row (after S1/S2) differs from the
    open (9999-12-31) row left; one new row per such history row;
 S4 insert source keys that have no history at all, version 1.
 
-Keys must be non-NULL (checked), so ``NOT IN`` is an anti join.
-Skew: the history-to-source joins are equi-joins on ``cust_id`` (source has
-one row per key); adaptive execution splits a hot history key.
+Source keys must be present and unique: the plan fails on a NULL or repeated
+``cust_id`` (``checked_source``), so ``NOT IN`` is an anti join and no join
+multiplies history rows.
+The full change (S5) joins history and source once, writes the labelled rows
+and derives all rules from them. Skew: the join is an equi-join on ``cust_id``
+with one source row per key; adaptive execution splits a hot history key.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsledger.functions.timeparts import date_lit
+from opsledger.plans.materialize import written
 from opsledger.plans.numbering import global_index
 from opsledger.sources.tables import SCD_HISTORY, SCD_SOURCE, check_schema
 
@@ -40,10 +44,21 @@ def _differs(tgt_name, tgt_pos, src_name, src_pos, collation: str | None):
     return (c(tgt_name) != c(src_name)) | (c(tgt_pos) != c(src_pos))
 
 
-def _source(src: DataFrame) -> DataFrame:
+def checked_source(src: DataFrame) -> DataFrame:
+    """The source, one row per key; running it fails on a NULL or repeated ``cust_id``."""
     check_schema(src, SCD_SOURCE, "scd source")
-    return src.select(F.col("cust_id").alias("s_cust_id"), F.col("fullname").alias("s_fullname"),
-                      F.col("position").alias("s_position"), F.col("start_date").alias("s_start_date"))
+    rest = [f.name for f in SCD_SOURCE.fields if f.name != "cust_id"]
+    one = src.groupBy("cust_id").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+    key = (F.when(F.col("cust_id").isNull(), F.raise_error(F.lit("scd source: NULL cust_id")).cast("long"))
+            .when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("scd source: repeated cust_id "), F.col("cust_id").cast("string"))).cast("long"))
+            .otherwise(F.col("cust_id")))
+    return one.select(key.cast(SCD_SOURCE["cust_id"].dataType).alias("cust_id"), *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def _source(src: DataFrame) -> DataFrame:
+    s = checked_source(src)
+    return s.select(F.col("cust_id").alias("s_cust_id"), F.col("fullname").alias("s_fullname"),
+                    F.col("position").alias("s_position"), F.col("start_date").alias("s_start_date"))
 
 
 def expire(history: DataFrame, source: DataFrame, as_of: _dt.date | _dt.datetime,
@@ -150,24 +165,57 @@ def assign_surrogate_keys(history: DataFrame, inserts: DataFrame) -> DataFrame:
     return numbered.withColumn("hist_id", top + F.col("_idx")).select(*HISTORY_COLUMNS)
 
 
+def labelled(history: DataFrame, source: DataFrame, as_of, collation: str | None = None) -> DataFrame:
+    """History and source joined once and written: history rows after S1/S2, source columns, differences.
+
+    ``in_history`` is false for source keys without any history row.
+    """
+    check_schema(history, SCD_HISTORY, "scd history")
+    s = _source(source)
+    j = history.withColumn("in_history", F.lit(True)).join(s, history["cust_id"] == s["s_cust_id"], "full_outer")
+    j = j.withColumn("in_history", F.coalesce("in_history", F.lit(False)))
+    differs = F.coalesce(_differs("fullname", "position", "s_fullname", "s_position", collation), F.lit(False))
+    current = F.coalesce(F.col("curr_flag") == "Y", F.lit(False))
+    changed = differs & current & (F.col("eff_end_date") == date_lit(OPEN_END))
+    gone = F.col("s_cust_id").isNull() & current
+    return written(j.select(
+        "in_history", *[c for c in HISTORY_COLUMNS if c not in ("eff_end_date", "curr_flag", "change_flag")],
+        F.when(changed, F.date_sub("s_start_date", 1)).when(gone, date_lit(as_of)).otherwise(F.col("eff_end_date")).alias("eff_end_date"),
+        F.when(changed | gone, F.lit("N")).otherwise(F.col("curr_flag")).alias("curr_flag"),
+        F.when(gone, F.lit("DELETE")).otherwise(F.col("change_flag")).alias("change_flag"),
+        "s_cust_id", "s_fullname", "s_position", "s_start_date", differs.alias("differs")), "scd2")
+
+
+def inserted_rows(rows: DataFrame) -> DataFrame:
+    """S3 + S4 rows (hist_id NULL) from ``labelled`` rows."""
+    held = rows.where("in_history")
+    open_keys = held.where(F.col("eff_end_date") == date_lit(OPEN_END)).select("cust_id").distinct()
+    again = (held.where(F.col("differs") & (F.col("eff_end_date") == F.date_sub("s_start_date", 1)))
+                 .join(open_keys, "cust_id", "left_anti"))
+
+    def version(df, flag, number, prior):
+        return df.select(
+            F.lit(None).cast("long").alias("hist_id"), F.col("s_cust_id").alias("cust_id"), F.col("s_fullname").alias("fullname"),
+            F.col("s_position").alias("position"), F.col("s_start_date").alias("eff_start_date"),
+            date_lit(OPEN_END).alias("eff_end_date"), F.lit("Y").alias("curr_flag"), F.lit(flag).alias("change_flag"),
+            number.cast("int").alias("change_version_id"), prior.cast("long").alias("_prior_hist_id"))
+    return version(again, "UPDATE", F.col("change_version_id") + 1, F.col("hist_id")).unionByName(
+        version(rows.where("NOT in_history"), "INSERT", F.lit(1), F.lit(None)))
+
+
 def apply_changes(history: DataFrame, source: DataFrame, as_of, collation: str | None = None,
                   with_keys: bool = True) -> DataFrame:
     """The next history = S1/S2-rewritten rows + S3 rows + S4 rows (+ S6 keys)."""
-    check_schema(source, SCD_SOURCE, "scd source")
-    expired = expire(history, source, as_of, collation)
-    inserts = new_versions(expired, source, collation).unionByName(new_keys(history, source))
+    rows = labelled(history, source, as_of, collation)
+    expired = rows.where("in_history").select(*HISTORY_COLUMNS)
+    inserts = inserted_rows(rows)
     if with_keys:
-        inserts = assign_surrogate_keys(history, inserts)
+        inserts = assign_surrogate_keys(expired, inserts)
     else:
         inserts = inserts.select(*HISTORY_COLUMNS)
     return expired.unionByName(inserts)
 
 
-def null_key_count(df: DataFrame) -> DataFrame:
-    """Data-quality check: keys must be non-NULL for the anti-join semantics to hold."""
-    return df.agg(F.count(F.when(F.col("cust_id").isNull(), 1)).alias("null_keys"))
-
-
 def inverted_intervals(history: DataFrame) -> DataFrame:
     """Data-quality check: rows whose end precedes their start (kept, as in the source logic)."""
     return history.where(F.col("eff_end_date") < F.col("eff_start_date"))

@@ -8,7 +8,7 @@ from opsledger.functions.timeparts import hms_text, ordinal_text
 from opsledger.operators import cadence as cad
 from opsledger.operators import sla
 from opsledger.operators import status as st
-from opsledger.plans.oracle import M_CHAIN, X_CHAIN
+from opsledger.plans.oracle import _SECS, M_CHAIN, X_CHAIN
 from opsledger.plans.registry import AS_OF_LOG, Query, register, spec
 from opsledger.sources import fixtures as fx
 
@@ -59,50 +59,49 @@ def _x(name, build, cols, body, note=""):
 
 _m("M1", _recent,
    "pkg_nm:s load_dt:t start_dt:t stop_dt:t sts_cd:i run_date:d run_secs:i stop_secs:i day_name:s is_business_day:i",
-   "SELECT * FROM m1")
+   f"SELECT pkg_nm, load_dt, start_dt, stop_dt, sts_cd, d AS run_date, {_SECS.format(c='load_dt')} AS run_secs, "
+   f"{_SECS.format(c='stop_dt')} AS stop_secs, strftime(d, '%a') AS day_name, CAST(isodow(d) < 6 AS INT) AS is_business_day FROM slice")
 _m("M2", lambda s, sf: _metrics(s, sf),
    "pkg_nm:s total_runs:i distinct_run_days:i business_day_runs:i business_days_with_runs:i last_run_date:d",
-   "SELECT * FROM m2")
+   "SELECT * FROM jobs")
 _m("M3", lambda s, sf: _features(s, sf),
    "pkg_nm:s business_days_with_runs:i total_business_days_in_period:i business_day_coverage:f",
-   "SELECT * FROM m10")
+   "SELECT * FROM features")
 _m("M4", lambda s, sf: _metrics(s, sf)
    .withColumn("inferred_start_time", hms_text("inferred_start_secs")),
    "pkg_nm:s inferred_start_secs:i inferred_start_time:s",
    "SELECT pkg_nm, inferred_start_secs, strftime(TIMESTAMP '2000-01-01 00:00:00' + inferred_start_secs * INTERVAL '1' SECOND, '%H:%M:%S') "
-   "AS inferred_start_time FROM m2")
+   "AS inferred_start_time FROM clocks")
 _m("M5", lambda s, sf: _metrics(s, sf)
    .withColumn("inferred_stop_time", hms_text("inferred_stop_secs")),
    "pkg_nm:s inferred_stop_secs:i inferred_stop_time:s",
    "SELECT pkg_nm, inferred_stop_secs, strftime(TIMESTAMP '2000-01-01 00:00:00' + inferred_stop_secs * INTERVAL '1' SECOND, '%H:%M:%S') "
-   "AS inferred_stop_time FROM m2")
+   "AS inferred_stop_time FROM clocks")
 _m("M6", lambda s, sf: cad.run_gaps(_days(s, sf)),
-   "pkg_nm:s run_date:d prev_run_date:d gap_days:i", "SELECT * FROM m6")
+   "pkg_nm:s run_date:d prev_run_date:d gap_days:i", "SELECT * FROM steps")
 _m("M7", lambda s, sf: cad.gap_stats(cad.run_gaps(_days(s, sf))),
    "pkg_nm:s avg_gap:f mode_gap:i weekly_pattern_count:i monthly_pattern_count:i total_gaps:i",
-   "SELECT * FROM m7")
+   "SELECT * FROM gaps")
 _m("M8", lambda s, sf: cad.dow_profile(_days(s, sf)), "pkg_nm:s most_common_dow:s unique_days:i",
-   "SELECT * FROM m8")
+   "SELECT * FROM weekdays")
 _m("M9", lambda s, sf: cad.dom_profile(_days(s, sf)), "pkg_nm:s most_common_dom:i dom_cnt:i",
-   "SELECT * FROM m9")
+   "SELECT * FROM monthdays")
 _m("M10", _features,
    "pkg_nm:s total_runs:i distinct_run_days:i business_day_runs:i business_days_with_runs:i "
    "total_business_days_in_period:i business_day_coverage:f avg_gap:f mode_gap:i weekly_pattern_count:i "
    "monthly_pattern_count:i total_gaps:i most_common_dow:s unique_days:i most_common_dom:i dom_cnt:i "
    "inferred_start_secs:i inferred_stop_secs:i last_run_date:d",
-   "SELECT * FROM m10")
-_m("M11", lambda s, sf: cad.classify_jobs(_log(s, sf), P), "pkg_nm:s occurrence:s", "SELECT * FROM m11")
+   "SELECT * FROM features")
+_m("M11", lambda s, sf: cad.classify_jobs(_log(s, sf), P), "pkg_nm:s occurrence:s", "SELECT * FROM labelled")
 _m("M12", lambda s, sf: cad.dom_profile(_days(s, sf)).withColumn("dom_ordinal", ordinal_text("most_common_dom")),
    "pkg_nm:s most_common_dom:i dom_ordinal:s",
-   "SELECT pkg_nm, most_common_dom, CASE WHEN most_common_dom IN (11, 12, 13) THEN most_common_dom || 'th' "
-   "WHEN most_common_dom % 10 = 1 THEN most_common_dom || 'st' WHEN most_common_dom % 10 = 2 THEN most_common_dom || 'nd' "
-   "WHEN most_common_dom % 10 = 3 THEN most_common_dom || 'rd' ELSE most_common_dom || 'th' END AS dom_ordinal FROM m9")
-_m("M13", lambda s, sf: cad.runtime_p90(_clock(s, sf)), "pkg_nm:s p90_runtime_seconds:f", "SELECT * FROM m13")
+   "SELECT pkg_nm, most_common_dom, nth AS dom_ordinal FROM dated")
+_m("M13", lambda s, sf: cad.runtime_p90(_clock(s, sf)), "pkg_nm:s p90_runtime_seconds:f", "SELECT pkg_nm, p90_runtime_seconds FROM clocks WHERE p90_runtime_seconds IS NOT NULL")
 _m("M14", lambda s, sf: cad.monitored_jobs(cad.classify_jobs(_log(s, sf), P), P),
-   "pkg_nm:s occurrence:s expected_start_secs:i expected_stop_secs:i", "SELECT * FROM m14")
+   "pkg_nm:s occurrence:s expected_start_secs:i expected_stop_secs:i", "SELECT * FROM watched")
 _m("M15", lambda s, sf: st.latest_run_today(_log(s, sf), P),
-   "pkg_nm:s load_dt:t start_dt:t stop_dt:t sts_cd:i", "SELECT * FROM m15")
-_m("M16", lambda s, sf: st.job_status(_log(s, sf), P), "pkg_nm:s status:s", "SELECT * FROM m16")
+   "pkg_nm:s load_dt:t start_dt:t stop_dt:t sts_cd:i", "SELECT * FROM today")
+_m("M16", lambda s, sf: st.job_status(_log(s, sf), P), "pkg_nm:s status:s", "SELECT * FROM states")
 
 
 def _stuck(s, sf):
@@ -115,31 +114,30 @@ def _stuck(s, sf):
 
 
 _m("M17", _stuck, "pkg_nm:s sts_cd:i p90_runtime_seconds:f is_stuck:b",
-   "SELECT pkg_nm, sts_cd, p90_runtime_seconds, COALESCE(is_stuck, false) AS is_stuck FROM m16 "
-   "WHERE t_pkg_nm IS NOT NULL AND sts_cd = 0 AND stop_dt IS NULL")
+   "SELECT pkg_nm, sts_cd, p90_runtime_seconds, is_stuck FROM states WHERE is_open")
 _m("M18", lambda s, sf: st.job_status(_log(s, sf), P), "pkg_nm:s expected_start:s expected_completion:s",
-   "SELECT * FROM m22f")
+   "SELECT * FROM statuses")
 _m("M19", lambda s, sf: st.job_status(_log(s, sf), P),
-   "pkg_nm:s expected_start_sla_dt:s expected_stop_sla_dt:s", "SELECT * FROM m22f")
-_m("M20", _report, "pkg_nm:s class_rank:i class_number:i report_pos:i", "SELECT * FROM m20")
+   "pkg_nm:s expected_start_sla_dt:s expected_stop_sla_dt:s", "SELECT * FROM statuses")
+_m("M20", _report, "pkg_nm:s class_rank:i class_number:i report_pos:i", "SELECT * FROM numbered")
 _m("M21", lambda s, sf: st.job_status(_log(s, sf), P),
-   "pkg_nm:s expected_start_sla_ts:t expected_stop_sla_ts:t", "SELECT * FROM m22f")
+   "pkg_nm:s expected_start_sla_ts:t expected_stop_sla_ts:t", "SELECT * FROM statuses")
 _m("M22", lambda s, sf: st.job_status(_log(s, sf), P),
-   " ".join(f"{c}:s" for c in st.STATUS_COLUMNS), "SELECT * FROM m22f")
+   " ".join(f"{c}:s" for c in st.STATUS_COLUMNS), "SELECT * FROM statuses")
 
-_x("X1", _grouped, "pkg_nm:s occurrence:s expected_start_sla_dt:s scheduled_today:b", "SELECT * FROM x1")
-_x("X2", _grouped, "pkg_nm:s status:s report_group:s", "SELECT * FROM x2")
+_x("X1", _grouped, "pkg_nm:s occurrence:s expected_start_sla_dt:s scheduled_today:b", "SELECT * FROM due")
+_x("X2", _grouped, "pkg_nm:s status:s report_group:s", "SELECT * FROM placed")
 _x("X3", lambda s, sf: sla.group_sections(_grouped(s, sf)),
    "report_group:s group_rank:i row_count:i section_pos:i",
    "SELECT report_group, group_rank, row_count, ROW_NUMBER() OVER (ORDER BY group_rank, first_pos) AS section_pos "
    "FROM (SELECT report_group, MIN(group_rank) AS group_rank, COUNT(*) AS row_count, MIN(report_pos) AS first_pos "
-   "FROM x4 GROUP BY report_group) z")
-_x("X4", _grouped, "pkg_nm:s status:s report_group:s status_class:s", "SELECT * FROM x4")
+   "FROM report GROUP BY report_group) z")
+_x("X4", _grouped, "pkg_nm:s status:s report_group:s status_class:s", "SELECT * FROM report")
 _x("X5", lambda s, sf: sla.report_rows(_grouped(s, sf)),
    "row_pos:i group_rank:i report_group:s pipeline_name:s occurrence:s status:s status_class:s starts_at:s completes_by:s",
    "SELECT ROW_NUMBER() OVER (ORDER BY group_rank, report_pos) AS row_pos, group_rank, report_group, "
    "pkg_nm AS pipeline_name, occurrence, status, status_class, expected_start AS starts_at, "
-   "expected_completion AS completes_by FROM x4")
+   "expected_completion AS completes_by FROM report")
 _x("X6", lambda s, sf: sla.report_header(_grouped(s, sf), P.as_of), "title:s row_count:i",
    "SELECT 'Job Execution Status - ' || strftime(DATE '2024-01-31', '%Y-%m-%d (%A)') AS title, COUNT(*) AS row_count "
-   "FROM x4 HAVING COUNT(*) > 0")
+   "FROM report HAVING COUNT(*) > 0")

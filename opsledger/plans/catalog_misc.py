@@ -15,7 +15,7 @@ from opsledger.operators import scd2
 from opsledger.plans.oracle import AS_OF_EVENTS as NOW_EV
 from opsledger.plans.registry import AS_OF_EVENTS, Query, register, spec
 from opsledger.sources import fixtures as fx
-from opsledger.sources.tables import PROVIDED_TABLES, read_table
+from opsledger.sources.tables import INVENTORY_TABLES, PROVIDED_TABLES, read_table
 
 
 def _t(s, sf, name):
@@ -36,10 +36,8 @@ _q("C1", lambda s, sf: cal.calendar_for(_t(s, sf, "orders"), "o_orderdate"), "rn
    f"SELECT date_diff('day', lo, d) AS rn, d AS date_dt, weekofyear(d) AS woy, dayofweek(d) AS dow FROM "
    f"(SELECT lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM {_CAL_BOUNDS} b) z")
 _q("C2", lambda s, sf: cal.week_calendar_for(_t(s, sf, "orders"), "o_orderdate"), "rn:i date_dt:d woy:i dow:i",
-   f"SELECT rn, d AS date_dt, weekofyear(CAST(lo + rn AS DATE)) AS woy, dayofweek(CAST(lo + rn AS DATE)) AS dow FROM "
-   f"(SELECT lo, d, CAST(date_diff('day', lo, d) / 7 AS INT) AS rn FROM "
-   f"(SELECT lo, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS d FROM {_CAL_BOUNDS} b) y) z "
-   f"WHERE rn < 170")
+   f"SELECT rn, lo + 7 * rn AS date_dt, weekofyear(lo + rn) AS woy, dayofweek(lo + rn) AS dow "
+   f"FROM (SELECT lo, CAST(unnest(range((hi - lo) // 7 + 1)) AS INT) AS rn FROM {_CAL_BOUNDS} b) z")
 _q("C3", lambda s, sf: cal.lookback_calendar(_t(s, sf, "orders"), "o_orderdate", 90),
    "d:d iso_dow:i is_business_day:i",
    "SELECT d, isodow(d) AS iso_dow, CASE WHEN isodow(d) BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS is_business_day FROM "
@@ -68,11 +66,11 @@ _q("D1", lambda s, sf: dup.duplicate_keys(_t(s, sf, "lineitem"), _LI_KEYS),
    "HAVING COUNT(*) > 1")
 _q("D1_text", lambda s, sf: dup.duplicate_keys(_t(s, sf, "documents"), "text"), "text:s DuplicateCount:i",
    "SELECT text, COUNT(*) AS DuplicateCount FROM documents GROUP BY text HAVING COUNT(*) > 1")
-_q("D2", lambda s, sf: dup.duplicate_flags(_fx(s, sf, "currency_rate"), "currency_id", ["currency_date"]),
-   "currency_id:i currency_date:d duplicate_value:s",
-   "SELECT currency_id, currency_date, CASE WHEN currency_id IS NOT NULL AND ROW_NUMBER() OVER "
-   "(PARTITION BY currency_id ORDER BY currency_date ASC NULLS FIRST, rate_key ASC NULLS FIRST) > 1 "
-   "THEN 'Yes' ELSE 'No' END AS duplicate_value FROM currency_rate", ["currency_rate"])
+_q("D2", lambda s, sf: dup.ordered_flags(_fx(s, sf, "currency_rate"), "currency_id", ["currency_date"]),
+   "currency_id:i currency_date:d duplicate_value:s report_pos:i",
+   "SELECT currency_id, currency_date, if(currency_id = lag(currency_id) OVER w, 'Yes', 'No') AS duplicate_value, "
+   "row_number() OVER w AS report_pos FROM currency_rate "
+   "WINDOW w AS (ORDER BY currency_id NULLS FIRST, currency_date NULLS FIRST, rate_key)", ["currency_rate"])
 _q("D3", lambda s, sf: dup.redundant_rows(_t(s, sf, "lineitem"), _LI_KEYS, _LI_REST),
    _LI_SPEC + " RowNum:i",
    f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LI_ORDER}) "
@@ -81,11 +79,13 @@ _q("D3_text", lambda s, sf: dup.redundant_rows(_t(s, sf, "documents"), "text", _
    "doc_id:i text:s lang:s source:s n_chars:i RowNum:i",
    f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY text ORDER BY {_DOC_ORDER}) AS RowNum "
    f"FROM documents) z WHERE RowNum > 1")
-_q("D4", lambda s, sf: dup.grouped_value_lists(_fx(s, sf, "numbered_log"), "create_date", "sequence_number_for_day"),
-   "create_date:d sequence_numbers:s",
-   "SELECT create_date, array_to_string(list_sort(list(DISTINCT sequence_number_for_day) "
-   "FILTER (WHERE sequence_number_for_day IS NOT NULL)), ',') AS sequence_numbers FROM numbered_log "
-   "GROUP BY create_date HAVING COUNT(sequence_number_for_day) > 1", ["numbered_log"])
+_q("D4", lambda s, sf: dup.ordered_groups(dup.grouped_value_lists(_fx(s, sf, "numbered_log"), "create_date", "sequence_number_for_day"),
+                                          "create_date"),
+   "create_date:d sequence_numbers:s report_pos:i",
+   "SELECT create_date, array_to_string(list_sort(list_distinct(vs)), ',') AS sequence_numbers, "
+   "row_number() OVER (ORDER BY create_date DESC NULLS FIRST) AS report_pos FROM "
+   "(SELECT create_date, list(sequence_number_for_day) FILTER (sequence_number_for_day IS NOT NULL) AS vs "
+   "FROM numbered_log GROUP BY create_date) g WHERE len(vs) > 1", ["numbered_log"])
 _q("D5", lambda s, sf: dup.dedupe(_t(s, sf, "lineitem"), _LI_KEYS, _LI_REST), _LI_SPEC,
    f"SELECT * FROM lineitem QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LI_ORDER}) = 1")
 _q("D5_text", lambda s, sf: dup.dedupe(_t(s, sf, "documents"), "text", _DOC_REST),
@@ -99,19 +99,32 @@ _q("I2", lambda s, sf: inv.column_occurrences(_fx(s, sf, "inventory_columns"), "
    "table_name:s column_name:s data_type:s character_maximum_length:i",
    "SELECT table_name, column_name, data_type, character_maximum_length FROM inventory_columns "
    "WHERE column_name = 'column_3'", ["inventory_columns"])
-_q("I3", lambda s, sf: inv.column_lists(_fx(s, sf, "inventory_columns"), exclude_columns=["column_0"]),
-   "table_name:s column_list:s",
-   "SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal_position, column_name) AS column_list "
-   "FROM inventory_columns WHERE column_name NOT IN ('column_0') GROUP BY table_name", ["inventory_columns"])
+_I3_SPEC = "table_schema:s table_name:s column_list:s"
+_q("I3", lambda s, sf: inv.column_lists(_fx(s, sf, "inventory_columns"), exclude_columns=["column_0"]), _I3_SPEC,
+   "SELECT table_schema, table_name, string_agg(column_name, ', ' ORDER BY ordinal_position, column_name) AS column_list "
+   "FROM inventory_columns WHERE column_name NOT IN ('column_0') GROUP BY ALL", ["inventory_columns"])
+_I3_TABLES = [f"table_{i}" for i in range(1, 100, 3)]
+_q("I3_schema", lambda s, sf: inv.column_lists(_fx(s, sf, "inventory_columns"), "schema_1", _I3_TABLES, ["column_0"]), _I3_SPEC,
+   "SELECT table_schema, table_name, array_to_string(list(column_name ORDER BY ordinal_position, column_name), ', ') AS column_list "
+   f"FROM inventory_columns WHERE table_schema = 'schema_1' AND list_contains({_I3_TABLES}, table_name) AND column_name <> 'column_0' "
+   "GROUP BY ALL", ["inventory_columns"])
 _q("I4", lambda s, sf: inv.widening_statements(_fx(s, sf, "inventory_columns"), _fx(s, sf, "inventory_tables"),
                                                ["column_0", "column_3"], ["schema_1", "schema_2"], 100),
-   "statement:s",
-   "SELECT 'ALTER TABLE IF EXISTS ' || t.table_schema || '.' || t.table_name || ' ALTER COLUMN ' || c.column_name "
-   "|| ' TYPE VARCHAR(100);' AS statement FROM inventory_columns c JOIN inventory_tables t ON "
-   "(t.table_schema = c.table_schema AND t.table_name = c.table_name AND t.table_type = 'BASE TABLE') "
-   "WHERE c.column_name IN ('column_0', 'column_3') AND c.table_schema NOT IN ('schema_1', 'schema_2') "
-   "AND c.character_maximum_length < 100", ["inventory_columns", "inventory_tables"])
-_q("I5", lambda s, sf: inv.bulk_row_counts(s, PROVIDED_TABLES, lambda n: read_table(s, sf, n)),
+   "statement:s report_pos:i",
+   "SELECT format('ALTER TABLE IF EXISTS {}.{} ALTER COLUMN {} TYPE VARCHAR({});', table_schema, table_name, column_name, 100) AS statement, "
+   "row_number() OVER (ORDER BY table_schema, table_name, column_name) AS report_pos "
+   "FROM inventory_columns SEMI JOIN (FROM inventory_tables WHERE table_type = 'BASE TABLE') b USING (table_schema, table_name) "
+   "WHERE regexp_full_match(column_name, 'column_[03]') AND table_schema IN ('schema_0', 'schema_3') "
+   "AND character_maximum_length < 100", ["inventory_columns", "inventory_tables"])
+
+
+def _provided_catalog(s):
+    """A tables inventory of the provided tables, with a view and another schema that the count has to skip."""
+    rows = [("main", t, "BASE TABLE") for t in PROVIDED_TABLES] + [("main", "orders_view", "VIEW"), ("other", "region", "BASE TABLE")]
+    return s.createDataFrame(rows, INVENTORY_TABLES)
+
+
+_q("I5", lambda s, sf: inv.inventory_row_counts(_provided_catalog(s), "main", lambda n: read_table(s, sf, n)),
    "table_name:s row_count:i",
    " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in PROVIDED_TABLES))
 
@@ -121,48 +134,31 @@ _H = ("scd_customer_history", "scd_customer")
 _HSPEC = ("hist_id:i cust_id:i fullname:s position:s eff_start_date:d eff_end_date:d curr_flag:s "
           "change_flag:s change_version_id:i")
 _HSPEC_NOID = _HSPEC.replace("hist_id:i ", "")
-_DIFF = "(h.fullname <> s.fullname OR h.position <> s.position)"
-_S1 = (f"h.cust_id IS NOT NULL AND s.cust_id IS NOT NULL AND {_DIFF} AND h.eff_end_date = DATE '9999-12-31' "
-       f"AND h.curr_flag = 'Y'")
-_S2 = "h.cust_id NOT IN (SELECT cust_id FROM scd_customer) AND h.curr_flag = 'Y'"
-SCD_CHAIN = f"""
-s1 AS (
-  SELECT h.hist_id, h.cust_id, h.fullname, h.position, h.eff_start_date,
-    CASE WHEN {_S1} THEN s.start_date - 1 ELSE h.eff_end_date END AS eff_end_date,
-    CASE WHEN {_S1} THEN 'N' ELSE h.curr_flag END AS curr_flag, h.change_flag, h.change_version_id
-  FROM scd_customer_history h LEFT JOIN scd_customer s ON h.cust_id = s.cust_id),
-s2 AS (
-  SELECT h.hist_id, h.cust_id, h.fullname, h.position, h.eff_start_date,
-    CASE WHEN {_S2} THEN DATE '2024-01-31' ELSE h.eff_end_date END AS eff_end_date,
-    CASE WHEN {_S2} THEN 'N' ELSE h.curr_flag END AS curr_flag,
-    CASE WHEN {_S2} THEN 'DELETE' ELSE h.change_flag END AS change_flag, h.change_version_id
-  FROM s1 h),
-s2only AS (
-  SELECT h.hist_id, h.cust_id, h.fullname, h.position, h.eff_start_date,
-    CASE WHEN {_S2} THEN DATE '2024-01-31' ELSE h.eff_end_date END AS eff_end_date,
-    CASE WHEN {_S2} THEN 'N' ELSE h.curr_flag END AS curr_flag,
-    CASE WHEN {_S2} THEN 'DELETE' ELSE h.change_flag END AS change_flag, h.change_version_id
-  FROM scd_customer_history h),
-s3 AS (
-  SELECT CAST(NULL AS BIGINT) AS hist_id, src.cust_id, src.fullname, src.position, src.start_date AS eff_start_date,
-    DATE '9999-12-31' AS eff_end_date, 'Y' AS curr_flag, 'UPDATE' AS change_flag,
-    tgt.change_version_id + 1 AS change_version_id, tgt.hist_id AS prior_hist_id, 1 AS phase
-  FROM s2 tgt, scd_customer src
-  WHERE tgt.cust_id = src.cust_id AND (tgt.fullname <> src.fullname OR tgt.position <> src.position)
-    AND EXISTS (SELECT * FROM s2 ch WHERE src.cust_id = ch.cust_id AND tgt.eff_end_date = src.start_date - 1
-      AND NOT EXISTS (SELECT * FROM s2 ch2 WHERE src.cust_id = ch2.cust_id AND ch2.eff_end_date = DATE '9999-12-31'))),
-s4 AS (
-  SELECT CAST(NULL AS BIGINT) AS hist_id, cust_id, fullname, position, start_date AS eff_start_date,
-    DATE '9999-12-31' AS eff_end_date, 'Y' AS curr_flag, 'INSERT' AS change_flag, 1 AS change_version_id,
-    CAST(NULL AS BIGINT) AS prior_hist_id, 2 AS phase
-  FROM scd_customer WHERE cust_id NOT IN (
-    SELECT ch2.cust_id FROM scd_customer_history ch, scd_customer ch2 WHERE ch.cust_id = ch2.cust_id)),
-s6 AS (
-  SELECT (SELECT MAX(hist_id) FROM scd_customer_history)
-           + ROW_NUMBER() OVER (ORDER BY phase, cust_id, prior_hist_id NULLS FIRST) AS hist_id,
-    cust_id, fullname, position, eff_start_date, eff_end_date, curr_flag, change_flag, change_version_id
-  FROM (SELECT * FROM s3 UNION ALL SELECT * FROM s4) i),
-s5 AS (SELECT * FROM s2 UNION ALL SELECT * FROM s6)"""
+SCD_CHAIN = """
+compared AS (
+  SELECT h.*, s.cust_id AS new_id, s.fullname AS new_name, s.position AS new_position, s.start_date AS new_start,
+    COALESCE(h.fullname <> s.fullname OR h.position <> s.position, false) AS differs, h.eff_end_date = DATE '9999-12-31' AS open_ended
+  FROM scd_customer_history h LEFT JOIN scd_customer s USING (cust_id)),
+ruled AS (
+  SELECT *, curr_flag = 'Y' AND new_id IS NULL AS gone, curr_flag = 'Y' AND differs AND open_ended AS changed FROM compared),
+applied AS (
+  SELECT hist_id, cust_id, fullname, position, eff_start_date, new_name, new_position, new_start, differs,
+    if(changed, new_start - 1, if(gone, DATE '2024-01-31', eff_end_date)) AS eff_end_date,
+    if(changed OR gone, 'N', curr_flag) AS curr_flag, if(gone, 'DELETE', change_flag) AS change_flag, change_version_id
+  FROM ruled),
+held AS (SELECT cust_id, bool_or(eff_end_date = DATE '9999-12-31') AS still_open FROM applied GROUP BY cust_id),
+versions AS (
+  SELECT 1 AS phase, cust_id, new_name AS fullname, new_position AS position, new_start AS eff_start_date, 'UPDATE' AS change_flag,
+    change_version_id + 1 AS change_version_id, hist_id AS prior_hist_id
+  FROM applied JOIN held USING (cust_id) WHERE differs AND NOT still_open AND eff_end_date + 1 = new_start),
+arrivals AS (
+  SELECT 2 AS phase, cust_id, fullname, position, start_date AS eff_start_date, 'INSERT' AS change_flag, 1 AS change_version_id,
+    CAST(NULL AS BIGINT) AS prior_hist_id
+  FROM scd_customer ANTI JOIN scd_customer_history USING (cust_id)),
+inserted AS (
+  SELECT row_number() OVER (ORDER BY phase, cust_id, prior_hist_id NULLS FIRST) + (SELECT MAX(hist_id) FROM scd_customer_history) AS hist_id,
+    *, DATE '9999-12-31' AS eff_end_date, 'Y' AS curr_flag
+  FROM (FROM versions UNION ALL FROM arrivals) u)"""
 
 
 def _hist(s, sf):
@@ -174,20 +170,22 @@ def _src(s, sf):
 
 
 def _inserts_with_keys(s, sf):
-    h, src = _hist(s, sf), _src(s, sf)
-    ex = scd2.expire(h, src, _AS_OF_D)
-    return scd2.assign_surrogate_keys(h, scd2.new_versions(ex, src).unionByName(scd2.new_keys(h, src)))
+    h = _hist(s, sf)
+    return scd2.assign_surrogate_keys(h, scd2.inserted_rows(scd2.labelled(h, _src(s, sf), _AS_OF_D)))
 
 
-_q("S1", lambda s, sf: scd2.expire_changed(_hist(s, sf), _src(s, sf)), _HSPEC, "SELECT * FROM s1", _H, SCD_CHAIN)
+_q("S1", lambda s, sf: scd2.expire_changed(_hist(s, sf), _src(s, sf)), _HSPEC,
+   "SELECT * REPLACE (if(changed, new_start - 1, eff_end_date) AS eff_end_date, if(changed, 'N', curr_flag) AS curr_flag) FROM ruled", _H, SCD_CHAIN)
 _q("S2", lambda s, sf: scd2.expire_deleted(_hist(s, sf), _src(s, sf), _AS_OF_D), _HSPEC,
-   "SELECT * FROM s2only", _H, SCD_CHAIN)
+   "SELECT * REPLACE (if(gone, DATE '2024-01-31', eff_end_date) AS eff_end_date, if(gone, 'N', curr_flag) AS curr_flag, "
+   "if(gone, 'DELETE', change_flag) AS change_flag) FROM ruled", _H, SCD_CHAIN)
 _q("S3", lambda s, sf: scd2.new_versions(scd2.expire(_hist(s, sf), _src(s, sf), _AS_OF_D), _src(s, sf)),
-   _HSPEC_NOID, "SELECT * FROM s3", _H, SCD_CHAIN)
-_q("S4", lambda s, sf: scd2.new_keys(_hist(s, sf), _src(s, sf)), _HSPEC_NOID, "SELECT * FROM s4", _H, SCD_CHAIN)
+   _HSPEC_NOID, "SELECT *, DATE '9999-12-31' AS eff_end_date, 'Y' AS curr_flag FROM versions", _H, SCD_CHAIN)
+_q("S4", lambda s, sf: scd2.new_keys(_hist(s, sf), _src(s, sf)), _HSPEC_NOID, "SELECT *, DATE '9999-12-31' AS eff_end_date, 'Y' AS curr_flag FROM arrivals", _H, SCD_CHAIN)
 _q("S5", lambda s, sf: scd2.apply_changes(_hist(s, sf), _src(s, sf), _AS_OF_D), _HSPEC,
-   "SELECT * FROM s5", _H, SCD_CHAIN)
-_q("S6", _inserts_with_keys, _HSPEC, "SELECT * FROM s6", _H, SCD_CHAIN)
+   "SELECT hist_id, cust_id, fullname, position, eff_start_date, eff_end_date, curr_flag, change_flag, change_version_id FROM applied UNION ALL "
+   "SELECT hist_id, cust_id, fullname, position, eff_start_date, eff_end_date, curr_flag, change_flag, change_version_id FROM inserted", _H, SCD_CHAIN)
+_q("S6", _inserts_with_keys, _HSPEC, "SELECT * FROM inserted", _H, SCD_CHAIN)
 _q("S7", lambda s, sf: scd2.change_types(_hist(s, sf), _src(s, sf)), "cust_id:i change_type:s",
    """SELECT COALESCE(pk.cust_id, s.cust_id) AS cust_id,
      CASE WHEN pk.cust_id IS NULL THEN 'new' WHEN s.cust_id IS NULL AND cur = 1 THEN 'deleted'
@@ -274,6 +272,8 @@ _q("J8_long", lambda s, sf: jr.long_running_cells(_long(s, sf)),
 
 # ------------------------------------------------------------------ query history (Q)
 _QH = ["query_history"]
+_BY = ["user_name", "warehouse_name"]
+_POS = "row_number() OVER (ORDER BY start_time DESC, user_name NULLS FIRST, warehouse_name NULLS FIRST) AS report_pos"
 
 
 def _qh(s, sf):
@@ -281,27 +281,27 @@ def _qh(s, sf):
 
 
 _ELAPSED = "((epoch_us(end_time) - epoch_us(start_time)) // 1000000)"
-_q("Q1", lambda s, sf: qh.current_long_queries(_qh(s, sf), AS_OF_EVENTS),
-   "user_name:s database_name:s warehouse_name:s operation:s query:s start_time_text:s status:s duration_s:i",
+_q("Q1", lambda s, sf: qh.newest_first(qh.current_long_queries(_qh(s, sf), AS_OF_EVENTS), _BY),
+   "user_name:s database_name:s warehouse_name:s operation:s query:s start_time_text:s status:s duration_s:i report_pos:i",
    f"SELECT user_name, database_name, warehouse_name, query_type AS operation, query_text AS query, "
    f"strftime(start_time, '%I:%M:%S %p') AS start_time_text, execution_status AS status, "
-   f"date_diff('second', start_time, {NOW_EV}) AS duration_s FROM query_history "
+   f"date_diff('second', start_time, {NOW_EV}) AS duration_s, {_POS} FROM query_history "
    f"WHERE execution_status IN ('RUNNING', 'QUEUED', 'BLOCKED') AND user_name NOT IN ('SNAPLOGIC') "
    f"AND date_diff('second', start_time, {NOW_EV}) > 120", _QH)
-_q("Q2", lambda s, sf: qh.long_history_hours(_qh(s, sf)),
-   "user_name:s warehouse_name:s query:s start_time:t end_time:t duration_h:i",
+_q("Q2", lambda s, sf: qh.newest_first(qh.long_history_hours(_qh(s, sf)), _BY),
+   "user_name:s warehouse_name:s query:s start_time:t end_time:t duration_h:i report_pos:i",
    "SELECT user_name, warehouse_name, query_text AS query, start_time, end_time, "
-   "date_diff('hour', start_time, end_time) AS duration_h FROM query_history "
+   f"date_diff('hour', start_time, end_time) AS duration_h, {_POS} FROM query_history "
    "WHERE date_diff('hour', start_time, end_time) > 1", _QH)
-_q("Q3", lambda s, sf: qh.long_history_text(_qh(s, sf)),
-   "user_name:s warehouse_name:s query:s start_time:t end_time:t duration_text:s",
+_q("Q3", lambda s, sf: qh.newest_first(qh.long_history_text(_qh(s, sf)), _BY),
+   "user_name:s warehouse_name:s query:s start_time:t end_time:t duration_text:s report_pos:i",
    f"SELECT user_name, warehouse_name, query_text AS query, start_time, end_time, "
    f"CAST({_ELAPSED} // 86400 AS VARCHAR) || 'd ' || CAST(({_ELAPSED} // 3600) % 24 AS VARCHAR) || 'h ' || "
-   f"CAST(({_ELAPSED} // 60) % 60 AS VARCHAR) || 'min ' || CAST({_ELAPSED} % 60 AS VARCHAR) || 'sec' AS duration_text "
+   f"CAST(({_ELAPSED} // 60) % 60 AS VARCHAR) || 'min ' || CAST({_ELAPSED} % 60 AS VARCHAR) || 'sec' AS duration_text, {_POS} "
    f"FROM query_history WHERE date_diff('hour', start_time, end_time) > 1", _QH)
-_q("Q4", lambda s, sf: qh.long_history_elapsed(_qh(s, sf)),
-   "user_name:s database_name:s warehouse_name:s operation:s query:s start_time:t status:s end_time:t duration_h:f",
+_q("Q4", lambda s, sf: qh.newest_first(qh.long_history_elapsed(_qh(s, sf)), _BY),
+   "user_name:s database_name:s warehouse_name:s operation:s query:s start_time:t status:s end_time:t duration_h:f report_pos:i",
    "SELECT user_name, database_name, warehouse_name, query_type AS operation, query_text AS query, start_time, "
-   "execution_status AS status, end_time, total_elapsed_time / 3600000 AS duration_h FROM query_history "
+   f"execution_status AS status, end_time, total_elapsed_time / 3600000 AS duration_h, {_POS} FROM query_history "
    "WHERE total_elapsed_time > 3600000", _QH)
 

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from opsledger.operators import scd2
@@ -92,7 +94,6 @@ def test_inverted_interval_check(spark):
     src2 = _src(spark, [(1, "A", "new", D(2024, 1, 15))])
     out2 = scd2.apply_changes(hist2, src2, D(2024, 1, 31))
     assert scd2.inverted_intervals(out2).count() == 1
-    assert scd2.null_key_count(src2).first().null_keys == 0
     assert out2.where(F.col("hist_id").isNull()).count() == 0
 
 
@@ -118,3 +119,24 @@ def test_history_versions_are_written_side_by_side(spark, tmp_path):
     assert p1.endswith("v=1") and p2.endswith("v=2")
     assert sinks.list_versions(spark, base) == [1, 2]
     assert spark.read.parquet(p1).count() == 4 and sinks.read_latest(spark, base).count() == 5
+
+
+@pytest.mark.parametrize("bad", [[(None, "A", "x", D(2024, 1, 15))],
+                                 [(1, "A", "x", D(2024, 1, 15)), (1, "B", "y", D(2024, 1, 15))]])
+def test_null_or_repeated_source_keys_fail(spark, bad):
+    hist = spark.createDataFrame([(10, 1, "A", "x", D(2023, 1, 1), OPEN, "Y", "INSERT", 1)], SCD_HISTORY)
+    src = _src(spark, bad + [(2, "C", "z", D(2024, 1, 15))])
+    for run in (lambda: scd2.apply_changes(hist, src, D(2024, 1, 31)), lambda: scd2.expire_changed(hist, src),
+                lambda: scd2.new_keys(hist, src), lambda: scd2.change_types(hist, src)):
+        with pytest.raises(Exception, match="cust_id"):
+            run().collect()
+
+
+def test_write_after_a_failed_version(spark, tmp_path):
+    from opsledger.sources.sinks import list_versions, read_latest, write_next_version
+    base = str(tmp_path / "t")
+    write_next_version(spark.range(3), base)
+    (tmp_path / "t" / "v=2").mkdir()
+    (tmp_path / "t" / "v=2" / "part-0").write_text("left behind")
+    assert write_next_version(spark.range(5), base).endswith("v=3")
+    assert list_versions(spark, base) == [1, 3] and read_latest(spark, base).count() == 5
