@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, one each, and the DuckDB SQL of those SQL can express."""
+"""Registered queries of the ten operators, one each; ``oracles`` has the SQL of those SQL can express."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from opsledger.llm.language_id import identify
 from opsledger.llm.license_scan import license_scan
 from opsledger.llm.minhash_forest import near_duplicates
 from opsledger.llm.mixing import mixing
+from opsledger.llm.oracles import llm_oracles  # noqa: F401
 from opsledger.llm.packing import packing
 from opsledger.llm.quality_classifier import classify
 from opsledger.llm.quality_rules import quality_rules
@@ -61,7 +62,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_graph_search, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules)}
-
-
-def llm_oracles() -> dict[str, str]:
-    return {}
