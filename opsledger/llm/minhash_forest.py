@@ -160,7 +160,8 @@ def candidates(classes: DataFrame, trees: int, depth: int, shallow: int, crowd:
     for d in range(shallow, depth + 1):
         keyed = rest.withColumn("key", F.substring("path", 1, 2 * d))
         held = keyed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(*member)).alias("head")).filter("held > 1")
-        keyed = table(keyed.join(held, ["tree", "key"]), f"region{d}")
+        # written, so that both sides of the join are plain shuffles and a crowded region's rows can be split
+        keyed = table(keyed.join(table(held, f"held{d}"), ["tree", "key"]), f"region{d}")
         out.append(pair(keyed, F.col("head")))
         calm = keyed if d == depth else keyed.filter(F.col("held") <= crowd)
         # a region crowded at full depth is cut by hash; its head keeps the cuts together
