@@ -293,7 +293,7 @@ def shared_windows(phrases: DataFrame, length: int, trigger: int, block: int = 1
             .mapInArrow(run, f"doc_id {id_field}, at int, windows int, key binary"))
 
 
-def repeats(docs: DataFrame, texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, slice_phrases: int = 8192) -> DataFrame:
+def repeats(docs: DataFrame, texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, slice_phrases: int = 512) -> DataFrame:
     """(doc_id, at, windows): runs of window starts that are repeats."""
     again = table(trigger_counts(docs, length, trigger), "triggers")
     rows = table(phrase_rows(docs, length, trigger).join(again, "tau", "left_semi"), "phrases")
