@@ -1,9 +1,10 @@
 """opsledger: warehouse-operations analytics as Spark DataFrame operators.
 
 Every public operator takes DataFrames plus plain parameters and returns a
-lazy DataFrame. "Now" is always an explicit ``as_of`` argument so results
-are reproducible. No operator calls ``collect()``; the whole computation is a
-single Catalyst plan per result.
+DataFrame. "Now" is always an explicit ``as_of`` argument so results are
+reproducible. Most operators are one lazy plan; those that number rows or
+share an intermediate write it to the session's shared folder while they are
+built (README).
 """
 
 from opsledger.session import get_session, ensure_checkpoint_dir
