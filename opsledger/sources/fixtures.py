@@ -23,23 +23,19 @@ EXEC_LOG_ANCHOR = "2024-01-31"
 EXEC_LOG_DAYS = 91
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small input over the cluster's cores before it is multiplied.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the input out by its key before it is multiplied.
 
-    The derivations below turn one input row into up to ~1,000 rows; when the
-    input arrives in fewer partitions than there are cores (a single small
-    file), the generation would otherwise run in one task. Inputs that are
-    already split are left alone.
+    The derivations below turn one input row into up to ~1,000 rows, so the
+    generation needs more tasks than the size of the input suggests; the
+    explicit count keeps adaptive execution from merging them.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def exec_log(customer: DataFrame) -> DataFrame:
     """Job execution log ``pkg_nm, load_dt, start_dt, stop_dt, sts_cd`` (one row per run)."""
-    base = spread(customer.select("c_custkey")).select(
+    base = spread(customer.select("c_custkey"), "c_custkey").select(
         F.col("c_custkey").alias("k"),
         (F.col("c_custkey") % 10).alias("cls"),
         F.floor(F.col("c_custkey") / 10).cast("int").alias("g"),
