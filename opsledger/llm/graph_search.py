@@ -163,7 +163,7 @@ def index(vectors: DataFrame, k: int, shard_nodes: int = 4096, degree: int = 32,
     return table(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(make, schema), "graphs")
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = 128, block_queries: int = 1024) -> DataFrame:
+def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = 256, block_queries: int = 1024) -> DataFrame:
     """(query, vec_id, score): the k + 1 nearest rows of every shard for each of ``queries`` (query, v)."""
     blocks = max(1, math.ceil(queries.count() / block_queries))
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
