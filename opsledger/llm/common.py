@@ -10,42 +10,23 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opsledger.plans.materialize import written
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    A cluster has to name one. Only a local session (tests) gets a scratch
-    folder of its own where none is set.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="opsledger-llm-"))
-    return sc.getCheckpointDir()
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the shared folder (``spark.checkpoint.dir``) and read it back.
 
     It cuts the lineage, survives lost executors, and gives the planner the
     true size of the rows, so that a join broadcasts them only when they are
     below ``spark.sql.autoBroadcastJoinThreshold``.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, f"llm-{name}")
 
 
 def drop(df: DataFrame) -> None:
@@ -93,8 +74,8 @@ def utf8_crc32(text: Column) -> Column:
 
 
 def crc_fold(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo ``n``: the fold that the held-out rows are drawn by."""
-    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n
+    """crc32 of the id as text, modulo ``n``: the fold that the held-out rows are drawn by; -1 without an id."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n, F.lit(-1))
 
 
 def prepare(spark: SparkSession, rows: int = 1000) -> None:

@@ -375,3 +375,16 @@ def test_every_query_is_registered():
     from opsledger.llm.queries import llm_queries
 
     assert [int(n[2:].split("_")[0]) for n in llm_queries()] == list(range(1, 11))
+
+
+def test_rows_without_an_id(spark):
+    """No operator fails on a null doc_id; its row comes back once."""
+    rows = [(None, "some words of a text " * 30, "aa", "s", 1), (None, None, None, None, None), (5, "other words of a text " * 30, "bb", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(None, 1), (5, 0)], "doc_id long, quality int")
+    for out in (suffix_dedup.dedup(df), minhash_forest.near_duplicates(df), quality_rules.quality_rules(df), license_scan.license_scan(df),
+                sharding.sharding(df), mixing.mixing(df), language_id.identify(df), classify(df, labels), _pieces(df)):
+        got = out.toPandas()
+        assert got.doc_id.isna().sum() == 2 and (got.doc_id == 5).sum() >= 1
+        if "held_out" in got:
+            assert not got[got.doc_id.isna()].held_out.any()
