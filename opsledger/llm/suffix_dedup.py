@@ -303,7 +303,8 @@ def repeats(docs: DataFrame, texts: DataFrame, length: int = LENGTH, trigger: in
               .filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
               .select("doc_id", "at", F.shiftright("shape", 8).alias("windows")))
     many = firsts.groupBy("tau").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    many = many.select("tau", F.ceil(F.col("kinds") / slice_phrases).cast("int").alias("slices"))
+    # written, so that both sides of the join are plain shuffles and a trigger of many phrases can be split
+    many = table(many.select("tau", F.ceil(F.col("kinds") / slice_phrases).cast("int").alias("slices")), "many")
     wanted = firsts.join(many, "tau").select(
         "tau", F.pmod(F.xxhash64("phrase"), F.col("slices")).cast("int").alias("slice"), "slices", "first.doc_id", "first.at", "shape")
     shared = table(shared_windows(phrase_texts(texts, table(wanted, "wanted"), length), length, trigger), "shared")
