@@ -115,18 +115,19 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8192, bits: int =
         w, bias, a, b = fit(rows, np.array(label, dtype=int), bits)
         return np.concatenate([w, [bias, a, b]])
 
-    def learn(batches):
-        rows, label = [], []
-        for batch in batches:
-            label += batch.column(0).to_pylist()
-            rows += [np.frombuffer(x.as_py(), dtype=np.int32) for x in batch.column(1)]
+    def model_of(rows, label):
         w, bias, a, b = fit(rows, np.array(label, dtype=int), bits)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([w, [bias, a, b]]).tobytes()], pa.binary())], ["model"])
+        return np.concatenate([w, [bias, a, b]])
+
+    def learn(batches):
+        held = sorted((k, y, x) for batch in batches for y, x, k in zip(*(c.to_pylist() for c in batch.columns)))
+        model = model_of([np.frombuffer(x, dtype=np.int32) for _, _, x in held], [y for _, y, _ in held])
+        yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], ["model"])
 
     train = (docs.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("key"))
              .mapInArrow(vectors, "label int, x binary, key long"))
-    # the bounded sample is fitted in one task
-    found = train.orderBy("key").coalesce(1).mapInArrow(learn, "model binary").collect()
+    # the bounded sample is fitted in one task, in the order of its keys
+    found = train.repartition(1).mapInArrow(learn, "model binary").collect()
     model = np.frombuffer(found[0][0]) if found else model_of([], [])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
