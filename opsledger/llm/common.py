@@ -10,6 +10,8 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,32 @@ def table(df: DataFrame, name: str) -> DataFrame:
     true size of the rows, so that a join broadcasts them only when they are
     below ``spark.sql.autoBroadcastJoinThreshold``.
     """
-    return written(df, f"llm-{name}")
+    out = written(df, f"llm-{name}")
+    if _noting:
+        _noted.append(out)
+    return out
+
+
+_noting: list[bool] = []
+_noted: list[DataFrame] = []
+
+
+@contextmanager
+def noted_tables():
+    """Tables written inside the block can be deleted by ``release``."""
+    _noting.append(True)
+    try:
+        yield
+    finally:
+        _noting.pop()
+
+
+def release() -> None:
+    """Delete the noted tables; only once the results that read them have been written themselves."""
+    while _noted:
+        df = _noted.pop()
+        if df.sparkSession.sparkContext._jsc is not None:  # not of a session that has ended
+            drop(df)
 
 
 def drop(df: DataFrame) -> None:

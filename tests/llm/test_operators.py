@@ -348,10 +348,11 @@ def test_empty_tables(spark, empty):
 
 def test_pipeline_small(spark):
     import corpus_pipeline
+    from opsledger.plans.materialize import written
 
     df = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in df.collect()}
-    stages = dict(corpus_pipeline.STAGES)
+    stages = {n: lambda *a, f=f: written(f(*a), "stage") for n, f in corpus_pipeline.STAGES}
     kept = stages["quality rules"](spark, df, SF)
     good = {d for d, t in texts.items() if (q := brute.quality(t))[0] >= 50 and 100 * q[4] <= 50 * q[0]}
     assert {r.doc_id for r in kept.collect()} == good
