@@ -8,14 +8,21 @@
 - Depth adapts to the region: a prefix held by more than ``crowd`` classes is
   lengthened value by value; at full depth a crowded region is cut by hash.
   Every class is also paired with the smallest class of each region it passes.
+  Cut and order within a region are drawn anew in every tree.
 - A 128-bit sketch (one bit of a MinHash value each) drops candidates far
   below the threshold; what is left is confirmed on the full sets.
 - Confirming goes in rounds and skips pairs whose classes are already linked:
   the best candidate of each class, then the best of each two components,
   then every pair that still joins two components.
+- Neighbours are not all pairs of a region of more than ``near + 1`` classes.
+  Where such a region still holds two components, its classes go through an
+  exact set-similarity join on their full sets (prefix and positional filter),
+  which finds every pair that joins two components.
 
 Two sets at the threshold 0.75 share four values of a tree with probability
-0.32, so all 32 trees miss them with probability 5e-6.
+0.32, so all 32 trees miss them with probability 5e-6; a pair that shares a
+region of more than ``near + 1`` classes is never missed. In smaller regions
+the sketch drops a pair at the threshold with probability 6e-7.
 
 Null text, empty text and text without words have no shingles and link with
 nothing. Rows of one doc_id are one document: they share its links.
@@ -142,8 +149,11 @@ def signatures(docs: DataFrame, values: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_field}, n long, set binary, sig binary, s0 long, s1 long")
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, shallow: int, crowd: int, near: int, apart: int) -> DataFrame:
-    """(a, b, off): pairs a < b of class ids that are neighbours in some tree; off = unequal sketch bits."""
+def candidates(classes: DataFrame, trees: int, depth: int, shallow: int, crowd: int, near: int, apart: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, off): pairs a < b of class ids that are neighbours in some tree; off = unequal sketch bits.
+
+    Also (tree, key, rep): the regions whose pairs are not all among them.
+    """
     wide = 2 * depth
     member = ["rep", "n", "s0", "s1"]
     rows = classes.select(*member, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig").select(
@@ -163,17 +173,57 @@ def candidates(classes: DataFrame, trees: int, depth: int, shallow: int, crowd:
         # written, so that both sides of the join are plain shuffles and a crowded region's rows can be split
         keyed = table(keyed.join(table(held, f"held{d}"), ["tree", "key"]), f"region{d}")
         out.append(pair(keyed, F.col("head")))
+        if d == shallow:  # longer prefixes only part these
+            crowded = keyed.filter(F.col("held") > near + 1).select("tree", "key", "rep")
         calm = keyed if d == depth else keyed.filter(F.col("held") <= crowd)
         # a region crowded at full depth is cut by hash; its head keeps the cuts together
-        cut = F.pmod(F.xxhash64("rep"), F.ceil(F.col("held") / crowd))
-        order = Window.partitionBy("tree", "key", "cut").orderBy("path", "rep")
+        cut = F.pmod(F.xxhash64("tree", "rep"), F.ceil(F.col("held") / crowd))
+        order = Window.partitionBy("tree", "key", "cut").orderBy("path", F.xxhash64("rep", "tree"), "rep")
         calm = calm.withColumn("cut", cut).select(*member, F.array(*[F.lead(F.struct(*member), i).over(order) for i in range(1, near + 1)]).alias("next"))
         out.append(pair(calm.select(*member, F.explode("next").alias("o")), F.col("o")))
         rest = keyed.filter(F.col("held") > crowd).select("tree", "path", *member)
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
-    return every.groupBy("a", "b").agg(F.min("off").alias("off"))
+    return every.groupBy("a", "b").agg(F.min("off").alias("off")), crowded
+
+
+def similar(sets: DataFrame) -> DataFrame:
+    """(a, b, off): every pair a < b of ``sets`` (rep, h, root) of two roots that can have 7 * common >= 3 * (n_a + n_b).
+
+    Words of a set are ordered by (held by one root first, rarest, hash). With
+    c common words the first of them has c words from its place on in both
+    sets: it lies in the first seventh of the smaller set and the first quarter
+    of the larger one. Words of one root have no partner and are only counted.
+    """
+    def spread(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.int64)
+                for lo in range(0, len(h), CHUNK):
+                    w = pa.array(h[lo:lo + CHUNK])
+                    same = [pa.array([batch.column(j)[i].as_py()] * len(w), batch.column(j).type) for j in range(3)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(w), len(h))), w], ["u", "rep", "root", "n", "w"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    # rows of one doc_id may have several sets
+    numbered = table(sets.select(F.monotonically_increasing_id().alias("u"), "rep", "root", "h"), "crowded-sets")
+    words = table(numbered.mapInArrow(spread, f"u long, rep {kind}, root {kind}, n long, w long"), "crowded-words")
+    shared = words.groupBy("w").agg(F.count(F.lit(1)).alias("f"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    rows = (words.join(table(shared.select("w", "f"), "shared-words"), "w").groupBy("u", "rep", "root", "n")
+            .agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("ws")).filter(4 * F.size("ws") >= 3 * F.col("n")))
+    # left: the words from this one on
+    rows = rows.select("rep", "root", "n", F.posexplode(F.slice("ws", F.lit(1), F.size("ws") - F.ceil(3 * F.col("n") / 4).cast("int") + 1)),
+                       F.size("ws").alias("of")).select("rep", "root", "n", F.col("col.w").alias("w"), (F.col("of") - F.col("pos")).alias("left"))
+    # written, so that both sides of the join are plain shuffles and a common word can be split
+    rows = table(rows, "prefixes")
+    x = rows.filter(7 * F.col("left") >= 6 * F.col("n")).select("w", *[F.col(c).alias(f"x_{c}") for c in ("rep", "root", "n", "left")])
+    y = rows.select("w", *[F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n", "left")])
+    need = 3 * (F.col("x_n") + F.col("y_n"))
+    met = x.join(y, "w").filter((F.col("x_root") != F.col("y_root")) & (F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep"))
+                                & (7 * F.col("x_left") >= need) & (7 * F.col("y_left") >= need))
+    return met.groupBy(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).agg(
+        F.min(F.greatest(F.col("x_n") - F.col("x_left"), F.col("y_n") - F.col("y_left"))).alias("off"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -217,19 +267,46 @@ def near_duplicates(docs: DataFrame, trees: int = 32, depth: int = 6, shallow: i
     some = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = table(some.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
                                             F.first("s0").alias("s0"), F.first("s1").alias("s1")), "classes")
-    pairs = table(candidates(classes, trees, depth, shallow, crowd, near, apart), "pairs")
+    pairs, crowded = candidates(classes, trees, depth, shallow, crowd, near, apart)
+    pairs = table(pairs, "pairs")
     ids = table(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "paired")
     sets = table(shingle_sets(docs, ids), "sets")
 
     best = pairs.groupBy("b").agg(F.min(F.struct("off", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = [table(_same_id(some, classes), "copies"), table(confirm(best, sets), "confirmed")]
-    tried = table(best, "tried")
+    _confirm_rounds(pairs, sets, links, table(best, "tried"))
+    roots = components(_union(links))
+    # regions that hold two components and more pairs than neighbours
+    here = table(_rooted(crowded, roots, "rep"), "crowded")
+    mixed = here.groupBy("tree", "key").agg(F.min("root_rep").alias("r0"), F.max("root_rep").alias("r1")).filter("r0 <> r1")
+    left = table(here.join(mixed.select("tree", "key"), ["tree", "key"], "left_semi").select("rep", F.col("root_rep").alias("root")).distinct(), "mixed")
+    if not left.isEmpty():
+        full = table(shingle_sets(docs, left.select("rep")), "mixed-sets")
+        more = table(similar(full.join(left, "rep")), "similar")
+        _confirm_rounds(more, full, links, None, roots)
+        roots = components(_union(links))
+    named = _rooted(classes.select("set", "rep"), roots, "rep").select("set", F.col("root_rep").alias("component_id"))
+    # classes of one doc_id share the smallest component of their rows
+    out = signed.select("doc_id", "set", F.col("n").alias("n_shingles")).join(named, "set", "left")
+    component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null(F.col("doc_id"), component).alias("kept"))
+
+
+def _union(links: list[DataFrame]) -> DataFrame:
+    joined = links[0]
+    for x in links[1:]:
+        joined = joined.unionByName(x)
+    return joined
+
+
+def _confirm_rounds(pairs: DataFrame, sets: DataFrame, links: list[DataFrame], tried: DataFrame | None,
+                    roots: DataFrame | None = None) -> None:
+    """Confirm the best pair of each two components, then every pair that still joins two; append to ``links``."""
     for last in (False, True):
-        joined = links[0]
-        for x in links[1:]:
-            joined = joined.unionByName(x)
-        roots = components(joined)
-        here = _rooted(_rooted(pairs.join(tried, ["a", "b"], "left_anti"), roots, "a"), roots, "b")
+        if last or roots is None:
+            roots = components(_union(links))
+        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        here = _rooted(_rooted(fresh, roots, "a"), roots, "b")
         open_pairs = here.filter(F.col("root_a") != F.col("root_b"))
         if not last:
             top = open_pairs.groupBy(F.least("root_a", "root_b").alias("p"), F.greatest("root_a", "root_b").alias("q")).agg(
@@ -237,16 +314,7 @@ def near_duplicates(docs: DataFrame, trees: int = 32, depth: int = 6, shallow: i
             open_pairs = top.select("x.a", "x.b")
         todo = table(open_pairs.select("a", "b"), "open")
         links.append(table(confirm(todo, sets), "confirmed"))
-        tried = tried.unionByName(todo)
-    joined = links[0]
-    for x in links[1:]:
-        joined = joined.unionByName(x)
-    roots = components(joined)
-    named = _rooted(classes.select("set", "rep"), roots, "rep").select("set", F.col("root_rep").alias("component_id"))
-    # classes of one doc_id share the smallest component of their rows
-    out = signed.select("doc_id", "set", F.col("n").alias("n_shingles")).join(named, "set", "left")
-    component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null(F.col("doc_id"), component).alias("kept"))
+        tried = todo if tried is None else tried.unionByName(todo)
 
 
 def _same_id(some: DataFrame, classes: DataFrame) -> DataFrame:

@@ -100,6 +100,21 @@ def test_minhash_forest_crowded_regions(docs):
     assert {d: r.component_id for d, r in got.items()} == {d: c for d, (_, c) in brute.near_groups(corpus()).items()}
 
 
+def test_minhash_forest_shared_template(spark):
+    """240 documents of one template, pairwise just under the threshold, and pairs of them just above it."""
+    template = " ".join(f"t{i}" for i in range(180))
+    rows = []
+    for i in range(240):
+        tail = [f"u{i}x{j}" for j in range(30)]
+        if i >= 200:  # 220 + k shares its first tail words with 200 + k
+            tail[:2 + i % 2] = [f"p{i % 20}x{j}" for j in range(2 + i % 2)]
+        rows.append((i * 7 % 241, f"{template} {' '.join(tail)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: c for d, (_, c) in brute.near_groups(rows).items()}
+    assert sum(d != c for d, c in want.items()) == 20
+    assert {d: r.component_id for d, r in rows_of(minhash_forest.near_duplicates(docs)).items()} == want
+
+
 def test_minhash_forest_repeated_rows(spark):
     a, b = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
     rows = [(1, a), (1, b), (2, a), (3, b), (3, b), (None, a), (4, None)]
