@@ -7,7 +7,7 @@
    counts into about ``blocks`` blocks by running totals over range
    partitions, so a source may hold any share of the rows.
 3. Quotas: a source draws whole passes over its blocks and, of the last pass,
-   the blocks of a second hashed order up to the target.
+   every block of a second hashed order that still fits into the target.
 4. Tree: the draws of all sources are split between the halves of the output
    shards by one multivariate hypergeometric draw, and so on down to single
    shards; a shard's share of a source is a run of its draws, disjoint from
@@ -97,14 +97,22 @@ def plan_mix(docs: DataFrame, shards: int = 8, blocks: int = 512, most: float =
     # at most ``blocks`` + 1 rows per source from here on
     permuted = Window.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed + 1), "_s", "_block"), "_block")
     whole = Window.partitionBy("_s")
-    ranked = (rows.groupBy("_s", "_block", "source_size", "target").agg(F.sum("size").alias("_n"))
-              .withColumns({"_rank": F.row_number().over(permuted) - 1, "_upto": F.sum("_n").over(permuted),
-                            "_all": F.count(F.lit(1)).over(whole)})
-              .withColumn("_passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
-              # the last pass: blocks up to the target, then the one block that comes nearest to what is missing
-              .withColumn("_rest", F.col("target") - F.col("_passes") * F.col("source_size"))
-              .withColumn("_in", F.col("_upto") <= F.col("_rest"))
-              .withColumn("_missing", F.col("_rest") - F.coalesce(F.max(F.when(F.col("_in"), F.col("_upto"))).over(whole), F.lit(0)))
+    sums = table(rows.groupBy("_s", "_block", "source_size", "target").agg(F.sum("size").alias("_n"))
+                 .withColumn("_passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
+                 .withColumn("_rest", F.col("target") - F.col("_passes") * F.col("source_size")), "sums")
+
+    def fill(acc: Column, x: Column) -> Column:
+        fits = acc["upto"] + x["_n"] <= F.col("_rest")
+        return F.struct((acc["upto"] + F.when(fits, x["_n"]).otherwise(0)).alias("upto"),
+                        F.when(fits, F.concat(acc["taken"], F.array(x["_block"]))).otherwise(acc["taken"]).alias("taken"))
+
+    # the last pass: every block that still fits, then the one block that comes nearest to what is missing
+    filled = (sums.groupBy("_s", "_rest").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), "_s", "_block").alias("_o"), "_block", "_n"))).alias("_bs"))
+              .select("_s", F.aggregate("_bs", F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<bigint>").alias("taken")), fill).alias("_f")))
+    ranked = (sums.join(filled, "_s")
+              .withColumns({"_rank": F.row_number().over(permuted) - 1, "_all": F.count(F.lit(1)).over(whole)})
+              .withColumn("_in", F.array_contains("_f.taken", F.col("_block")))
+              .withColumn("_missing", F.col("_rest") - F.col("_f.upto")).drop("_f")
               .withColumn("_off", F.abs(F.col("_n") - F.col("_missing")))
               .withColumn("_best", F.min(F.when(~F.col("_in") & (F.col("_off") < F.col("_missing")), F.struct("_off", "_rank"))).over(whole)["_rank"])
               .withColumn("_copies", F.col("_passes") + (F.col("_in") | F.coalesce(F.col("_best") == F.col("_rank"), F.lit(False))).cast("long")))

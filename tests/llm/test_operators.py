@@ -213,6 +213,17 @@ def test_mixing_laws(docs, spark):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.01 * g.target.iloc[0]
 
 
+def test_mixing_one_document_holds_most_of_a_source(spark):
+    """The blocks that fit are drawn, wherever the oversized one comes in the hashed order."""
+    for big in range(6):
+        rows = [(1000 * big + i, "w " * (3000 if i == 0 else 10), "a") for i in range(201)]  # 60 % of the source is one document
+        rows += [(1000 * big + 500 + i, "w " * 10, "b") for i in range(340)]
+        got = mixing.mixing(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        for size in (5000, 3400):
+            mine = [r for r in got if r.source_size == size]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 100
+
+
 def test_water_fill():
     assert mixing.water_fill([100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
     assert mixing.water_fill([10, 1000, 0]) == pytest.approx([30, 980, 0])
