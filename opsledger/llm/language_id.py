@@ -226,20 +226,85 @@ class Model:
         return out
 
 
-def train(rows: DataFrame, max_grams: int = 8_000_000) -> Model | None:
+class Piece:
+    """A part of a model as summands: the log-probability of a gram is the sum of its entries in all pieces.
+
+    An order's entry of a seen gram is what it adds to the weight of its
+    context and the log-probability of its tail; both have entries of their own.
+    """
+
+    def __init__(self, langs: list[str], unseen: np.ndarray, entries):
+        self.langs, self.unseen, self.parts = langs, unseen, []
+        column = {x: i for i, x in enumerate(langs)}
+        for (k, context), rows in entries.groupby(["k", "context"]):
+            keys, where = np.unique(rows["gram"].to_numpy().astype(np.uint64), return_inverse=True)
+            values = np.zeros((len(keys), len(langs)))
+            values[where, rows["lang"].map(column).to_numpy()] = rows["x"].to_numpy()
+            self.parts.append((int(k), bool(context), SortedHashes(keys, values)))
+
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        out = np.tile(self.unseen, (len(keys), 1))
+        for k, context, held in self.parts:
+            tail = keys & np.uint64((1 << 16 * k) - 1)
+            at = held.find(tail >> np.uint64(16) if context else tail)
+            hit = np.flatnonzero(at >= 0)
+            out[hit] += held.values[at[hit]]
+        return out
+
+
+class Pieces:
+    """A model in ``count`` pieces, each gathered when it is asked for."""
+
+    def __init__(self, probabilities: DataFrame, contexts: DataFrame, count: int):
+        probabilities = table(probabilities, "probabilities")
+        contexts = table(contexts, "contexts")
+        # one row per language
+        whole = contexts.filter("k = 1").select("lang", (F.col("weight") - F.log(F.col("kinds") + 1)).alias("x")).toPandas().sort_values("lang")
+        self.langs, self.unseen, self.count = list(whole["lang"]), whole["x"].to_numpy(), count
+        few = F.broadcast(contexts.filter("k = 1").select("lang", (F.col("weight") - F.log(F.col("kinds") + 1)).alias("floor")))
+        inner = contexts.filter("k > 1").select("lang", "k", F.col("gram").alias("context"), "weight")
+        tails = probabilities.select("lang", (F.col("k") + 1).alias("k"), F.col("gram").alias("tail"), F.col("logp").alias("below"))
+        mask = F.element_at(F.array(*[F.lit((1 << 16 * (k - 1)) - 1).cast("long") for k in range(1, ORDER + 1)]), F.col("k"))
+        upper = (probabilities.filter("k > 1").withColumns({"context": F.shiftrightunsigned("gram", 16), "tail": F.col("gram").bitwiseAND(mask)})
+                 .join(inner, ["lang", "k", "context"]).join(tails, ["lang", "k", "tail"])
+                 .select("lang", "k", F.lit(False).alias("context"), "gram", (F.col("logp") - F.col("weight") - F.col("below")).alias("x")))
+        first = probabilities.filter("k = 1").join(few, "lang").select("lang", "k", F.lit(False).alias("context"), "gram", (F.col("logp") - F.col("floor")).alias("x"))
+        rows = upper.unionByName(first).unionByName(inner.select("lang", "k", F.lit(True).alias("context"), F.col("context").alias("gram"), F.col("weight").alias("x")))
+        self.entries = table(rows.withColumn("piece", F.pmod(F.xxhash64("k", "context", "gram"), F.lit(count))), "entries")
+
+    def piece(self, i: int) -> Piece:
+        return Piece(self.langs, self.unseen if i == 0 else np.zeros(len(self.langs)), self.entries.filter(F.col("piece") == i).drop("piece").toPandas())
+
+
+def train(rows: DataFrame, max_grams: int = 8_000_000) -> Model | Pieces | None:
     """A model of ``rows`` (lang, text), None if there is nothing to learn."""
     counts = table(count_grams(rows), "grams")
-    least, size = 1, counts.count()
-    while size > max_grams:
-        least *= 2
-        size = counts.filter(F.col("n") >= least).count()
+    size = counts.count()
     if not size:
         return None
-    probabilities, contexts = kneser_ney(counts.filter(F.col("n") >= least))
+    probabilities, contexts = kneser_ney(counts)
+    if size > max_grams:
+        return Pieces(probabilities, contexts, -(-size // max_grams))
     return Model(probabilities.toPandas(), contexts.toPandas())  # at most four times max_grams rows
 
 
-def entropies(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
+def measured(docs: DataFrame, model: Model | Pieces, carry: list[str]) -> DataFrame:
+    """``entropies`` of a whole model, or the sums of those of its pieces."""
+    if isinstance(model, Model):
+        return table(entropies(docs, model, carry), "entropy")
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    parts = None
+    for i in range(model.count):
+        part = table(entropies(keyed, model.piece(i), [*carry, "_key"]), "entropy-part")
+        parts = part if parts is None else parts.unionByName(part)
+    # equal rows have equal sums
+    rows = F.count(F.lit(1)) / model.count
+    out = parts.groupBy(*carry, "_key").agg(rows.cast("long").alias("_rows"), F.first("n").alias("n"),
+                                            F.array(*[F.sum(F.get("h", i)) / rows for i in range(len(model.langs))]).alias("h"))
+    return table(out.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).select(*carry, "n", "h"), "entropy")
+
+
+def entropies(docs: DataFrame, model: Model | Piece, carry: list[str]) -> DataFrame:
     """``carry`` columns, n (characters scored) and h (cross-entropy in every language)."""
     # by value, as the rest of this folder: workers need no copy of the package
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
@@ -279,7 +344,7 @@ def identify(docs: DataFrame, reject_share: float = 0.001, temperatures=(1.0, 3.
     model = train(docs.filter((F.col("fold") < 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()))
     if model is None:
         return docs.select("doc_id", held_out, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    scored = table(entropies(docs, model, ["doc_id", "lang", "fold"]), "entropy")
+    scored = measured(docs, model, ["doc_id", "lang", "fold"])
     langs = F.array(*map(F.lit, model.langs))
     best = F.array_min("h")
 

@@ -335,6 +335,15 @@ def test_language_id_und_and_no_model(docs, empty):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_language_id_keeps_every_gram(docs, monkeypatch):
+    """A model in pieces scores as the whole one does; repeated rows stay."""
+    docs = docs.unionByName(docs.limit(7))
+    texts = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 6), r.rejected) for r in language_id.identify(docs).collect())
+    want = texts()
+    monkeypatch.setattr(language_id.train, "__defaults__", (2000,))
+    assert texts() == want
+
+
 def test_kneser_ney_sums_to_one(spark):
     rows = spark.createDataFrame([("aa", "abra cadabra abracadabra"), ("bb", "xyz zzyx xyzzy")], "lang string, text string")
     model = language_id.train(rows)
