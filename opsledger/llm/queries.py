@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, one each; ``oracles`` has the SQL of those SQL can express."""
+"""Registered queries of the operators, one each; ``oracles`` has the SQL of those SQL can express."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opsledger.llm.bpe_codec import round_trip
 from opsledger.llm.common import documents
 from opsledger.llm.graph_search import nearest
 from opsledger.llm.language_id import identify
@@ -60,5 +61,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_graph_search, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_graph_search, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules, op12_bpe_codec)}
