@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class every Unicode version agrees on; texts of others are split by the library.
 SETTLED = "\x00-՗‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣"
-CACHE, GROUP, SHORT = 1 << 18, 1 << 22, 64
+CACHE, GROUP, SHORT = 1 << 18, 1 << 21, 64
 NONE = np.int64(1) << 40
 
 
@@ -136,37 +136,88 @@ class Merger:
             place = np.cumsum(keep) - 1
             rank[hit] = NONE
             sym, name, rank, made = sym[keep], name[keep], rank[keep], made[keep]
-            touched = np.unique(np.concatenate([place[hit], place[hit] - 1]))
-            touched = touched[(touched >= 0) & (touched < len(sym) - 1)]
+            beside = np.zeros(len(sym) + 1, dtype=bool)
+            beside[place[hit]] = beside[place[hit] - 1] = True
+            touched = np.flatnonzero(beside[:len(sym) - 1])
         return out
 
 
 class Splitter:
-    """Words of texts as the library cuts them; an added token is one word."""
+    """Words of texts as the library cuts them; an added token is one word.
+
+    Texts of settled characters are cut together on their code points; the
+    others, and texts that hold an added token, one by one.
+    """
+
+    LETTER, NUMBER, BLANK = 1, 2, 3
 
     def __init__(self, added: dict[str, int]):
         import regex
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.find = regex.compile(PATTERN).findall
-        self.unsettled = regex.compile(f"[^{SETTLED}]").search
         self.library = ByteLevel(add_prefix_space=False, use_regex=True)
+        settled = regex.compile(f"[{SETTLED}]").findall("".join(map(chr, range(0xD800))))
+        self.kind = np.zeros(0xD800, dtype=np.uint8)
+        every, codes = "".join(settled), np.array(list(map(ord, settled)))
+        for kind, one in ((self.LETTER, r"\p{L}+"), (self.NUMBER, r"\p{N}+"), (self.BLANK, r"\s+")):
+            for m in regex.finditer(one, every):
+                self.kind[codes[m.start():m.end()]] = kind
+        odd = [f"[^{SETTLED}]", *map(regex.escape, added)]
+        self.odd = regex.compile("|".join(odd)).search
         # the longest of the added tokens that start at a place
         names = sorted(added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
-    def plain(self, text: str) -> list[str]:
-        if self.unsettled(text):
-            return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
-        return self.find(text)
-
-    def __call__(self, text: str) -> list[str]:
-        if self.added is None or not self.added.search(text):
-            return self.plain(text)
-        words = []
-        for i, part in enumerate(self.added.split(text)):
-            words += [part] if i % 2 else self.plain(part)
-        return words
+    def one(self, text: str) -> list[int]:
+        """First characters of the words of a text, by the library."""
+        starts, at = [], 0
+        for i, part in enumerate(self.added.split(text) if self.added else [text]):
+            starts += [at] if i % 2 else [at + a for _, (a, _) in self.library.pre_tokenize_str(part)]
+            at += len(part)
+        return starts
+
+    def together(self, code: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """Whether a word starts at each code point; ``opens`` marks the first one of each text."""
+        kind = self.kind[np.minimum(code, len(self.kind) - 1)]
+        start = opens.copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        follows = np.append(~opens[1:], False)
+        # the last blank before a word stands alone, or opens the word if it is a space
+        blank = kind == self.BLANK
+        last = np.flatnonzero(blank[:-1] & ~blank[1:] & follows[:-1])
+        start[last] = True
+        start[last[code[last] == 32] + 1] = False
+        # 's 't 'm 'd 're 've 'll
+        quote = np.flatnonzero((code == 39) & start & follows)
+        after = np.append(code, [0, 0])
+        x, y = after[quote + 1], np.where(np.append(follows, False)[quote + 1], after[quote + 2], 0)
+        size = np.where(np.isin(x, [ord(c) for c in "stmd"]), 1, 0)
+        for pair in ("re", "ve", "ll"):
+            size[(x == ord(pair[0])) & (y == ord(pair[1]))] = 2
+        quote, size = quote[size > 0], size[size > 0]
+        start[quote + 1] = False
+        ends = quote + 1 + size
+        start[ends[ends < len(start)]] = True
+        return start
+
+    def __call__(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Words of all texts as UTF-8 in one array, and the number of words of each text."""
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        opens = np.zeros(len(code), dtype=bool)
+        opens[first[sizes > 0]] = True
+        start = self.together(code, opens) if len(code) else opens
+        for t, a in zip(texts, first.tolist()):
+            if self.odd(t):
+                start[a:a + len(t)] = False
+                start[np.array(self.one(t), dtype=np.int64) + a] = True
+        at = np.flatnonzero(start)
+        width = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+        place = np.concatenate([[0], np.cumsum(width)])
+        offsets = np.append(place[at], place[-1]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer("".join(texts).encode())])
+        return words, np.diff(np.searchsorted(at, np.append(first, len(code))))
 
 
 def grouped(texts: list[str]):
@@ -193,26 +244,26 @@ def encode(docs: DataFrame, path: str, special: bool = True) -> DataFrame:
     def run(batches):
         merger, added = Merger(vocab), vocab.added if special else {}
         split, known = Splitter(added), {}
-        fixed = {w: np.array([i], dtype="<u4").tobytes() for w, i in added.items()}
+        fixed = {w.encode(): np.array([i], dtype="<u4").tobytes() for w, i in added.items()}
         for batch in batches:
             texts, ids = [t or "" for t in batch.column(1).to_pylist()], []
             for a, b in grouped(texts):
-                lists = [split(t) for t in texts[a:b]]
-                coded = pa.array([w for ws in lists for w in ws], pa.large_string()).dictionary_encode()
+                words, counts = split(texts[a:b])
+                coded = words.dictionary_encode()
                 distinct = coded.dictionary.to_pylist()
                 if len(known) > CACHE:
                     known.clear()
-                here = {w: known.get(w) or fixed.get(w) for w in distinct}
-                missing = [w for w, x in here.items() if x is None]
-                fresh = dict(zip(missing, merger.encode([w.encode() for w in missing])))
-                here |= fresh
-                known |= {w: x for w, x in fresh.items() if len(w) <= SHORT}
-                codes = [here[w] for w in distinct]
+                codes = [known.get(w) or fixed.get(w) for w in distinct]
+                missing = [i for i, x in enumerate(codes) if x is None]
+                for i, x in zip(missing, merger.encode([distinct[i] for i in missing])):
+                    codes[i] = x
+                    if len(distinct[i]) <= SHORT:
+                        known[distinct[i]] = x
                 sizes = np.array([len(x) // 4 for x in codes], dtype=np.int64)
                 flat, at = np.frombuffer(b"".join(codes), dtype="<u4"), coded.indices.to_numpy(zero_copy_only=False)
                 starts = np.cumsum(sizes) - sizes
                 every = flat[pieces(starts[at], sizes[at])].tobytes() if len(at) else b""
-                upto = np.concatenate([[0], np.cumsum(sizes[at])])[np.cumsum([0, *map(len, lists)])] * 4
+                upto = np.concatenate([[0], np.cumsum(sizes[at])])[np.cumsum([0, *counts.tolist()])] * 4
                 ids += [every[x:y] for x, y in zip(upto[:-1].tolist(), upto[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
