@@ -141,7 +141,21 @@ SELECT doc_id, leaf, subroot, (SELECT node FROM top WHERE total = 1) AS root, CO
   folded_root = (SELECT node FROM top WHERE total = 1) AS verified, l.pos AS lang_pos
 FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)"""
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) AS label, [floor(256 * c::DOUBLE) for c in embedding] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id, score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 80 * p.score AND 100 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 5"""
+
 
 def llm_oracles() -> dict[str, str]:
     return {"op2_suffix_dedup": SUFFIX_DEDUP, "op4_minhash_forest": MINHASH_FOREST, "op8_license_scan": license_scan(),
-            "op10_quality_rules": QUALITY_RULES, "op11_merkle_manifest": MERKLE_MANIFEST}
+            "op10_quality_rules": QUALITY_RULES, "op11_merkle_manifest": MERKLE_MANIFEST, "op13_hard_negatives": HARD_NEGATIVES}

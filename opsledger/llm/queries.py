@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opsledger.llm.bpe_codec import round_trip
 from opsledger.llm.common import documents
 from opsledger.llm.graph_search import nearest
+from opsledger.llm.hard_negatives import hard_negatives
 from opsledger.llm.language_id import identify
 from opsledger.llm.license_scan import license_scan
 from opsledger.llm.merkle_manifest import merkle_manifest
@@ -72,5 +74,11 @@ def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_graph_search, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules, op11_merkle_manifest, op12_bpe_codec)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_graph_search, op4_minhash_forest, op5_sharding, op6_mixing, op7_packing, op8_license_scan, op9_quality_classifier, op10_quality_rules, op11_merkle_manifest, op12_bpe_codec, op13_hard_negatives)}
