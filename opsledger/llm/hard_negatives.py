@@ -96,9 +96,9 @@ def first(found: tuple, k: int) -> tuple:
 def bounds(limits: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """Upper ends of each row's windows, descending (NOT_SET: none), and the least lower end, for positives' scores ``limits``."""
     none = limits == NOT_SET
-    score = np.where(none, 0, limits)
-    upper = np.where(none, NOT_SET, score * high // 100)
-    lower = np.where(none, np.iinfo(np.int64).max, -(-score * low // 100))
+    whole, rest = np.divmod(np.where(none, 0, limits), 100)  # no product beyond 64 bits
+    upper = np.where(none, NOT_SET, whole * high + rest * high // 100)
+    lower = np.where(none, np.iinfo(np.int64).max, whole * low - (-rest * low // 100))
     return np.sort(upper, axis=1)[:, ::-1], lower.min(axis=1, initial=np.iinfo(np.int64).max)
 
 
@@ -170,9 +170,9 @@ def hard_negatives(rows: DataFrame, positives: int = 5, k: int = 5, low: int = 8
     slots = scored(chunks, blocks, groups, k, (low, high), "near-other")
     falling = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id", "slot")))
     merged = slots.groupBy("number").agg(falling.alias("rest"))
-    # a window ends inside slot ``place`` or at its top
-    inside = F.filter("rest", lambda c: (c["slot"] >= F.col("place")) & (-c["down"] * 100 <= F.col("positive_score") * high)
-                      & (-c["down"] * 100 >= F.col("positive_score") * low))
+    # the window of a positive begins at the top of slot ``place``; wider numbers hold every product
+    own = F.col("positive_score").cast("decimal(20,0)")
+    inside = F.filter("rest", lambda c: (c["slot"] >= F.col("place")) & (-c["down"].cast("decimal(20,0)") * 100).between(own * low, own * high))
     answered = held.join(merged, "number").select("number", "positive_id", "positive_score", F.posexplode(F.slice(inside, 1, k)).alias("at", "c"))
     return answered.join(anchors.select("number", F.col("vec_id").alias("anchor_id")), "number").select(
         "anchor_id", "positive_id", (F.col("at") + 1).alias("rank"), F.col("c.vec_id").alias("negative_id"), "positive_score",
