@@ -3,11 +3,12 @@
 Plan shape, chosen for a log where one job may own a third of all rows:
 
 * the 90-day slice is read by two aggregations with map-side combining, with
-  the time bound and the columns pushed into the scan: runs per (job, day) and
-  the percentiles of each job. Nothing is written in between;
-* the (job, day) counts, at most one row per calendar day per job, feed the
-  gap, weekday and day-of-month profiles, so no window or shuffle ever sees
-  the raw rows of a hot job;
+  the time bound and the columns pushed into the scan: runs per (job, day, run
+  time), written once, and the clock percentiles of each job;
+* the counts give run-time percentiles by counted selection and the (job, day)
+  counts, at most one row per calendar day per job, which feed the gap, weekday
+  and day-of-month profiles. No window or state sees the raw rows or the
+  distinct run times of a hot job;
 * "most common" picks use ``max(struct(count, tie-break))`` aggregates
   instead of ``row_number`` windows;
 * per-job tables are joined on ``pkg_nm``: one row per key on both sides.
@@ -25,7 +26,8 @@ from opsledger.functions.timeparts import (
     boundary_diff, date_lit, day_abbrev, is_business_day, iso_dow, ntz_lit, ordinal_text,
     seconds_of_day,
 )
-from opsledger.plans.quantiles import mode_from_counts
+from opsledger.plans.materialize import written
+from opsledger.plans.quantiles import mode_from_counts, percentile_from_counts
 from opsledger.sources.tables import EXEC_LOG, check_schema
 
 # Fixed values of the classification (monitoring query): label prefixes that are
@@ -76,25 +78,38 @@ def recent_runs(log: DataFrame, p: CadenceParams) -> DataFrame:
                        is_business_day(run_date).alias("is_business_day")))
 
 
-def job_days(recent: DataFrame) -> DataFrame:
-    """One row per (job, run date) with its number of runs."""
-    days = recent.groupBy("pkg_nm", "run_date").agg(F.count(F.lit(1)).alias("n_runs"))
+def run_counts(recent: DataFrame) -> DataFrame:
+    """Runs per (job, run date, run time in seconds); NULL run time where start or stop is missing. Written once."""
+    runtime = boundary_diff("second", "start_dt", "stop_dt")
+    return written(recent.groupBy("pkg_nm", "run_date", runtime.alias("runtime_secs")).agg(F.count(F.lit(1)).alias("n_runs")), "runs")
+
+
+def job_days(counts: DataFrame) -> DataFrame:
+    """One row per (job, run date) with its number of runs, from ``run_counts``."""
+    days = counts.groupBy("pkg_nm", "run_date").agg(F.sum("n_runs").alias("n_runs"))
     return days.withColumn("is_business_day", is_business_day("run_date"))
 
 
-def job_clock(recent: DataFrame) -> DataFrame:
-    """M4 + M5 + M13: exact P10 start, P90 stop (both rounded) and P90 run time per job.
+def clock_times(recent: DataFrame) -> DataFrame:
+    """M4 + M5: exact P10 start and P90 stop per job, both rounded.
 
-    ``percentile`` keeps value -> count per job and is merged map-side, so a
-    job's state is bounded by the 86,400 seconds of a day for the clock times
-    and by its distinct whole-second run times.
+    ``percentile`` keeps value -> count per job and is merged map-side; a job's
+    state is bounded by the 86,400 seconds of a day.
     """
     stopped = F.when(F.col("stop_dt").isNotNull(), F.col("stop_secs"))
-    runtime = F.when(F.col("start_dt").isNotNull(), boundary_diff("second", "start_dt", "stop_dt"))
     return recent.groupBy("pkg_nm").agg(
         F.round(F.percentile("run_secs", F.lit(0.10))).cast("int").alias("inferred_start_secs"),
-        F.round(F.percentile(stopped, F.lit(0.90))).cast("int").alias("inferred_stop_secs"),
-        F.percentile(runtime, F.lit(0.90)).alias("p90_runtime_seconds"))
+        F.round(F.percentile(stopped, F.lit(0.90))).cast("int").alias("inferred_stop_secs"))
+
+
+def runtime_p90(counts: DataFrame) -> DataFrame:
+    """Exact P90 of run time in seconds (boundary count) over runs with start and stop, from ``run_counts``."""
+    return percentile_from_counts(counts, ["pkg_nm"], "runtime_secs", "n_runs", 0.90, "p90_runtime_seconds")
+
+
+def job_clock(recent: DataFrame, counts: DataFrame) -> DataFrame:
+    """M4 + M5 + M13 per job; the run time is NULL for jobs without a finished run."""
+    return clock_times(recent).join(runtime_p90(counts), "pkg_nm", "left")
 
 
 def job_metrics(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
@@ -204,16 +219,14 @@ def occurrence_label(rate_days: int = 90, min_business_day_runs: int = 5):
 def classify_jobs(log: DataFrame, p: CadenceParams) -> DataFrame:
     """One row per job with its features and ``occurrence`` label."""
     recent = recent_runs(log, p)
-    days = job_days(recent)
-    features = job_features(job_metrics(days, job_clock(recent), p), gap_stats(run_gaps(days)),
-                            dow_profile(days), dom_profile(days))
-    return features.withColumn("occurrence", occurrence_label(p.rate_days, p.min_business_day_runs))
+    counts = run_counts(recent)
+    return labelled_jobs(job_days(counts), job_clock(recent, counts), p)
 
 
-def runtime_p90(clock: DataFrame) -> DataFrame:
-    """Exact P90 of run time in seconds (boundary count) over runs with start and stop."""
-    return (clock.where(F.col("p90_runtime_seconds").isNotNull())
-                 .select("pkg_nm", "p90_runtime_seconds"))
+def labelled_jobs(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
+    """M2-M11 from the (job, day) counts and the clock table."""
+    features = job_features(job_metrics(days, clock, p), gap_stats(run_gaps(days)), dow_profile(days), dom_profile(days))
+    return features.withColumn("occurrence", occurrence_label(p.rate_days, p.min_business_day_runs))
 
 
 def monitored_jobs(classified: DataFrame, p: CadenceParams,

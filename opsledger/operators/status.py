@@ -108,11 +108,14 @@ def report_order():
             F.col("expected_start_secs").desc(), F.col("pkg_nm").asc()]
 
 
-def job_status(log: DataFrame, p: CadenceParams, tz: str = DEFAULT_TZ, **monitor_kw) -> DataFrame:
-    """One row per monitored job with status and expected times (unordered)."""
-    # classification carries each job's P90 run time (job_clock), so the only
+def job_status(log: DataFrame, p: CadenceParams, tz: str = DEFAULT_TZ, classified: DataFrame | None = None, **monitor_kw) -> DataFrame:
+    """One row per monitored job with status and expected times (unordered).
+
+    ``classified``: the labelled jobs, if they are known already (``cadence_state``).
+    """
+    # classification carries each job's P90 run time, so the only
     # other input is today's latest run: one row per job on both join sides
-    expected = monitored_jobs(classify_jobs(log, p), p, **monitor_kw)
+    expected = monitored_jobs(classify_jobs(log, p) if classified is None else classified, p, **monitor_kw)
     today = latest_run_today(log, p).withColumnRenamed("pkg_nm", "t_pkg_nm")
     joined = expected.join(today, expected["pkg_nm"] == today["t_pkg_nm"], "left")
     with_status = joined.select("pkg_nm", status_expr(p).alias("status"), "occurrence",

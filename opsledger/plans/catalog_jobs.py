@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from opsledger.functions.timeparts import hms_text, ordinal_text
 from opsledger.operators import cadence as cad
+from opsledger.operators import cadence_state as state
 from opsledger.operators import sla
 from opsledger.operators import status as st
+from opsledger.plans.materialize import fresh_path
 from opsledger.plans.oracle import _SECS, M_CHAIN, X_CHAIN
 from opsledger.plans.registry import AS_OF_LOG, Query, register, spec
 from opsledger.sources import fixtures as fx
@@ -23,17 +28,18 @@ def _recent(spark, sf):
     return cad.recent_runs(_log(spark, sf), P)
 
 
-def _clock(spark, sf):
-    return cad.job_clock(_recent(spark, sf))
+def _counts(spark, sf):
+    return cad.run_counts(_recent(spark, sf))
 
 
 def _days(spark, sf):
-    return cad.job_days(_recent(spark, sf))
+    return cad.job_days(_counts(spark, sf))
 
 
 def _metrics(spark, sf):
     recent = _recent(spark, sf)
-    return cad.job_metrics(cad.job_days(recent), cad.job_clock(recent), P)
+    counts = cad.run_counts(recent)
+    return cad.job_metrics(cad.job_days(counts), cad.job_clock(recent, counts), P)
 
 
 def _features(spark, sf):
@@ -93,10 +99,22 @@ _m("M10", _features,
    "inferred_start_secs:i inferred_stop_secs:i last_run_date:d",
    "SELECT * FROM features")
 _m("M11", lambda s, sf: cad.classify_jobs(_log(s, sf), P), "pkg_nm:s occurrence:s", "SELECT * FROM labelled")
+
+
+def _refreshed(s, sf):
+    """Labelled jobs from a state that was built the day before and brought up to date by one day."""
+    log, base = _log(s, sf), fresh_path(s, "cadence-state")
+    state.refresh(log, base, replace(P, as_of=P.as_of - _dt.timedelta(days=1)))
+    state.refresh(log, base, P)
+    return state.classify_from_state(state.state(log, base, P), P)
+
+
+_m("M11_refresh", _refreshed, "pkg_nm:s occurrence:s p90_runtime_seconds:f inferred_start_secs:i inferred_stop_secs:i",
+   "SELECT * FROM labelled")
 _m("M12", lambda s, sf: cad.dom_profile(_days(s, sf)).withColumn("dom_ordinal", ordinal_text("most_common_dom")),
    "pkg_nm:s most_common_dom:i dom_ordinal:s",
    "SELECT pkg_nm, most_common_dom, nth AS dom_ordinal FROM dated")
-_m("M13", lambda s, sf: cad.runtime_p90(_clock(s, sf)), "pkg_nm:s p90_runtime_seconds:f", "SELECT pkg_nm, p90_runtime_seconds FROM clocks WHERE p90_runtime_seconds IS NOT NULL")
+_m("M13", lambda s, sf: cad.runtime_p90(_counts(s, sf)), "pkg_nm:s p90_runtime_seconds:f", "SELECT pkg_nm, p90_runtime_seconds FROM clocks WHERE p90_runtime_seconds IS NOT NULL")
 _m("M14", lambda s, sf: cad.monitored_jobs(cad.classify_jobs(_log(s, sf), P), P),
    "pkg_nm:s occurrence:s expected_start_secs:i expected_stop_secs:i", "SELECT * FROM watched")
 _m("M15", lambda s, sf: st.latest_run_today(_log(s, sf), P),
@@ -119,6 +137,9 @@ _m("M18", lambda s, sf: st.job_status(_log(s, sf), P), "pkg_nm:s expected_start:
    "SELECT * FROM statuses")
 _m("M19", lambda s, sf: st.job_status(_log(s, sf), P),
    "pkg_nm:s expected_start_sla_dt:s expected_stop_sla_dt:s", "SELECT * FROM statuses")
+_m("M22_refresh", lambda s, sf: st.job_status(_log(s, sf), P, classified=_refreshed(s, sf)),
+   "pkg_nm:s status:s occurrence:s expected_start:s expected_completion:s expected_start_sla_dt:s expected_stop_sla_dt:s",
+   "SELECT * FROM statuses")
 _m("M20", _report, "pkg_nm:s class_rank:i class_number:i report_pos:i", "SELECT * FROM numbered")
 _m("M21", lambda s, sf: st.job_status(_log(s, sf), P),
    "pkg_nm:s expected_start_sla_ts:t expected_stop_sla_ts:t", "SELECT * FROM statuses")

@@ -48,12 +48,18 @@ def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(f"{base.rstrip('/')}/v={versions[-1]}")
 
 
-def write_next_version(df: DataFrame, base: str) -> str:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a directory that nothing reads any more."""
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def write_next_version(df: DataFrame, base: str, partition_by=()) -> str:
     """Write ``df`` as the next version under ``base`` and return its path.
 
     The number follows the highest one there is, complete or not: what a
     failed write left behind is neither read nor written again.
     """
     path = f"{base.rstrip('/')}/v={max(_versions(df.sparkSession, base), default=0) + 1}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     return path
