@@ -9,20 +9,16 @@
   lengthened value by value; at full depth a crowded region is cut by hash.
   Every class is also paired with the smallest class of each region it passes.
   Cut and order within a region are drawn anew in every tree.
-- A 128-bit sketch (one bit of a MinHash value each) drops candidates far
-  below the threshold; what is left is confirmed on the full sets.
-- Confirming goes in rounds and skips pairs whose classes are already linked:
-  the best candidate of each class, then the best of each two components,
-  then every pair that still joins two components.
+- Trees work in two batches. The candidates of the first few, best first by a
+  128-bit sketch (one bit of a MinHash value each), are confirmed on the full
+  sets and linked; the other trees only pair classes of different components.
 - Neighbours are not all pairs of a region of more than ``near + 1`` classes.
-  Where such a region still holds two components, its classes go through an
-  exact set-similarity join on their full sets (prefix and positional filter),
-  which finds every pair that joins two components.
+  Where such a region still holds two components, all its members are compared
+  on their full sets, tile by tile; a task gives only links that join components.
 
 Two sets at the threshold 0.75 share four values of a tree with probability
-0.32, so all 32 trees miss them with probability 5e-6; a pair that shares a
-region of more than ``near + 1`` classes is never missed. In smaller regions
-the sketch drops a pair at the threshold with probability 6e-7.
+0.32, so all 32 trees miss them with probability 5e-6. A pair that shares a
+region of any tree is never missed.
 
 Null text, empty text and text without words have no shingles and link with
 nothing. Rows of one doc_id are one document: they share its links.
@@ -42,6 +38,7 @@ from opsledger.llm.components import components
 
 WORDS = 5
 CHUNK = 1 << 19
+TILE, SHINGLES, WIDE = 256, 1 << 20, 8192
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,32 +146,33 @@ def signatures(docs: DataFrame, values: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_field}, n long, set binary, sig binary, s0 long, s1 long")
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, shallow: int, crowd: int, near: int, apart: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, off): pairs a < b of class ids that are neighbours in some tree; off = unequal sketch bits.
+def candidates(classes: DataFrame, trees: range, depth: int, shallow: int, crowd: int, near: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, off): pairs a < b of class ids of two components that are neighbours in one of ``trees``; off = unequal sketch bits.
 
-    Also (tree, key, rep): the regions whose pairs are not all among them.
+    Also (tree, key, rep, n): the regions whose pairs are not all among them.
+    ``classes``: rep, root (its component), n, s0, s1, sig.
     """
     wide = 2 * depth
-    member = ["rep", "n", "s0", "s1"]
-    rows = classes.select(*member, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig").select(
+    member = ["rep", "root", "n", "s0", "s1"]
+    rows = classes.select(*member, F.explode(F.array(*map(F.lit, trees))).alias("tree"), "sig").select(
         "tree", F.substring("sig", F.col("tree") * wide + 1, F.lit(wide)).alias("path"), *member)
 
     def pair(x: DataFrame, other: Column) -> DataFrame:
         o = lambda c: other[c]
         off = F.bit_count(F.col("s0").bitwiseXOR(o("s0"))) + F.bit_count(F.col("s1").bitwiseXOR(o("s1")))
-        return (x.filter(other.isNotNull() & (o("rep") != F.col("rep"))
-                         & (4 * F.least("n", o("n")) >= 3 * F.greatest("n", o("n"))) & (off <= apart))
+        return (x.filter(other.isNotNull() & (o("root") != F.col("root")) & (4 * F.least("n", o("n")) >= 3 * F.greatest("n", o("n"))))
                 .select(F.least("rep", o("rep")).alias("a"), F.greatest("rep", o("rep")).alias("b"), off.alias("off")))
 
     out, rest = [], rows
     for d in range(shallow, depth + 1):
         keyed = rest.withColumn("key", F.substring("path", 1, 2 * d))
-        held = keyed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(*member)).alias("head")).filter("held > 1")
+        held = (keyed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(*member)).alias("head"), F.min("root").alias("r0"),
+                                                 F.max("root").alias("r1")).filter("r0 <> r1").drop("r0", "r1"))
         # written, so that both sides of the join are plain shuffles and a crowded region's rows can be split
         keyed = table(keyed.join(table(held, f"held{d}"), ["tree", "key"]), f"region{d}")
         out.append(pair(keyed, F.col("head")))
         if d == shallow:  # longer prefixes only part these
-            crowded = keyed.filter(F.col("held") > near + 1).select("tree", "key", "rep")
+            crowded = keyed.filter(F.col("held") > near + 1).select("tree", "key", "rep", "n")
         calm = keyed if d == depth else keyed.filter(F.col("held") <= crowd)
         # a region crowded at full depth is cut by hash; its head keeps the cuts together
         cut = F.pmod(F.xxhash64("tree", "rep"), F.ceil(F.col("held") / crowd))
@@ -182,48 +180,77 @@ def candidates(classes: DataFrame, trees: int, depth: int, shallow: int, crowd:
         calm = calm.withColumn("cut", cut).select(*member, F.array(*[F.lead(F.struct(*member), i).over(order) for i in range(1, near + 1)]).alias("next"))
         out.append(pair(calm.select(*member, F.explode("next").alias("o")), F.col("o")))
         rest = keyed.filter(F.col("held") > crowd).select("tree", "path", *member)
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    return every.groupBy("a", "b").agg(F.min("off").alias("off")), crowded
-
-
-def similar(sets: DataFrame) -> DataFrame:
-    """(a, b, off): every pair a < b of ``sets`` (rep, h, root) of two roots that can have 7 * common >= 3 * (n_a + n_b).
-
-    Words of a set are ordered by (held by one root first, rarest, hash). With
-    c common words the first of them has c words from its place on in both
-    sets: it lies in the first seventh of the smaller set and the first quarter
-    of the larger one. Words of one root have no partner and are only counted.
+    return _union(out).groupBy("a", "b").agg(F.min("off").alias("off")), crowded
+
+
+def common_words(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common values of every two of some sets of distinct values."""
+    sizes = [len(x) for x in sets]
+    _, word, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = many[word] > 1
+    word, owner = word[shared], owner[shared]
+    number = np.cumsum(many > 1) - 1
+    word = number[word]
+    order = np.argsort(word, kind="stable")
+    word, owner = word[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(number[-1]) + 1, WIDE):
+        a, b = np.searchsorted(word, [lo, lo + WIDE])
+        held = np.zeros((len(sets), WIDE), dtype=np.float32)
+        held[owner[a:b], word[a:b] - lo] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def spanning(pairs: np.ndarray, roots: list) -> list[int]:
+    """Places of the pairs, taken in turn, that join two components; ``roots`` names the component of each member."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    kept = []
+    for k, (i, j) in enumerate(pairs.tolist()):
+        x, y = find(roots[i]), find(roots[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return kept
+
+
+def completed(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of each region (tree, key, rep, root, n): every two members are compared on their full sets.
+
+    A region is dealt into tiles of about TILE members or SHINGLES shingles. A task holds two tiles and
+    gives only links that join two of its components, so its result is smaller
+    than the tiles, however many members are alike.
     """
-    def spread(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                h = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.int64)
-                for lo in range(0, len(h), CHUNK):
-                    w = pa.array(h[lo:lo + CHUNK])
-                    same = [pa.array([batch.column(j)[i].as_py()] * len(w), batch.column(j).type) for j in range(3)]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(w), len(h))), w], ["u", "rep", "root", "n", "w"])
-
-    kind = sets.schema["rep"].dataType.simpleString()
-    # rows of one doc_id may have several sets
-    numbered = table(sets.select(F.monotonically_increasing_id().alias("u"), "rep", "root", "h"), "crowded-sets")
-    words = table(numbered.mapInArrow(spread, f"u long, rep {kind}, root {kind}, n long, w long"), "crowded-words")
-    shared = words.groupBy("w").agg(F.count(F.lit(1)).alias("f"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-    rows = (words.join(table(shared.select("w", "f"), "shared-words"), "w").groupBy("u", "rep", "root", "n")
-            .agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("ws")).filter(4 * F.size("ws") >= 3 * F.col("n")))
-    # left: the words from this one on
-    rows = rows.select("rep", "root", "n", F.posexplode(F.slice("ws", F.lit(1), F.size("ws") - F.ceil(3 * F.col("n") / 4).cast("int") + 1)),
-                       F.size("ws").alias("of")).select("rep", "root", "n", F.col("col.w").alias("w"), (F.col("of") - F.col("pos")).alias("left"))
-    # written, so that both sides of the join are plain shuffles and a common word can be split
-    rows = table(rows, "prefixes")
-    x = rows.filter(7 * F.col("left") >= 6 * F.col("n")).select("w", *[F.col(c).alias(f"x_{c}") for c in ("rep", "root", "n", "left")])
-    y = rows.select("w", *[F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n", "left")])
-    need = 3 * (F.col("x_n") + F.col("y_n"))
-    met = x.join(y, "w").filter((F.col("x_root") != F.col("y_root")) & (F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep"))
-                                & (7 * F.col("x_left") >= need) & (7 * F.col("y_left") >= need))
-    return met.groupBy(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).agg(
-        F.min(F.greatest(F.col("x_n") - F.col("x_left"), F.col("y_n") - F.col("y_left"))).alias("off"))
+    counts = regions.groupBy("tree", "key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / SHINGLES)).cast("int").alias("tiles"))
+    tiles = F.col("tiles")
+    dealt = regions.join(table(counts, "tiles"), ["tree", "key"]).withColumn("mine", F.pmod(F.xxhash64("rep", "tree"), tiles).cast("int"))
+    met = dealt.select("tree", "key", "rep", "root", "mine", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    met = met.select("tree", "key", "rep", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    kind = regions.schema["rep"].dataType.simpleString()
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rep, root, mine = (rows.column(c).to_pylist() for c in ("rep", "root", "mine"))
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.column("h")]
+        common, n = common_words(sets), np.array([len(x) for x in sets])
+        alike = 100 * common >= 75 * (n[:, None] + n - common)
+        if len(set(mine)) > 1:
+            alike &= np.array(mine)[:, None] != np.array(mine)
+        pairs = np.argwhere(np.triu(alike, 1))
+        pairs = pairs[spanning(pairs, root)]
+        a, b = ([rep[x] for x in pairs[:, k].tolist()] for k in (0, 1))
+        kinds = rows.schema.field("rep").type
+        return pa.table({"a": pa.array(list(map(min, a, b)), kinds), "b": pa.array(list(map(max, a, b)), kinds)})
+
+    rows = met.join(sets, "rep").select("tree", "key", "i", "j", "rep", "root", "mine", "h")
+    return rows.groupBy("tree", "key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").filter("a <> b").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -259,31 +286,36 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return named.mapInArrow(gather, f"rep {id_field}, h binary").filter(F.length("h") > 0).dropDuplicates(["rep", "h"])
 
 
-def near_duplicates(docs: DataFrame, trees: int = 32, depth: int = 6, shallow: int = 4, crowd: int = 256, near: int = 3,
-                    apart: int = 36) -> DataFrame:
+def near_duplicates(docs: DataFrame, trees: int = 32, first: int = 4, depth: int = 6, shallow: int = 4, crowd: int = 256, near: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     signed = table(signatures(docs, trees * depth), "signatures")
     some = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = table(some.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
                                             F.first("s0").alias("s0"), F.first("s1").alias("s1")), "classes")
-    pairs, crowded = candidates(classes, trees, depth, shallow, crowd, near, apart)
-    pairs = table(pairs, "pairs")
-    ids = table(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "paired")
-    sets = table(shingle_sets(docs, ids), "sets")
-
-    best = pairs.groupBy("b").agg(F.min(F.struct("off", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = [table(_same_id(some, classes), "copies"), table(confirm(best, sets), "confirmed")]
-    _confirm_rounds(pairs, sets, links, table(best, "tried"))
-    roots = components(_union(links))
+    links = [table(_same_id(some, classes), "copies")]
+    roots, crowded = components(links[0]), []
+    # a few trees link most copies; the others meet what these have left apart
+    for batch in (range(first), range(first, trees)):
+        members = table(_rooted(classes, roots, "rep").withColumnRenamed("root_rep", "root"), "members")
+        pairs, dense = candidates(members, batch, depth, shallow, crowd, near)
+        pairs = table(pairs, "pairs")
+        crowded.append(dense)
+        ids = table(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "paired")
+        sets = table(shingle_sets(docs, ids), "sets")
+        best = table(pairs.groupBy("b").agg(F.min(F.struct("off", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "best")
+        links.append(table(confirm(best, sets), "confirmed"))
+        roots = components(_union(links))
+        here = _rooted(_rooted(pairs.join(best, ["a", "b"], "left_anti"), roots, "a"), roots, "b")
+        links.append(table(confirm(table(here.filter("root_a <> root_b").select("a", "b"), "open"), sets), "confirmed"))
+        roots = components(_union(links))
     # regions that hold two components and more pairs than neighbours
-    here = table(_rooted(crowded, roots, "rep"), "crowded")
-    mixed = here.groupBy("tree", "key").agg(F.min("root_rep").alias("r0"), F.max("root_rep").alias("r1")).filter("r0 <> r1")
-    left = table(here.join(mixed.select("tree", "key"), ["tree", "key"], "left_semi").select("rep", F.col("root_rep").alias("root")).distinct(), "mixed")
+    here = table(_rooted(_union(crowded), roots, "rep").withColumnRenamed("root_rep", "root"), "crowded")
+    mixed = here.groupBy("tree", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("tree", "key")
+    left = table(here.join(mixed, ["tree", "key"], "left_semi"), "mixed")
     if not left.isEmpty():
-        full = table(shingle_sets(docs, left.select("rep")), "mixed-sets")
-        more = table(similar(full.join(left, "rep")), "similar")
-        _confirm_rounds(more, full, links, None, roots)
+        full = table(shingle_sets(docs, left.select("rep").distinct()), "mixed-sets")
+        links.append(table(completed(left, full), "completed"))
         roots = components(_union(links))
     named = _rooted(classes.select("set", "rep"), roots, "rep").select("set", F.col("root_rep").alias("component_id"))
     # classes of one doc_id share the smallest component of their rows
@@ -299,24 +331,6 @@ def _union(links: list[DataFrame]) -> DataFrame:
     return joined
 
 
-def _confirm_rounds(pairs: DataFrame, sets: DataFrame, links: list[DataFrame], tried: DataFrame | None,
-                    roots: DataFrame | None = None) -> None:
-    """Confirm the best pair of each two components, then every pair that still joins two; append to ``links``."""
-    for last in (False, True):
-        if last or roots is None:
-            roots = components(_union(links))
-        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        here = _rooted(_rooted(fresh, roots, "a"), roots, "b")
-        open_pairs = here.filter(F.col("root_a") != F.col("root_b"))
-        if not last:
-            top = open_pairs.groupBy(F.least("root_a", "root_b").alias("p"), F.greatest("root_a", "root_b").alias("q")).agg(
-                F.min(F.struct("off", "a", "b")).alias("x"))
-            open_pairs = top.select("x.a", "x.b")
-        todo = table(open_pairs.select("a", "b"), "open")
-        links.append(table(confirm(todo, sets), "confirmed"))
-        tried = todo if tried is None else tried.unionByName(todo)
-
-
 def _same_id(some: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of rows that share a doc_id (normally none)."""
     twice = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
