@@ -1,10 +1,11 @@
 """Duplicate detection.
 
-Skew: any key may own a large share of the rows. Counting (D1), the value
-lists (D4) and de-duplication (D5) are aggregations with map-side partial
-aggregation. Row numbers (D2, D3) use the range-partitioned numbering of
+Skew: any key may own a large share of the rows. Counting (D1) and
+de-duplication (D5) are aggregations with map-side partial aggregation. Row
+numbers (D2, D3) use the range-partitioned numbering of
 ``opsledger.plans.numbering`` instead of a window that would put a hot key
-into one task.
+into one task; D3 numbers only the rows of keys that occur more than once. The
+value lists (D4) are cut into pages, so no task gathers a whole group.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsledger.plans.numbering import global_index, number_within_groups
+from opsledger.plans.materialize import written
+from opsledger.plans.numbering import global_index, key_hash, number_within_groups, running_within_groups
 
 
 def _keys(keys) -> list[str]:
@@ -37,9 +39,27 @@ def duplicate_flags(df: DataFrame, key: str, order=(), out_col: str = "duplicate
     return numbered.withColumn(out_col, flag).drop("_d2_rn")
 
 
+def duplicate_rows(df: DataFrame, keys) -> DataFrame:
+    """All rows of the keys that occur more than once, written once.
+
+    Keys are counted by a 128-bit hash of their values (NULL is a value, as in
+    SQL grouping), so long keys never travel for the count. Rows without a
+    partner drop out in the semi join, where the planner broadcasts the
+    repeated keys if they are few and filters at the scan if they are selective.
+    """
+    keys = _keys(keys)
+    hashes = {f"_dup{seed}": key_hash(df, keys, seed) for seed in (0, 1)}
+    repeated = df.select(*[h.alias(n) for n, h in hashes.items()]).groupBy(*hashes).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    rows = df.withColumns(hashes).join(written(repeated, "repeated-keys"), list(hashes), "left_semi")
+    return written(rows.drop(*hashes), "duplicates")
+
+
 def redundant_rows(df: DataFrame, keys, order=(), rownum_col: str = "RowNum") -> DataFrame:
-    """D3: every row after the first of its key (RowNum > 1), with its RowNum."""
-    numbered = number_within_groups(df, _keys(keys), list(order), rownum_col)
+    """D3: every row after the first of its key (RowNum > 1), with its RowNum.
+
+    Only the rows of duplicate groups are numbered and written.
+    """
+    numbered = number_within_groups(duplicate_rows(df, keys), _keys(keys), list(order), rownum_col)
     return numbered.where(F.col(rownum_col) > 1)
 
 
@@ -56,18 +76,31 @@ def dedupe(df: DataFrame, keys, order=()) -> DataFrame:
     return firsts.select(*keys, *[F.col(f"_d5.{c}").alias(c) for c in order + rest]).select(*df.columns)
 
 
-def grouped_value_lists(df: DataFrame, group: str, value: str, out_col: str = "sequence_numbers",
-                        sep: str = ",") -> DataFrame:
-    """For groups with more than one non-NULL value, the distinct values in value order, joined.
+def grouped_value_pages(df: DataFrame, group: str, value: str, out_col: str = "sequence_numbers", sep: str = ",",
+                        page_chars: int = 1 << 20) -> DataFrame:
+    """D4 in pages: (group, page, list), pages of about ``page_chars`` characters numbered from 0 in value order.
 
-    The HAVING counts non-NULL rows, not distinct values, so ``5, 5`` qualifies
-    and prints ``5``. Rows are counted per (group, value) map-side, so a group
-    only ever gathers its distinct values; one scan, no join.
+    For groups with more than one non-NULL value, the distinct values in value
+    order, joined. The HAVING counts non-NULL rows, not distinct values, so
+    ``5, 5`` qualifies and prints ``5``. Distinct values are ordered over ranges
+    of (group, value) and a page begins where the running size passes a multiple
+    of ``page_chars``: a task gathers one page, however many values a group has.
+    The pages of a group, joined by ``sep``, are its whole list.
     """
     per_value = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_d4_n"))
-    lists = per_value.groupBy(group).agg(F.sum("_d4_n").alias("_d4_rows"), F.array_sort(F.collect_list(value)).alias("_d4_vals"))
-    return lists.where(F.col("_d4_rows") > 1).select(
-        group, F.array_join(F.transform("_d4_vals", lambda x: x.cast("string")), sep).alias(out_col))
+    per_value = written(per_value, "group-values")
+    rows = per_value.groupBy(F.col(group).alias("_d4_group")).agg(F.sum("_d4_n").alias("_d4_rows")).where("_d4_rows > 1").select("_d4_group")
+    kept = per_value.join(rows, F.equal_null(group, "_d4_group"), "left_semi").select(group, value)
+    sized = kept.withColumn("_d4_size", F.length(F.col(value).cast("string")) + len(sep))
+    at = running_within_groups(sized, [group], [value], "_d4_size", "_d4_before")
+    paged = at.groupBy(group, F.floor(F.col("_d4_before") / page_chars).cast("int").alias("page")).agg(F.array_sort(F.collect_list(value)).alias("_d4_vals"))
+    return paged.select(group, "page", F.array_join(F.transform("_d4_vals", lambda x: x.cast("string")), sep).alias(out_col))
+
+
+def grouped_value_lists(df: DataFrame, group: str, value: str, out_col: str = "sequence_numbers",
+                        sep: str = ",", page_chars: int = 1 << 20) -> DataFrame:
+    """The value lists of ``grouped_value_pages``; one row per group whose list is one page, else one per page."""
+    return grouped_value_pages(df, group, value, out_col, sep, page_chars).drop("page")
 
 
 def ordered_groups(df: DataFrame, group: str, out_col: str = "report_pos") -> DataFrame:

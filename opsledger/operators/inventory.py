@@ -70,7 +70,7 @@ def widening_statements(columns: DataFrame, tables: DataFrame, column_names: Ite
     j = c.join(t, (c["table_schema"] == t["t_schema"]) & (c["table_name"] == t["t_name"]))
     named = j.select("t_schema", "t_name", "column_name",
                      F.format_string(WIDEN_TEMPLATE, "t_schema", "t_name", "column_name", F.lit(max_length)).alias("statement"))
-    return global_index(named, ["t_schema", "t_name", "column_name"], "report_pos").select("statement", "report_pos")
+    return global_index(named, ["t_schema", "t_name", "column_name"], "report_pos", write_first=True).select("statement", "report_pos")
 
 
 def base_tables(tables: DataFrame, schema: str) -> DataFrame:
@@ -79,11 +79,30 @@ def base_tables(tables: DataFrame, schema: str) -> DataFrame:
     return tables.where((F.col("table_type") == BASE_TABLE) & (F.col("table_schema") == schema)).select("table_name").distinct()
 
 
+def footer_reader(spark: SparkSession, path_of: Callable[[str], str]) -> Callable[[str], DataFrame]:
+    """Reader of Parquet tables by name whose row counts come from the file footers.
+
+    Spark pushes ``COUNT(*)`` into Parquet scans of its second data source
+    interface only, so these DataFrames use it; the setting is put back after
+    the table has been opened.
+    """
+    def read(name: str) -> DataFrame:
+        spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        old = spark.conf.get("spark.sql.sources.useV1SourceList")
+        spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in old.split(",") if x.strip() != "parquet"))
+        try:
+            return spark.read.parquet(path_of(name))
+        finally:
+            spark.conf.set("spark.sql.sources.useV1SourceList", old)
+    return read
+
+
 def inventory_row_counts(tables: DataFrame, schema: str, reader: Callable[[str], DataFrame], max_tables: int = 10_000) -> DataFrame:
     """I5 driven by a catalog: row count of every base table of ``schema``.
 
-    The plan has one scan per table, so the driver reads the list of names; it
-    refuses a schema of more than ``max_tables``.
+    The plan has one scan per table, so the driver reads the list of names. A
+    plan of tens of thousands of scans does not fit a driver: a schema of more
+    than ``max_tables`` tables fails and has to be counted in several calls.
     """
     names = [r["table_name"] for r in base_tables(tables, schema).limit(max_tables + 1).collect()]
     if len(names) > max_tables:
@@ -94,15 +113,12 @@ def inventory_row_counts(tables: DataFrame, schema: str, reader: Callable[[str],
 def bulk_row_counts(spark: SparkSession, names: Iterable[str], reader: Callable[[str], DataFrame]) -> DataFrame:
     """Row count of every named table in ONE job.
 
-    Each table contributes only its name per row (the scan reads no column
-    data), the union is counted per name with partial aggregation, and a left
-    join to the name list keeps empty tables with a count of 0.
+    Each table is counted by itself and gives one row, also when it is empty.
+    With ``footer_reader`` the counts come from the footers and no data page is
+    read; any other DataFrame is scanned without columns.
     """
-    names = list(names)
-    counted = spark.createDataFrame([], "table_name string")
+    counted = spark.createDataFrame([], "table_name string, row_count long")
     for n in names:
-        counted = counted.unionByName(reader(n).select(F.lit(n).alias("table_name")))
-    counts = counted.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
-    listing = spark.createDataFrame([(n,) for n in names], "table_name string")
-    return (listing.join(counts, "table_name", "left")
-                   .select("table_name", F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count")))
+        counted = counted.unionByName(reader(n).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count"))
+    # a pushed count over no footer at all is NULL; the sum may be NULL for the planner too
+    return counted.groupBy("table_name").agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"))

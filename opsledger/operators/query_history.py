@@ -64,5 +64,8 @@ def long_history_elapsed(qh: DataFrame, threshold_ms: int = LONG_HISTORY_MS) ->
 
 
 def newest_first(df: DataFrame, columns, out_col: str = "report_pos") -> DataFrame:
-    """Report order of Q1-Q4: position by start time descending, equal times by ``columns`` ascending."""
-    return global_index(df, [F.col("start_time").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns]], out_col)
+    """Report order of Q1-Q4: position by start time descending, equal times by ``columns`` ascending.
+
+    The history is scanned once: the few rows of the report are written before they are ordered.
+    """
+    return global_index(df, [F.col("start_time").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns]], out_col, write_first=True)

@@ -151,14 +151,15 @@ def new_keys(history: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
-def assign_surrogate_keys(history: DataFrame, inserts: DataFrame) -> DataFrame:
+def assign_surrogate_keys(history: DataFrame, inserts: DataFrame, top: int | None = None) -> DataFrame:
     """AUTO_INCREMENT-style keys for inserted rows: max(hist_id) + 1, + 2, ...
 
     New rows are numbered in a fixed order (S3 rows before S4 rows, then by
     key and the history row they came from) by the range-partitioned global
-    index: no single-task window. The current maximum is a scalar subquery.
+    index: no single-task window. The current maximum is a scalar subquery,
+    unless it is known (``top``).
     """
-    top = history.select(F.coalesce(F.max("hist_id"), F.lit(0)).cast("long")).scalar()
+    top = F.lit(top) if top is not None else history.select(F.coalesce(F.max("hist_id"), F.lit(0)).cast("long")).scalar()
     order = [F.col("_phase").asc(), F.col("cust_id").asc(), F.col("_prior_hist_id").asc_nulls_first()]
     phased = inserts.withColumn("_phase", F.when(F.col("change_flag") == "UPDATE", 1).otherwise(2))
     numbered = global_index(phased, order, "_idx")
@@ -168,7 +169,8 @@ def assign_surrogate_keys(history: DataFrame, inserts: DataFrame) -> DataFrame:
 def labelled(history: DataFrame, source: DataFrame, as_of, collation: str | None = None) -> DataFrame:
     """History and source joined once and written: history rows after S1/S2, source columns, differences.
 
-    ``in_history`` is false for source keys without any history row.
+    ``in_history`` is false for source keys without any history row; ``was_current``
+    tells rows that S1 or S2 ended from those that had ended before.
     """
     check_schema(history, SCD_HISTORY, "scd history")
     s = _source(source)
@@ -183,7 +185,7 @@ def labelled(history: DataFrame, source: DataFrame, as_of, collation: str | None
         F.when(changed, F.date_sub("s_start_date", 1)).when(gone, date_lit(as_of)).otherwise(F.col("eff_end_date")).alias("eff_end_date"),
         F.when(changed | gone, F.lit("N")).otherwise(F.col("curr_flag")).alias("curr_flag"),
         F.when(gone, F.lit("DELETE")).otherwise(F.col("change_flag")).alias("change_flag"),
-        "s_cust_id", "s_fullname", "s_position", "s_start_date", differs.alias("differs")), "scd2")
+        "s_cust_id", "s_fullname", "s_position", "s_start_date", differs.alias("differs"), current.alias("was_current")), "scd2")
 
 
 def inserted_rows(rows: DataFrame) -> DataFrame:

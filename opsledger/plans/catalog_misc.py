@@ -11,7 +11,8 @@ from opsledger.operators import duplicates as dup
 from opsledger.operators import inventory as inv
 from opsledger.operators import job_reports as jr
 from opsledger.operators import query_history as qh
-from opsledger.operators import scd2
+from opsledger.operators import scd2, scd2_parts
+from opsledger.plans.materialize import fresh_path
 from opsledger.plans.oracle import AS_OF_EVENTS as NOW_EV
 from opsledger.plans.registry import AS_OF_EVENTS, Query, register, spec
 from opsledger.sources import fixtures as fx
@@ -86,6 +87,13 @@ _q("D4", lambda s, sf: dup.ordered_groups(dup.grouped_value_lists(_fx(s, sf, "nu
    "row_number() OVER (ORDER BY create_date DESC NULLS FIRST) AS report_pos FROM "
    "(SELECT create_date, list(sequence_number_for_day) FILTER (sequence_number_for_day IS NOT NULL) AS vs "
    "FROM numbered_log GROUP BY create_date) g WHERE len(vs) > 1", ["numbered_log"])
+_q("D4_pages", lambda s, sf: dup.grouped_value_pages(_t(s, sf, "orders"), "o_custkey", "o_orderkey", "order_keys", page_chars=30),
+   "o_custkey:i page:i order_keys:s",
+   "SELECT o_custkey, page, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS order_keys FROM ("
+   "SELECT o_custkey, o_orderkey, COALESCE(SUM(len(CAST(o_orderkey AS VARCHAR)) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey "
+   "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 30 AS page "
+   "FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_orderkey IS NOT NULL) d "
+   "WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING COUNT(o_orderkey) > 1)) p GROUP BY o_custkey, page")
 _q("D5", lambda s, sf: dup.dedupe(_t(s, sf, "lineitem"), _LI_KEYS, _LI_REST), _LI_SPEC,
    f"SELECT * FROM lineitem QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LI_ORDER}) = 1")
 _q("D5_text", lambda s, sf: dup.dedupe(_t(s, sf, "documents"), "text", _DOC_REST),
@@ -124,7 +132,7 @@ def _provided_catalog(s):
     return s.createDataFrame(rows, INVENTORY_TABLES)
 
 
-_q("I5", lambda s, sf: inv.inventory_row_counts(_provided_catalog(s), "main", lambda n: read_table(s, sf, n)),
+_q("I5", lambda s, sf: inv.inventory_row_counts(_provided_catalog(s), "main", inv.footer_reader(s, lambda n: f"{sf}/{n}.parquet")),
    "table_name:s row_count:i",
    " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in PROVIDED_TABLES))
 
@@ -185,6 +193,19 @@ _q("S4", lambda s, sf: scd2.new_keys(_hist(s, sf), _src(s, sf)), _HSPEC_NOID, "S
 _q("S5", lambda s, sf: scd2.apply_changes(_hist(s, sf), _src(s, sf), _AS_OF_D), _HSPEC,
    "SELECT hist_id, cust_id, fullname, position, eff_start_date, eff_end_date, curr_flag, change_flag, change_version_id FROM applied UNION ALL "
    "SELECT hist_id, cust_id, fullname, position, eff_start_date, eff_end_date, curr_flag, change_flag, change_version_id FROM inserted", _H, SCD_CHAIN)
+
+
+def _refreshed_parts(s, sf):
+    """The history in parts, brought up to date by one refresh."""
+    base = fresh_path(s, "scd2-parts")
+    scd2_parts.create(_hist(s, sf), base, buckets=16)
+    scd2_parts.refresh(base, _src(s, sf), _AS_OF_D)
+    return scd2_parts.read(s, base)
+
+
+_q("S5_parts", _refreshed_parts, _HSPEC,
+   "SELECT hist_id, cust_id, fullname, position, eff_start_date, eff_end_date, curr_flag, change_flag, change_version_id FROM applied UNION ALL "
+   "SELECT hist_id, cust_id, fullname, position, eff_start_date, eff_end_date, curr_flag, change_flag, change_version_id FROM inserted", _H, SCD_CHAIN)
 _q("S6", _inserts_with_keys, _HSPEC, "SELECT * FROM inserted", _H, SCD_CHAIN)
 _q("S7", lambda s, sf: scd2.change_types(_hist(s, sf), _src(s, sf)), "cust_id:i change_type:s",
    """SELECT COALESCE(pk.cust_id, s.cust_id) AS cust_id,
@@ -203,7 +224,9 @@ _q("S7", lambda s, sf: scd2.change_types(_hist(s, sf), _src(s, sf)), "cust_id:i
 
 # ------------------------------------------------------------------ scheduled-job reports (J)
 _JT = ("sysjobhistory", "sysjobs", "sysjobsteps", "sysjobactivity")
-_RUN_TS = "strptime(CAST(run_date AS VARCHAR) || lpad(CAST(run_time AS VARCHAR), 6, '0'), '%Y%m%d%H%M%S')"
+_RUN_TS = ("make_timestamp(run_date // 10000, run_date // 100 % 100, run_date % 100, run_time // 10000, run_time // 100 % 100, "
+           "CAST(run_time % 100 AS DOUBLE))")
+_NAMED_JOBS = "(SELECT job_id, name AS JobName FROM sysjobs) j"
 
 
 def _failed(s, sf, hours):
@@ -212,24 +235,29 @@ def _failed(s, sf, hours):
 
 
 def _failed_sql(hours):
-    return (f"SELECT jobs.name AS JobName, step.step_name AS StepName, hist.message AS ErrorMessage, "
-            f"{_RUN_TS} AS ErrorTime FROM sysjobhistory hist JOIN sysjobs jobs ON hist.job_id = jobs.job_id "
-            f"JOIN sysjobsteps step ON hist.job_id = step.job_id AND hist.step_id = step.step_id "
-            f"WHERE hist.run_status = 0 AND {_RUN_TS} >= {NOW_EV} - INTERVAL {hours} HOUR")
-
-
-_LATEST = "SELECT * FROM sysjobactivity WHERE session_id = (SELECT MAX(session_id) FROM sysjobactivity)"
-_DUR = ("CAST(date_diff('day', {s}, {n}) AS VARCHAR) || 'd ' || CAST(date_diff('hour', {s}, {n}) % 24 AS VARCHAR) || 'h ' "
-        "|| CAST(date_diff('minute', {s}, {n}) % 60 AS VARCHAR) || 'min ' || CAST(date_diff('second', {s}, {n}) % 60 AS VARCHAR) || 'sec'")
-_LONG_SQL = (f"SELECT j.name AS JobName, strftime(a.start_execution_date, '%H:%M:%S %p') AS StartTime, "
-             f"CASE WHEN a.start_execution_date IS NULL THEN 'Not running' WHEN a.stop_execution_date IS NULL "
-             f"THEN 'Running' ELSE 'Not running' END AS RunStatus, "
-             f"{_DUR.format(s='a.start_execution_date', n=NOW_EV)} AS Duration, "
-             f"CAST(a.start_execution_date AS DATE) AS RunDate "
-             f"FROM sysjobs j JOIN sysjobactivity a ON j.job_id = a.job_id "
-             f"WHERE a.session_id = (SELECT MAX(session_id) FROM sysjobactivity) "
-             f"AND a.start_execution_date IS NOT NULL AND a.stop_execution_date IS NULL "
-             f"AND date_diff('second', a.start_execution_date, {NOW_EV}) > 1800")
+    failures = f"(SELECT job_id, step_id, message AS ErrorMessage, {_RUN_TS} AS ErrorTime FROM sysjobhistory WHERE run_status = 0) f"
+    steps = "(SELECT job_id, step_id, step_name AS StepName FROM sysjobsteps) s"
+    return (f"SELECT JobName, StepName, ErrorMessage, ErrorTime FROM {failures} JOIN {steps} USING (job_id, step_id) "
+            f"JOIN {_NAMED_JOBS} USING (job_id) WHERE epoch({NOW_EV}) - epoch(ErrorTime) <= {hours * 3600}")
+
+
+_LATEST = "FROM sysjobactivity QUALIFY dense_rank() OVER (ORDER BY session_id DESC) = 1"
+_UNITS = (("day", 10 ** 9, "d "), ("hour", 24, "h "), ("minute", 60, "min "), ("second", 60, "sec"))
+
+
+def _dur(since):
+    """Duration text from the boundaries of each unit between ``since`` and now."""
+    return "concat(" + ", ".join(f"date_diff('{unit}', {since}, {NOW_EV}) % {size}, '{tag}'" for unit, size, tag in _UNITS) + ")"
+
+
+def _running(began, ended):
+    return f"if({began} IS NOT NULL AND {ended} IS NULL, 'Running', 'Not running')"
+
+
+_LONG_SQL = (f"SELECT JobName, strftime(began, '%H:%M:%S %p') AS StartTime, {_running('began', 'ended')} AS RunStatus, {_dur('began')} AS Duration, "
+             f"CAST(began AS DATE) AS RunDate FROM (SELECT job_id, start_execution_date AS began, stop_execution_date AS ended {_LATEST}) a "
+             f"JOIN {_NAMED_JOBS} USING (job_id) "
+             f"WHERE ended IS NULL AND epoch(date_trunc('second', began)) + 1800 < epoch(date_trunc('second', {NOW_EV}))")
 
 
 def _long(s, sf):
@@ -247,12 +275,11 @@ _q("J3", lambda s, sf: jr.latest_session(_fx(s, sf, "sysjobactivity")),
 _q("J4", _long, "JobName:s StartTime:s RunStatus:s Duration:s RunDate:d", _LONG_SQL, _JT)
 _q("J5", lambda s, sf: _fx(s, sf, "sysjobactivity").withColumn("run_status", jr.run_status_label()),
    "session_id:i job_id:i start_execution_date:t stop_execution_date:t run_status:s",
-   "SELECT *, CASE WHEN start_execution_date IS NULL THEN 'Not running' WHEN stop_execution_date IS NULL "
-   "THEN 'Running' ELSE 'Not running' END AS run_status FROM sysjobactivity", ["sysjobactivity"])
+   f"SELECT *, {_running('start_execution_date', 'stop_execution_date')} AS run_status FROM sysjobactivity", ["sysjobactivity"])
 _q("J6", lambda s, sf: _fx(s, sf, "sysjobactivity").where(F.col("start_execution_date").isNotNull())
    .withColumn("duration", jr.duration_since(F.col("start_execution_date"), AS_OF_EVENTS)),
    "session_id:i job_id:i start_execution_date:t duration:s",
-   f"SELECT *, {_DUR.format(s='start_execution_date', n=NOW_EV)} AS duration FROM sysjobactivity "
+   f"SELECT *, {_dur('start_execution_date')} AS duration FROM sysjobactivity "
    f"WHERE start_execution_date IS NOT NULL", ["sysjobactivity"])
 _q("J7", lambda s, sf: jr.report_summary(_failed(s, sf, 1), jr.ERROR_REPORT_SUBJECT, AS_OF_EVENTS, "job_step_errors")
    .unionByName(jr.report_summary(_long(s, sf), jr.LONG_RUNNING_SUBJECT, AS_OF_EVENTS, "long_running_jobs")),

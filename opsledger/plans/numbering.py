@@ -43,7 +43,7 @@ def _holds_map(kind: T.DataType) -> bool:
     return isinstance(kind, T.StructType) and any(_holds_map(f.dataType) for f in kind.fields)
 
 
-def _hash(df: DataFrame, names, seed: int) -> Column:
+def key_hash(df: DataFrame, names, seed: int) -> Column:
     """64-bit hash of the named columns, with their NULLs told apart."""
     parts = [F.lit(seed)]
     for n in names:
@@ -58,7 +58,7 @@ def _ranged(df: DataFrame, lead: dict[str, Column], order, num_partitions: int |
     rest = [f.name for f in df.schema.fields if f.name.lower() not in named]
     short = [f.name for f in df.schema.fields if f.name in rest and isinstance(f.dataType, _SHORT)]
     inner = [F.col(o).asc_nulls_first() if isinstance(o, str) else o for o in [*order, *short]] + [F.col(_TIE)]
-    keyed = df.withColumns({**lead, _TIE: _hash(df, rest, 7)})
+    keyed = df.withColumns({**lead, _TIE: key_hash(df, rest, 7)})
     cols = [F.col(k) for k in lead] + inner
     ranged = keyed.repartitionByRange(num_partitions, *cols) if num_partitions else keyed.repartitionByRange(*cols)
     pid = F.spark_partition_id()
@@ -68,9 +68,14 @@ def _ranged(df: DataFrame, lead: dict[str, Column], order, num_partitions: int |
 
 
 def global_index(df: DataFrame, order, out_col: str = "row_index", start: int = 1,
-                 num_partitions: int | None = None) -> DataFrame:
-    """Consecutive numbers ``start, start+1, ...`` in ``order`` (a total order after tie-breaks)."""
-    rows, _ = _ranged(df, {}, order, num_partitions)
+                 num_partitions: int | None = None, write_first: bool = False) -> DataFrame:
+    """Consecutive numbers ``start, start+1, ...`` in ``order`` (a total order after tie-breaks).
+
+    The range partitioning evaluates its input twice, for its bounds and for the
+    rows. ``write_first``: write the input before, when it is a costly or much
+    reduced reading of a large table.
+    """
+    rows, _ = _ranged(written(df, "numbered") if write_first else df, {}, order, num_partitions)
     counts = rows.groupBy(_PID).agg(F.count(F.lit(1)).alias("_nb_cnt"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_PID, F.coalesce(F.sum("_nb_cnt").over(before), F.lit(0)).alias("_nb_off"))
@@ -88,7 +93,7 @@ def number_within_groups(df: DataFrame, keys, order, out_col: str = "row_num",
     keys = list(keys)
     if not keys:
         return global_index(df, order, out_col, 1, num_partitions)
-    lead = {k: _hash(df, keys, seed) for seed, k in enumerate(_KEY)}
+    lead = {k: key_hash(df, keys, seed) for seed, k in enumerate(_KEY)}
     rows, inner = _ranged(df, lead, order, num_partitions)
     key = F.struct(*_KEY)
     bounds = rows.groupBy(_PID).agg(F.min(key).alias("_nb_first"), F.max(key).alias("_nb_last"))
@@ -104,3 +109,24 @@ def number_within_groups(df: DataFrame, keys, order, out_col: str = "row_num",
     return (rows.withColumn(out_col, local).join(F.broadcast(offsets), _PID)
                 .withColumn(out_col, F.col(out_col).cast("long") + F.when(key == F.col("_nb_first"), F.col("_nb_off")).otherwise(F.lit(0)))
                 .drop(_PID, _POS, _TIE, *_KEY, "_nb_first", "_nb_off"))
+
+
+def running_within_groups(df: DataFrame, keys, order, size: str, out_col: str) -> DataFrame:
+    """Sum of ``size`` over the rows before a row in its group, in ``order``; a hot group is cut across tasks like its numbers."""
+    keys = list(keys)
+    lead = {k: key_hash(df, keys, seed) for seed, k in enumerate(_KEY)}
+    rows, inner = _ranged(df, lead, order, None)
+    key = F.struct(*_KEY)
+    sums = rows.groupBy(_PID, *_KEY).agg(F.sum(size).cast("long").alias("_nb_sum"))
+    bounds = rows.groupBy(_PID).agg(F.min(key).alias("_nb_first"), F.max(key).alias("_nb_last"))
+    # a key that continues in a later partition is the last one of its partition: one row per partition
+    ends = sums.join(F.broadcast(bounds), _PID).where(F.struct(*_KEY) == F.col("_nb_last"))
+    run = Window.partitionBy("_nb_last").orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
+    by_pid = Window.orderBy(_PID)
+    ends = ends.withColumn("_nb_run", F.sum("_nb_sum").over(run))
+    offsets = ends.select(_PID, "_nb_first", F.when(F.lag("_nb_last").over(by_pid) == F.col("_nb_first"), F.lag("_nb_run").over(by_pid))
+                          .otherwise(F.lit(0)).alias("_nb_off"))
+    before = F.sum(size).over(Window.partitionBy(_PID, *_KEY).orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1))
+    return (rows.withColumn(out_col, F.coalesce(before, F.lit(0)).cast("long")).join(F.broadcast(offsets), _PID)
+                .withColumn(out_col, F.col(out_col) + F.when(key == F.col("_nb_first"), F.col("_nb_off")).otherwise(F.lit(0)))
+                .drop(_PID, _POS, _TIE, *_KEY, "_nb_first", "_nb_off"))
