@@ -9,9 +9,9 @@
   lengthened value by value; at full depth a crowded region is cut by hash.
   Every class is also paired with the smallest class of each region it passes.
   Cut and order within a region are drawn anew in every tree.
-- Trees work in two batches. The candidates of the first few, best first by a
-  128-bit sketch (one bit of a MinHash value each), are confirmed on the full
-  sets and linked; the other trees only pair classes of different components.
+- Trees work in two batches. The candidates of the first few are confirmed on
+  the full sets and linked; the other trees only pair classes of different
+  components, in regions that still hold two.
 - Neighbours are not all pairs of a region of more than ``near + 1`` classes.
   Where such a region still holds two components, all its members are compared
   on their full sets, tile by tile; a task gives only links that join components.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsledger.llm.common import table
-from opsledger.llm.components import components
+from opsledger.llm.components import components, extended, rooted
 
 WORDS = 5
 CHUNK = 1 << 19
@@ -111,7 +111,7 @@ def grouped(texts: list[bytes]):
 
 
 def signatures(docs: DataFrame, values: int) -> DataFrame:
-    """doc_id, n, set (digest of the shingle set), sig (16 bits of each MinHash value), s0 and s1 (sketch)."""
+    """doc_id, n, set (digest of the shingle set), sig (16 bits of each MinHash value)."""
     id_field = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, values: int) -> DataFrame:
         times = rng.integers(1, 1 << 63, values, dtype=np.uint64) | np.uint64(1)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            n, digest, sig, sketch = [], [], [], []
+            n, digest, sig = [], [], []
             for a, b in grouped(texts):
                 sets = shingler.sets(texts[a:b])
                 sizes = np.array([len(x) for x in sets])
@@ -131,39 +131,34 @@ def signatures(docs: DataFrame, values: int) -> DataFrame:
                     for k in range(values):
                         low[full, k] = np.minimum.reduceat((every ^ flip[k]) * times[k], at)
                 low = _mix(low)
-                bits = np.packbits((low[:, :128] >> np.uint64(40)).astype(np.uint8) & 1, axis=1)
                 labels = (low & np.uint64(0xFFFF)).astype(">u2")
                 n.append(sizes)
                 digest += [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
                 sig += [x.tobytes() for x in labels]
-                sketch.append(bits.view(np.int64))
             n = np.concatenate(n) if n else np.zeros(0, dtype=np.int64)
-            sketch = np.concatenate(sketch) if sketch else np.zeros((0, 2), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()),
-                 pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())], ["doc_id", "n", "set", "sig", "s0", "s1"])
+                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "set", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_field}, n long, set binary, sig binary, s0 long, s1 long")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_field}, n long, set binary, sig binary")
 
 
 def candidates(classes: DataFrame, trees: range, depth: int, shallow: int, crowd: int, near: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, off): pairs a < b of class ids of two components that are neighbours in one of ``trees``; off = unequal sketch bits.
+    """(a, b): pairs a < b of class ids of two components that are neighbours in one of ``trees``.
 
     Also (tree, key, rep, n): the regions whose pairs are not all among them.
-    ``classes``: rep, root (its component), n, s0, s1, sig.
+    ``classes``: rep, root (its component), n, sig.
     """
     wide = 2 * depth
-    member = ["rep", "root", "n", "s0", "s1"]
+    member = ["rep", "root", "n"]
     rows = classes.select(*member, F.explode(F.array(*map(F.lit, trees))).alias("tree"), "sig").select(
         "tree", F.substring("sig", F.col("tree") * wide + 1, F.lit(wide)).alias("path"), *member)
 
     def pair(x: DataFrame, other: Column) -> DataFrame:
         o = lambda c: other[c]
-        off = F.bit_count(F.col("s0").bitwiseXOR(o("s0"))) + F.bit_count(F.col("s1").bitwiseXOR(o("s1")))
         return (x.filter(other.isNotNull() & (o("root") != F.col("root")) & (4 * F.least("n", o("n")) >= 3 * F.greatest("n", o("n"))))
-                .select(F.least("rep", o("rep")).alias("a"), F.greatest("rep", o("rep")).alias("b"), off.alias("off")))
+                .select(F.least("rep", o("rep")).alias("a"), F.greatest("rep", o("rep")).alias("b")))
 
-    out, rest = [], rows
+    out, calm, rest = [], [], rows
     for d in range(shallow, depth + 1):
         keyed = rest.withColumn("key", F.substring("path", 1, 2 * d))
         held = (keyed.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(*member)).alias("head"), F.min("root").alias("r0"),
@@ -173,14 +168,14 @@ def candidates(classes: DataFrame, trees: range, depth: int, shallow: int, crowd
         out.append(pair(keyed, F.col("head")))
         if d == shallow:  # longer prefixes only part these
             crowded = keyed.filter(F.col("held") > near + 1).select("tree", "key", "rep", "n")
-        calm = keyed if d == depth else keyed.filter(F.col("held") <= crowd)
-        # a region crowded at full depth is cut by hash; its head keeps the cuts together
-        cut = F.pmod(F.xxhash64("tree", "rep"), F.ceil(F.col("held") / crowd))
-        order = Window.partitionBy("tree", "key", "cut").orderBy("path", F.xxhash64("rep", "tree"), "rep")
-        calm = calm.withColumn("cut", cut).select(*member, F.array(*[F.lead(F.struct(*member), i).over(order) for i in range(1, near + 1)]).alias("next"))
-        out.append(pair(calm.select(*member, F.explode("next").alias("o")), F.col("o")))
+        calm.append((keyed if d == depth else keyed.filter(F.col("held") <= crowd)).select("tree", "key", "path", "held", *member))
         rest = keyed.filter(F.col("held") > crowd).select("tree", "path", *member)
-    return _union(out).groupBy("a", "b").agg(F.min("off").alias("off")), crowded
+    # a region crowded at full depth is cut by hash; its head keeps the cuts together
+    cut = F.pmod(F.xxhash64("tree", "rep"), F.ceil(F.col("held") / crowd))
+    order = Window.partitionBy("tree", "key", "cut").orderBy("path", F.xxhash64("rep", "tree"), "rep")
+    beside = F.array(*[F.lead(F.struct(*member), i).over(order) for i in range(1, near + 1)])
+    out.append(pair(_union(calm).withColumn("cut", cut).select(*member, beside.alias("next")).select(*member, F.explode("next").alias("o")), F.col("o")))
+    return _union(out).distinct(), crowded
 
 
 def common_words(sets: list[np.ndarray]) -> np.ndarray:
@@ -250,7 +245,7 @@ def completed(regions: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array(list(map(min, a, b)), kinds), "b": pa.array(list(map(max, a, b)), kinds)})
 
     rows = met.join(sets, "rep").select("tree", "key", "i", "j", "rep", "root", "mine", "h")
-    return rows.groupBy("tree", "key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").filter("a <> b").distinct()
+    return rows.groupBy("tree", "key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").filter("a <> b")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -268,7 +263,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("h").alias("x")), "a")
     rows = rows.join(sets.select(F.col("rep").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(compare, pairs.select("a", "b").schema).distinct()
+    return rows.mapInArrow(compare, pairs.select("a", "b").schema)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -291,42 +286,33 @@ def near_duplicates(docs: DataFrame, trees: int = 32, first: int = 4, depth: int
     docs = docs.select("doc_id", "text")
     signed = table(signatures(docs, trees * depth), "signatures")
     some = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = table(some.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
-                                            F.first("s0").alias("s0"), F.first("s1").alias("s1")), "classes")
-    links = [table(_same_id(some, classes), "copies")]
-    roots, crowded = components(links[0]), []
+    classes = table(some.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    roots, crowded = components(table(_same_id(some, classes), "copies")), []
     # a few trees link most copies; the others meet what these have left apart
     for batch in (range(first), range(first, trees)):
-        members = table(_rooted(classes, roots, "rep").withColumnRenamed("root_rep", "root"), "members")
+        members = table(rooted(classes, roots, "rep").withColumnRenamed("root_rep", "root"), "members")
         pairs, dense = candidates(members, batch, depth, shallow, crowd, near)
         pairs = table(pairs, "pairs")
         crowded.append(dense)
-        ids = table(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "paired")
-        sets = table(shingle_sets(docs, ids), "sets")
-        best = table(pairs.groupBy("b").agg(F.min(F.struct("off", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "best")
-        links.append(table(confirm(best, sets), "confirmed"))
-        roots = components(_union(links))
-        here = _rooted(_rooted(pairs.join(best, ["a", "b"], "left_anti"), roots, "a"), roots, "b")
-        links.append(table(confirm(table(here.filter("root_a <> root_b").select("a", "b"), "open"), sets), "confirmed"))
-        roots = components(_union(links))
+        sets = table(shingle_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))), "sets")
+        roots = extended(roots, table(confirm(pairs, sets), "confirmed"))
     # regions that hold two components and more pairs than neighbours
-    here = table(_rooted(_union(crowded), roots, "rep").withColumnRenamed("root_rep", "root"), "crowded")
+    here = table(rooted(_union(crowded), roots, "rep").withColumnRenamed("root_rep", "root"), "crowded")
     mixed = here.groupBy("tree", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("tree", "key")
     left = table(here.join(mixed, ["tree", "key"], "left_semi"), "mixed")
     if not left.isEmpty():
-        full = table(shingle_sets(docs, left.select("rep").distinct()), "mixed-sets")
-        links.append(table(completed(left, full), "completed"))
-        roots = components(_union(links))
-    named = _rooted(classes.select("set", "rep"), roots, "rep").select("set", F.col("root_rep").alias("component_id"))
+        full = table(shingle_sets(docs, left.select("rep")), "mixed-sets")
+        roots = extended(roots, table(completed(left, full), "completed"))
+    named = rooted(classes.select("set", "rep"), roots, "rep").select("set", F.col("root_rep").alias("component_id"))
     # classes of one doc_id share the smallest component of their rows
     out = signed.select("doc_id", "set", F.col("n").alias("n_shingles")).join(named, "set", "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null(F.col("doc_id"), component).alias("kept"))
 
 
-def _union(links: list[DataFrame]) -> DataFrame:
-    joined = links[0]
-    for x in links[1:]:
+def _union(parts: list[DataFrame]) -> DataFrame:
+    joined = parts[0]
+    for x in parts[1:]:
         joined = joined.unionByName(x)
     return joined
 
@@ -336,9 +322,3 @@ def _same_id(some: DataFrame, classes: DataFrame) -> DataFrame:
     twice = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     rows = some.select("doc_id", "set").join(twice, "doc_id", "left_semi").join(classes.select("set", "rep"), "set")
     return rows.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).filter("a <> b").distinct()
-
-
-def _rooted(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
-    """``rows`` plus ``root_<column>``: the component of that class id."""
-    named = roots.select(F.col("node").alias(column), F.col("root").alias("_r"))
-    return rows.join(named, column, "left").withColumn(f"root_{column}", F.coalesce("_r", column)).drop("_r")

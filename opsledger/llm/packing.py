@@ -43,8 +43,11 @@ RARE_SPACE = "[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]"
 class WordIds(dict):
     """Token ids (little-endian bytes) of chunks between white space, filled on demand.
 
-    The tokenizer never joins characters across white space, nor a letter and
-    the closing punctuation after it, so ids of the parts are ids of the whole.
+    The tokenizer never joins characters across white space, nor an ASCII letter
+    and the closing punctuation after it, so ids of the parts are ids of the
+    whole. Other letters may decompose into a letter and a mark that joins what
+    follows: they are encoded whole, and so are chunks that may hold the name of
+    a special token, which the tokenizer's plain call turns into its id.
     """
 
     CLOSING = ".,!?|#$%&*"
@@ -52,13 +55,16 @@ class WordIds(dict):
     def __init__(self, tokenizer, limit: int):
         super().__init__()
         self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
+        self.special = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.rstrip(self.CLOSING)
-        if core and len(core) < len(chunk) and core[-1].isalpha():
+        if any(name in chunk.lower() for name in self.special):
+            ids = self.whole(chunk)
+        elif core and len(core) < len(chunk) and core[-1].isascii() and core[-1].isalpha():
             ids = self[core] + self[chunk[len(core):]]
         elif chunk.isascii() and (low := chunk.lower()) != chunk:
             ids = self[low]
@@ -82,7 +88,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         words, rare = WordIds(tokenizer, cache_words), re.compile(RARE_SPACE)
         end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
