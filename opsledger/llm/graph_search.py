@@ -16,8 +16,9 @@ merged by rank. Its cost is queries times shards.
 
 Null or empty vectors, vectors with a null or non-finite component and zero
 vectors take no part. Vectors of another length share no distance and are
-never compared. Ties go to the smaller id; repeated ids are separate rows. An
-empty table gives an empty result.
+never compared. Rows without a vec_id take no part. Rows of one vec_id are one
+item, as near as the nearest of its vectors: an id is listed once, and never for
+its own query. Ties go to the smaller id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -134,11 +135,11 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", v.alias("v")).filter(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
 
 
-def index(vectors: DataFrame, k: int, shard_nodes: int = 4096, degree: int = 32, width: int = 64, alpha: float = 1.2) -> DataFrame:
+def index(vectors: DataFrame, k: int, shard_nodes: int = 8192, degree: int = 32, width: int = 64, alpha: float = 1.2) -> DataFrame:
     """One row per shard and vector length: its vectors, ids and graph."""
-    # k + 1 ids of a vector are all a result can show: ties go to the smaller id and a query leaves out itself
+    # k + 1 different ids of a vector are all a result can show: ties go to the smaller id and a query leaves out itself
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    nodes = (vectors.withColumn("_n", first).filter(F.col("_n") <= k + 1)
+    nodes = (vectors.distinct().withColumn("_n", first).filter(F.col("_n") <= k + 1)
              .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     nodes = table(nodes, "nodes")
     shards = max(1, math.ceil(nodes.count() / shard_nodes))
@@ -163,8 +164,8 @@ def index(vectors: DataFrame, k: int, shard_nodes: int = 4096, degree: int = 32,
     return table(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(make, schema), "graphs")
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = 256, block_queries: int = 1024) -> DataFrame:
-    """(query, vec_id, score): the k + 1 nearest rows of every shard for each of ``queries`` (query, v)."""
+def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = 80, block_queries: int = 1024) -> DataFrame:
+    """(query, vec_id, score): the k + 1 nearest ids of every shard for each of ``queries`` (query, v)."""
     blocks = max(1, math.ceil(queries.count() / block_queries))
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # every block of queries visits every shard
@@ -194,7 +195,8 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = 256, bloc
                     d = np.sqrt(((x[nodes] - one) ** 2).sum(axis=1))
                     every = np.concatenate([own[start[m]:start[m] + counts[m]] for m in nodes])
                     far = np.repeat(d, counts[nodes])
-                    best = np.lexsort([every, far])[:k + 1]
+                    best = np.lexsort([every, far])
+                    best = best[np.sort(np.unique(every[best], return_index=True)[1])][:k + 1]  # an id once, where it is nearest
                     query.append(np.repeat(number[i], len(best)))
                     ids.append(every[best])
                     score.append(far[best])
@@ -215,7 +217,14 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, **options) -> DataFr
     distinct = table(asking.select("v").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
     hits = search(graphs, distinct, k)
     named = asking.select(F.col("vec_id").alias("query_id"), "v").distinct().join(distinct, "v").select("query_id", "query")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (hits.join(named, "query").filter(F.col("vec_id") != F.col("query_id"))
-            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+
+    def first(found: DataFrame, asker: str, n: int) -> DataFrame:
+        """The n nearest different ids of each asker."""
+        once = found.groupBy(asker, "vec_id").agg(F.min("score").alias("score"))
+        order = Window.partitionBy(asker).orderBy("score", "vec_id")
+        return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+    # cut before the queries of equal vectors get their copies; k + 1 ids hold k that are not a query's own
+    merged = table(first(hits, "query", k + 1).drop("rank"), "merged")
+    mine = merged.join(named, "query").filter(F.col("vec_id") != F.col("query_id"))
+    return first(mine, "query_id", k).select("query_id", "rank", "vec_id", "score")
