@@ -11,6 +11,7 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,29 +30,33 @@ def table(df: DataFrame, name: str) -> DataFrame:
     below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     out = written(df, f"llm-{name}")
-    if _noting:
-        _noted.append(out)
+    if _noted.get() is not None:
+        _noted.get().append(out)
     return out
 
 
-_noting: list[bool] = []
-_noted: list[DataFrame] = []
+# of the thread of control, so that two pipelines in one process keep their own tables
+_noted: ContextVar[list[DataFrame] | None] = ContextVar("noted", default=None)
+_done: ContextVar[tuple[DataFrame, ...]] = ContextVar("done", default=())
 
 
 @contextmanager
 def noted_tables():
     """Tables written inside the block can be deleted by ``release``."""
-    _noting.append(True)
+    tables: list[DataFrame] = []
+    token = _noted.set(tables)
     try:
         yield
     finally:
-        _noting.pop()
+        _noted.reset(token)
+        _done.set((*_done.get(), *tables))
 
 
 def release() -> None:
     """Delete the noted tables; only once the results that read them have been written themselves."""
-    while _noted:
-        df = _noted.pop()
+    tables = _done.get()
+    _done.set(())
+    for df in tables:
         if df.sparkSession.sparkContext._jsc is not None:  # not of a session that has ended
             drop(df)
 

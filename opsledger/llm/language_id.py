@@ -15,8 +15,8 @@ cross-entropy above which a text is ``rejected``. Row 2 is held out.
 
 Null text and text without letters get ``und`` and score 0, and so does every
 text when no row can be learned from. Ties go to the first language by code
-point. ``max_grams`` bounds the model that is sent to the tasks: beyond it
-the rarest 4-grams are pruned, as models on disk commonly are.
+point. Every gram is kept: beyond ``max_grams`` 4-grams the model is split into
+pieces and the texts are scored once per piece.
 """
 
 from __future__ import annotations

@@ -115,10 +115,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8192, bits: int =
         w, bias, a, b = fit(rows, np.array(label, dtype=int), bits)
         return np.concatenate([w, [bias, a, b]])
 
-    def model_of(rows, label):
-        w, bias, a, b = fit(rows, np.array(label, dtype=int), bits)
-        return np.concatenate([w, [bias, a, b]])
-
     def learn(batches):
         held = sorted((k, y, x) for batch in batches for y, x, k in zip(*(c.to_pylist() for c in batch.columns)))
         model = model_of([np.frombuffer(x, dtype=np.int32) for _, _, x in held], [y for _, y, _ in held])

@@ -272,6 +272,25 @@ def test_packing_is_exact(docs):
         assert (g.length.cumsum() - g.length == g.offset).all() and g.length.sum() <= 2048
 
 
+def test_packing_ids_are_the_plain_calls(spark):
+    """Letters that decompose, marks and special names before closing punctuation."""
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    odd = [c for c in map(chr, range(0x80, 0x3100)) if unicodedata.normalize("NFC", c) != c or unicodedata.normalize("NFD", c) != c
+           or c.lower() != c or unicodedata.category(c)[0] == "M"]
+    texts = [f"a{c}. {c}!? x{c}%, {c}" for c in odd] + ["a<|endoftext|>. b", "<|startoftext|>x <|ENDOFTEXT|>", "<|endoftext", "x|<|endoftext|>|",
+                                                       "\u0939\u093f\u0928\u094d\u0926\u0940\u0964 \u0958.", "\u0130% I\u0307. \u00c9, "]
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in _pieces(df).collect()}
+    for d, t in enumerate(texts):
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], dtype="<u4")
+        assert got[d] == zlib.crc32(ids.tobytes()), t
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_plan(seed):
     """Every piece gets one place, sequences are gapless, and few are used."""
@@ -311,6 +330,24 @@ def test_graph_search_small(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_graph_search_repeated_ids(spark):
+    """An id of many rows is one item: it hides no other id, and is never its own neighbour."""
+    rng = np.random.default_rng(2)
+    near = [1.0] * 6
+    rows = [(100, near)] * 12 + [(105, near)] + [(100, [1.0 + i / 100] * 6) for i in range(12)] + [(200, near), (200, [9.0] * 6)]
+    rows += [(300 + i, list(map(float, rng.normal(size=6)))) for i in range(50)] + [(None, near)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    far = {}
+    for q, x in rows:
+        for i, y in rows:
+            if q in (100, 200, 300) and i is not None and i != q:
+                far.setdefault(q, {}).setdefault(i, []).append(float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())))
+    want = []
+    for q, ids in far.items():
+        want += [(q, r, i, round(d, 9)) for r, (d, i) in enumerate(sorted((min(ds), i) for i, ds in ids.items())[:10], 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in nearest(df).collect()) == sorted(want)
+
+
 def test_graph_search_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute.neighbours([(r.vec_id, r.embedding) for r in df.collect()])
