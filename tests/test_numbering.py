@@ -94,3 +94,18 @@ def test_numbering_property(spark):
         assert sorted(r.ix for r in gi.collect()) == list(range(1, len(data) + 1))
 
     check()
+
+
+def test_intermediates_can_be_deleted(spark):
+    """Numbering inside the block leaves nothing behind once its result is written; without the block it stays."""
+    import glob
+
+    from opsledger.plans.materialize import fresh_path, intermediates_deleted
+    from opsledger.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).replace("file:", "")
+    before = set(glob.glob(f"{folder}/*"))
+    out = fresh_path(spark, "kept")
+    with intermediates_deleted(spark):
+        global_index(spark.range(50), ["id"], "n").write.parquet(out)
+    assert {p.rsplit("/", 1)[1] for p in set(glob.glob(f"{folder}/*")) - before} == {out.rsplit("/", 1)[1]}
+    assert spark.read.parquet(out).count() == 50
