@@ -244,7 +244,7 @@ def completed(regions: DataFrame, sets: DataFrame) -> DataFrame:
         kinds = rows.schema.field("rep").type
         return pa.table({"a": pa.array(list(map(min, a, b)), kinds), "b": pa.array(list(map(max, a, b)), kinds)})
 
-    rows = met.join(sets, "rep").select("tree", "key", "i", "j", "rep", "root", "mine", "h")
+    rows = met.join(sets.hint("merge"), "rep").select("tree", "key", "i", "j", "rep", "root", "mine", "h")
     return rows.groupBy("tree", "key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").filter("a <> b")
 
 
@@ -261,8 +261,9 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    rows = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("h").alias("x")), "a")
-    rows = rows.join(sets.select(F.col("rep").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
+    # sets grow with the corpus: planned as shuffles at every size
+    rows = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("h").alias("x")).hint("merge"), "a")
+    rows = rows.join(sets.select(F.col("rep").alias("b"), F.col("h").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
     return rows.mapInArrow(compare, pairs.select("a", "b").schema)
 
 
