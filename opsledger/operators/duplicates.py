@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsledger.plans.materialize import written
-from opsledger.plans.numbering import global_index, key_hash, number_within_groups, running_within_groups
+from opsledger.plans.numbering import _hash as key_hash, global_index, number_within_groups, running_within_groups
 
 
 def _keys(keys) -> list[str]:
