@@ -295,14 +295,16 @@ def near_duplicates(docs: DataFrame, trees: int = 32, first: int = 4, depth: int
         pairs, dense = candidates(members, batch, depth, shallow, crowd, near)
         pairs = table(pairs, "pairs")
         crowded.append(dense)
-        sets = table(shingle_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))), "sets")
+        # as small as can be, so that it is sent to the texts for as long as possible, not they to it
+        ids = table(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "paired")
+        sets = table(shingle_sets(docs, ids), "sets")
         roots = extended(roots, table(confirm(pairs, sets), "confirmed"))
     # regions that hold two components and more pairs than neighbours
     here = table(rooted(_union(crowded), roots, "rep").withColumnRenamed("root_rep", "root"), "crowded")
     mixed = here.groupBy("tree", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("tree", "key")
     left = table(here.join(mixed, ["tree", "key"], "left_semi"), "mixed")
     if not left.isEmpty():
-        full = table(shingle_sets(docs, left.select("rep")), "mixed-sets")
+        full = table(shingle_sets(docs, table(left.select("rep").distinct(), "mixed-ids")), "mixed-sets")
         roots = extended(roots, table(completed(left, full), "completed"))
     named = rooted(classes.select("set", "rep"), roots, "rep").select("set", F.col("root_rep").alias("component_id"))
     # classes of one doc_id share the smallest component of their rows
