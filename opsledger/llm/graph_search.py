@@ -3,8 +3,8 @@
 Equal vectors are one node that carries its smallest ids, as many as a result
 can use, so a vector that half the rows share is one node. Nodes are dealt to
 shards by a hash of the vector. In each shard a directed graph is built: nodes
-are inserted in batches, a greedy beam search from the medoid proposes
-neighbours, and robust pruning keeps a neighbour only if no kept one is
+are inserted in batches, a greedy beam search from the medoid and some random
+nodes proposes neighbours, and robust pruning keeps a neighbour only if no kept one is
 ``alpha`` times closer to it than the node itself. Edges are made mutual and
 overfull nodes pruned again; a second pass with the relaxed ``alpha`` adds the
 long edges.
@@ -33,14 +33,17 @@ from pyspark.sql import functions as F
 from opsledger.llm.common import table
 
 
+ENTRIES = 32
+
+
 def _square(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Squared distances of rows x (..., c, d) to q (..., d)."""
     gap = x - q[..., None, :]
     return np.einsum("...cd,...cd->...c", gap, gap)
 
 
-def beam(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``width`` best nodes that a beam search finds for each query, nearest first; -1 where fewer."""
+def beam(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``width`` best nodes that a beam search from ``entries`` finds for each query, nearest first; -1 where fewer."""
     b, r = len(q), graph.shape[1]
     rows = np.arange(b)
     seen = np.zeros((b, len(x) + 1), dtype=bool)
@@ -48,8 +51,11 @@ def beam(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, width: int
     ids = np.full((b, width), -1)
     far = np.full((b, width), np.inf)
     open_ = np.zeros((b, width), dtype=bool)
-    ids[:, 0], far[:, 0], open_[:, 0] = entry, _square(x[entry][None, None, :], q)[:, 0], True
-    seen[:, entry] = True
+    entries = entries[:width]
+    start = _square(x[entries][None], q)
+    order = np.argsort(start, axis=1, kind="stable")
+    ids[:, :len(entries)], far[:, :len(entries)], open_[:, :len(entries)] = entries[order], np.take_along_axis(start, order, 1), True
+    seen[:, entries] = True
     while open_.any():
         at = open_.argmax(axis=1)  # nearest node that was not expanded
         live = np.flatnonzero(open_[rows, at])
@@ -93,11 +99,13 @@ def prune(x: np.ndarray, node: np.ndarray, cand: np.ndarray, degree: int, alpha:
     return out
 
 
-def build(x: np.ndarray, degree: int, width: int, alpha: float, seed: int = 1, batch: int = 256) -> tuple[np.ndarray, int]:
-    """Neighbours of every node (-1: none) and the entry node."""
+def build(x: np.ndarray, degree: int, width: int, alpha: float, seed: int = 1, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of every node (-1: none) and the entry nodes."""
     n = len(x)
     rng = np.random.default_rng(seed)
-    entry = int(_square(x[None], x.mean(axis=0)[None])[0].argmin())
+    # the medoid and some nodes at random: a crowded cluster that holds the medoid keeps no search inside
+    medoid = int(_square(x[None], x.mean(axis=0)[None])[0].argmin())
+    entry = np.unique(np.concatenate([[medoid], rng.integers(0, n, ENTRIES)]))
     graph = np.full((n, degree), -1)
     for k in range(min(degree, 8, n - 1)):
         graph[:, k] = (np.arange(n) + rng.integers(1, n)) % n
@@ -152,15 +160,16 @@ def index(vectors: DataFrame, k: int, shard_nodes: int = 8192, degree: int = 32,
         for dim in sorted({len(x) for x in v}):
             at = [i for i, x in enumerate(v) if len(x) == dim]
             x = np.array([v[i] for i in at])
-            order = np.lexsort(x.T)  # the same graph however the rows arrive
+            # the same graph however the rows arrive; shuffled, as near nodes in a row make a poor start
+            order = np.lexsort(x.T)[np.random.default_rng(7).permutation(len(x))]
             x, held = x[order], [ids[at[i]] for i in order]
-            graph, entry = build(x.astype(np.float32), degree, width, alpha) if len(x) > 1 else (np.full((1, 1), -1, np.int32), 0)
-            out.append((shard, dim, entry, x.tobytes(), graph.tobytes(), graph.shape[1], [i for h in held for i in h], [len(h) for h in held]))
+            graph, entry = build(x.astype(np.float32), degree, width, alpha) if len(x) > 1 else (np.full((1, 1), -1, np.int32), np.zeros(1, dtype=int))
+            out.append((shard, dim, entry.tolist(), x.tobytes(), graph.tobytes(), graph.shape[1], [i for h in held for i in h], [len(h) for h in held]))
         names = ["shard", "dim", "entry", "x", "graph", "degree", "ids", "counts"]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    schema = "shard int, dim int, entry int, x binary, graph binary, degree int, ids array<long>, counts array<int>"
+    schema = "shard int, dim int, entry array<int>, x binary, graph binary, degree int, ids array<long>, counts array<int>"
     return table(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(make, schema), "graphs")
 
 
@@ -189,7 +198,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = 80, block
             for lo in range(0, len(mine), 256):
                 part = mine[lo:lo + 256]
                 q = np.array([v[i] for i in part])
-                found, _ = beam(near, graph, row["entry"], q.astype(np.float32), min(width, len(x)))
+                found, _ = beam(near, graph, np.array(row["entry"]), q.astype(np.float32), min(width, len(x)))
                 for i, nodes, one in zip(part, found, q):
                     nodes = nodes[nodes >= 0]
                     d = np.sqrt(((x[nodes] - one) ** 2).sum(axis=1))
