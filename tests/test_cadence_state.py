@@ -32,7 +32,8 @@ def _rows():
 
 
 def _facts(df):
-    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(df.columns)).collect())
+    rows = [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(df.columns)).collect()]
+    return sorted(rows, key=str)
 
 
 def test_ten_days_equal_the_full_recomputation(spark):
