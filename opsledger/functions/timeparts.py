@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-_UNIT_MICROS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000}
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600}
 
 
 def _col(c) -> Column:
@@ -39,6 +39,11 @@ def epoch_micros(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), _col(ts))
 
 
+def epoch_seconds(ts) -> Column:
+    """Whole seconds since 1970 (fraction dropped downwards): one division of the stored number, no calendar arithmetic."""
+    return F.unix_timestamp(_col(ts).cast("timestamp_ntz"))
+
+
 def _floor_div(a: Column, n: int) -> Column:
     # exact integer floor division (also for instants before 1970)
     return ((a - F.pmod(a, F.lit(n))) / F.lit(n)).cast("long")
@@ -53,14 +58,15 @@ def boundary_diff(unit: str, start, end) -> Column:
     unit = unit.lower().rstrip("s")
     if unit == "day":
         return F.datediff(F.to_date(_col(end)), F.to_date(_col(start)))
-    n = _UNIT_MICROS[unit]
-    return _floor_div(epoch_micros(end), n) - _floor_div(epoch_micros(start), n)
+    n = _UNIT_SECONDS[unit]
+    if n == 1:
+        return epoch_seconds(end) - epoch_seconds(start)
+    return _floor_div(epoch_seconds(end), n) - _floor_div(epoch_seconds(start), n)
 
 
 def seconds_of_day(ts) -> Column:
     """Whole seconds since midnight of a timestamp (fraction dropped)."""
-    c = _col(ts)
-    return (F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("int")
+    return F.pmod(epoch_seconds(ts), F.lit(86400)).cast("int")
 
 
 def hms_text(secs) -> Column:

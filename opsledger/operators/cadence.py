@@ -27,7 +27,7 @@ from opsledger.functions.timeparts import (
     seconds_of_day,
 )
 from opsledger.plans.materialize import written
-from opsledger.plans.quantiles import mode_from_counts, percentile_from_counts
+from opsledger.plans.quantiles import percentile_from_counts
 from opsledger.sources.tables import EXEC_LOG, check_schema
 
 # Fixed values of the classification (monitoring query): label prefixes that are
@@ -36,6 +36,9 @@ MONITORED_PREFIXES = ("Daily", "Mon-Fri", "Weekly", "Monthly", "Quarterly", "Adh
 EXCLUDED_NAME_PATTERNS = ("%Manual%", "%Reload%")
 EXCLUDED_NAMES = ("Daily.SomeJob",)
 
+# Runs of a job up to which its clock times are kept as a list.
+FEW_RUNS = 10_000
+
 
 @dataclass(frozen=True)
 class CadenceParams:
@@ -90,16 +93,34 @@ def job_days(counts: DataFrame) -> DataFrame:
     return days.withColumn("is_business_day", is_business_day("run_date"))
 
 
+def by_job(days: DataFrame) -> DataFrame:
+    """``job_days`` written and dealt out by job, for plans with several profiles of it: their groupings, windows and joins need no more shuffles."""
+    return written(days, "days").repartition("pkg_nm")
+
+
 def clock_times(recent: DataFrame) -> DataFrame:
     """M4 + M5: exact P10 start and P90 stop per job, both rounded.
 
     ``percentile`` keeps value -> count per job and is merged map-side; a job's
     state is bounded by the 86,400 seconds of a day.
     """
-    stopped = F.when(F.col("stop_dt").isNotNull(), F.col("stop_secs"))
     return recent.groupBy("pkg_nm").agg(
         F.round(F.percentile("run_secs", F.lit(0.10))).cast("int").alias("inferred_start_secs"),
-        F.round(F.percentile(stopped, F.lit(0.90))).cast("int").alias("inferred_stop_secs"))
+        F.round(F.percentile(_stopped(), F.lit(0.90))).cast("int").alias("inferred_stop_secs"))
+
+
+def _stopped():
+    return F.when(F.col("stop_dt").isNotNull(), F.col("stop_secs"))
+
+
+def _listed_clock_times(recent: DataFrame) -> DataFrame:
+    """``clock_times`` of jobs of at most ``FEW_RUNS`` runs: a sorted list per job takes a third of the time of its value counts."""
+    def at(values, share):  # the interpolation of ``percentile``
+        place = (F.size(values) - 1) * F.lit(share)
+        low, high = F.get(values, F.floor(place).cast("int")), F.get(values, F.ceil(place).cast("int"))
+        return F.round(F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)).cast("int")
+    lists = recent.groupBy("pkg_nm").agg(F.sort_array(F.collect_list("run_secs")).alias("starts"), F.sort_array(F.collect_list(_stopped())).alias("stops"))
+    return lists.select("pkg_nm", at(F.col("starts"), 0.10).alias("inferred_start_secs"), at(F.col("stops"), 0.90).alias("inferred_stop_secs"))
 
 
 def runtime_p90(counts: DataFrame) -> DataFrame:
@@ -107,9 +128,19 @@ def runtime_p90(counts: DataFrame) -> DataFrame:
     return percentile_from_counts(counts, ["pkg_nm"], "runtime_secs", "n_runs", 0.90, "p90_runtime_seconds")
 
 
-def job_clock(recent: DataFrame, counts: DataFrame) -> DataFrame:
-    """M4 + M5 + M13 per job; the run time is NULL for jobs without a finished run."""
-    return clock_times(recent).join(runtime_p90(counts), "pkg_nm", "left")
+def job_clock(recent: DataFrame, counts: DataFrame, few: int = FEW_RUNS) -> DataFrame:
+    """M4 + M5 + M13 per job; the run time is NULL for jobs without a finished run.
+
+    Jobs of more than ``few`` runs (``counts`` names them; a log of n runs has
+    fewer than n / few) keep value counts, the others lists; the numbers are the same.
+    """
+    large = written(counts.groupBy("pkg_nm").agg(F.sum("n_runs").alias("n")).where(F.col("n") > few).select("pkg_nm"), "large")
+    if large.isEmpty():
+        clock = _listed_clock_times(recent)
+    else:
+        clock = (_listed_clock_times(recent.join(large, "pkg_nm", "left_anti"))
+                 .unionByName(clock_times(recent.join(large, "pkg_nm", "left_semi"))))
+    return clock.join(runtime_p90(counts), "pkg_nm", "left")
 
 
 def job_metrics(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
@@ -142,29 +173,28 @@ def gap_stats(gaps: DataFrame) -> DataFrame:
 
     Ties of the most common gap resolve to the smallest gap.
     """
-    g = F.col("gap_days")
-    real = gaps.where(g.isNotNull())
-    stats = real.groupBy("pkg_nm").agg(
-        F.avg(g).alias("avg_gap"),
-        F.count(F.when(g.between(6, 8), 1)).alias("weekly_pattern_count"),
-        F.count(F.when(g.between(28, 31), 1)).alias("monthly_pattern_count"),
-        F.count(F.lit(1)).alias("total_gaps"),
-    )
-    per_gap = real.groupBy("pkg_nm", "gap_days").agg(F.count(F.lit(1)).alias("cnt"))
-    mode = mode_from_counts(per_gap, ["pkg_nm"], "gap_days", "cnt", "mode_gap")
-    return stats.join(mode, "pkg_nm").select("pkg_nm", "avg_gap", "mode_gap", "weekly_pattern_count",
-                                             "monthly_pattern_count", "total_gaps")
+    # at most one row per gap and job; all else follows from these counts
+    g, n = F.col("gap_days"), F.col("cnt")
+    per_gap = gaps.where(g.isNotNull()).groupBy("pkg_nm", "gap_days").agg(F.count(F.lit(1)).alias("cnt"))
+    best = F.max(F.struct(n, (-g).alias("neg_gap")))
+    return (per_gap.groupBy("pkg_nm")
+                   .agg((F.sum(g * n).cast("double") / F.sum(n)).alias("avg_gap"), best.alias("b"),
+                        F.sum(F.when(g.between(6, 8), n).otherwise(0)).alias("weekly_pattern_count"),
+                        F.sum(F.when(g.between(28, 31), n).otherwise(0)).alias("monthly_pattern_count"),
+                        F.sum(n).alias("total_gaps"))
+                   .select("pkg_nm", "avg_gap", (-F.col("b.neg_gap")).alias("mode_gap"), "weekly_pattern_count",
+                           "monthly_pattern_count", "total_gaps"))
 
 
 def dow_profile(days: DataFrame) -> DataFrame:
     """M8: most common weekday (ties: lowest ISO weekday) and number of distinct weekdays."""
-    per_dow = (days.groupBy("pkg_nm", iso_dow("run_date").alias("dow"),
-                            day_abbrev("run_date").alias("day_name"))
-                   .agg(F.sum("n_runs").alias("cnt")))
-    best = F.max(F.struct(F.col("cnt"), (-F.col("dow")).alias("neg_dow"), F.col("day_name")))
+    # any date of a weekday gives its name
+    per_dow = (days.groupBy("pkg_nm", iso_dow("run_date").alias("dow"))
+                   .agg(F.sum("n_runs").alias("cnt"), F.min("run_date").alias("one_day")))
+    best = F.max(F.struct(F.col("cnt"), (-F.col("dow")).alias("neg_dow"), F.col("one_day")))
     return (per_dow.groupBy("pkg_nm")
                    .agg(best.alias("b"), F.count(F.lit(1)).alias("unique_days"))
-                   .select("pkg_nm", F.col("b.day_name").alias("most_common_dow"), "unique_days"))
+                   .select("pkg_nm", day_abbrev("b.one_day").alias("most_common_dow"), "unique_days"))
 
 
 def dom_profile(days: DataFrame) -> DataFrame:
@@ -225,6 +255,7 @@ def classify_jobs(log: DataFrame, p: CadenceParams) -> DataFrame:
 
 def labelled_jobs(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
     """M2-M11 from the (job, day) counts and the clock table."""
+    days = by_job(days)
     features = job_features(job_metrics(days, clock, p), gap_stats(run_gaps(days)), dow_profile(days), dom_profile(days))
     return features.withColumn("occurrence", occurrence_label(p.rate_days, p.min_business_day_runs))
 

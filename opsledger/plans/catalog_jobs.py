@@ -43,8 +43,11 @@ def _metrics(spark, sf):
 
 
 def _features(spark, sf):
-    days = _days(spark, sf)
-    return cad.job_features(_metrics(spark, sf), cad.gap_stats(cad.run_gaps(days)), cad.dow_profile(days), cad.dom_profile(days))
+    recent = _recent(spark, sf)
+    counts = cad.run_counts(recent)
+    days = cad.by_job(cad.job_days(counts))
+    metrics = cad.job_metrics(days, cad.job_clock(recent, counts), P)
+    return cad.job_features(metrics, cad.gap_stats(cad.run_gaps(days)), cad.dow_profile(days), cad.dom_profile(days))
 
 
 def _report(spark, sf):

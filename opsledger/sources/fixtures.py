@@ -40,6 +40,9 @@ def exec_log(customer: DataFrame) -> DataFrame:
         (F.col("c_custkey") % 10).alias("cls"),
         F.floor(F.col("c_custkey") / 10).cast("int").alias("g"),
     )
+    # the name is made once per job, not once per run
+    base = base.withColumn("pkg_nm", E("CASE WHEN k = 11 THEN 'Daily.SomeJob' WHEN cls = 9 THEN 'pkg_Manual_' || CAST(k AS STRING) "
+                                       "ELSE 'pkg_' || CAST(k AS STRING) END"))
     days = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(EXEC_LOG_DAYS - 1))).alias("i")) \
                .withColumn("d", F.date_sub(F.lit(EXEC_LOG_ANCHOR).cast("date"), F.col("i")))
     # repetitions per day: 12 for class 0, 4 for class 3, else 1
@@ -63,8 +66,7 @@ def exec_log(customer: DataFrame) -> DataFrame:
         "WHEN k % 4 = 0 THEN 36000 ELSE (k * 37 % 11) * 3600 END + r * 60 "
         "+ (CASE WHEN i = 0 THEN 0 ELSE i * 7 % 60 END)"))
     return timed.select(
-        E("CASE WHEN k = 11 THEN 'Daily.SomeJob' WHEN cls = 9 THEN 'pkg_Manual_' || CAST(k AS STRING) "
-          "ELSE 'pkg_' || CAST(k AS STRING) END").alias("pkg_nm"),
+        "pkg_nm",
         E("CAST(d AS TIMESTAMP_NTZ) + load_s * INTERVAL '1' SECOND").alias("load_dt"),
         E("CASE WHEN i = 0 AND k % 13 = 0 THEN NULL "
           "ELSE CAST(d AS TIMESTAMP_NTZ) + (load_s + 30) * INTERVAL '1' SECOND END").alias("start_dt"),

@@ -153,3 +153,27 @@ def test_label_three_valued_logic(spark):
     # bi-weekly needs mode 13..15 and (gaps >= 2 or runs >= 3)
     assert _label(spark, total_runs=3, distinct_run_days=3, total_gaps=2, mode_gap=14, avg_gap=14.0,
                   weekly_pattern_count=0, monthly_pattern_count=0, unique_days=1) == "Bi-Weekly"
+
+
+def test_clock_lists_equal_value_counts(spark):
+    """Jobs of few runs keep lists, larger ones value counts; a job without a stop has no stop time."""
+    rows = []
+    for j in range(6):
+        rows += _runs(f"job{j}", _days_back(20 + j), hour=j, per_day=1 + j, stop_min=7 + 3 * j)
+    rows += [("open", load, start, None, 0) for _, load, start, _, _ in _runs("open", _days_back(3))]
+    recent = cad.recent_runs(_log(spark, rows), P)
+    counts = cad.run_counts(recent)
+    want = sorted(cad.clock_times(recent).collect())
+    for few in (0, 50, 10_000):
+        clock = cad.job_clock(recent, counts, few)
+        assert sorted(clock.drop("p90_runtime_seconds").collect()) == want
+    plan = clock._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and "percentile(run_secs" not in plan
+
+
+def test_gaps_take_one_window(spark):
+    days = cad.by_job(cad.job_days(cad.run_counts(cad.recent_runs(_log(spark, _runs("j", _days_back(90, 7))), P))))
+    stats = cad.gap_stats(cad.run_gaps(days))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Exchange") == 1
+    assert [tuple(r) for r in stats.collect()] == [("j", 7.0, 7, 12, 0, 12)]

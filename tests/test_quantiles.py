@@ -52,3 +52,16 @@ def test_five_million_distinct_values(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, v long, n long")
     assert q.percentile_from_counts(df, ["g"], "v", "n", 0.5, "out").collect() == []
+
+
+def test_small_groups_meet_in_one_shuffle(spark):
+    """Groups of few rows are ordered whole; larger ones beside them are selected by bins, with the same numbers."""
+    rng = random.Random(5)
+    rows = [(f"g{i % 40}", rng.randrange(100_000), 1 + i % 3) for i in range(4000)] + [("large", rng.randrange(10 ** 7), 1) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "g string, v long, n long")
+    small = q.percentile_from_counts(df.where("g <> 'large'"), ["g"], "v", "n", 0.9, "out")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2  # of the final and the initial adaptive plan
+    want = {r.g: r.out for r in q.percentile_from_counts(df, ["g"], "v", "n", 0.9, "out", few=0).collect()}
+    assert {r.g: r.out for r in small.collect()} == {g: x for g, x in want.items() if g != "large"}
+    assert {r.g: r.out for r in q.percentile_from_counts(df, ["g"], "v", "n", 0.9, "out").collect()} == want
