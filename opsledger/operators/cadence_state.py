@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from opsledger.functions.timeparts import boundary_diff, is_business_day, ntz_lit, seconds_of_day
 from opsledger.operators.cadence import CadenceParams, labelled_jobs
+from opsledger.plans.materialize import written
 from opsledger.plans.quantiles import percentile_from_counts
 from opsledger.sources.sinks import delete, read_latest, write_next_version
 from opsledger.sources.tables import EXEC_LOG, check_schema
@@ -86,7 +87,7 @@ def state(log: DataFrame, base: str, p: CadenceParams) -> DataFrame:
     """State rows of the whole window: the ended days from ``base``, today and later from the log."""
     spark = log.sparkSession
     wanted = {d: v for d, v in _manifest(spark, base).items() if p.cutoff <= d < p.as_of_date}
-    today = value_counts(log, p.as_of_date)
+    today = written(value_counts(log, p.as_of_date), "today")  # several steps read it: the log is scanned once
     by_path: dict[str, list[str]] = {}
     for d, (path, held) in wanted.items():
         if held:

@@ -89,3 +89,13 @@ def test_empty_log(spark):
     log = spark.createDataFrame([], EXEC_LOG)
     assert len(cs.refresh(log, base, p)[0]) == 90
     assert cs.classify_from_state(cs.state(log, base, p), p).collect() == []
+
+
+def test_today_is_scanned_once(spark):
+    """The day that may still change is written, as several steps read the state."""
+    p = cad.CadenceParams(as_of=dt.datetime(2024, 1, 31, 12))
+    log = spark.createDataFrame([("j", dt.datetime(2024, 1, 31, 5), dt.datetime(2024, 1, 31, 5, 1), dt.datetime(2024, 1, 31, 5, 2), 1)], EXEC_LOG)
+    base = fresh_path(spark, "state-today")
+    cs.refresh(log, base, p)
+    plan = cs.state(log, base, p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
