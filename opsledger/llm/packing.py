@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
+import struct
 import zlib
 from collections import deque
 
@@ -43,39 +45,51 @@ RARE_SPACE = "[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]"
 class WordIds(dict):
     """Token ids (little-endian bytes) of chunks between white space, filled on demand.
 
-    The tokenizer never joins characters across white space, nor an ASCII letter
+    The tokenizer never joins characters across white space, nor a Latin-1 letter
     and the closing punctuation after it, so ids of the parts are ids of the
     whole. Other letters may decompose into a letter and a mark that joins what
     follows: they are encoded whole, and so are chunks that may hold the name of
-    a special token, which the tokenizer's plain call turns into its id.
+    a special token, which the tokenizer's plain call turns into its id. Words of
+    Latin-1 letters are normal as they are: they need no more than the merges.
     """
 
     CLOSING = ".,!?|#$%&*"
+    LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+    #: The characters that stand for bytes in the vocabulary, where they are not the byte's own code point.
+    BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
     def __init__(self, tokenizer, limit: int):
         super().__init__()
         self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
-        self.special = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
+        self.word = re.compile(f"[{self.LETTERS}]+").fullmatch
+        self.closed = re.compile(f"(?s)(.*[{self.LETTERS}])([{re.escape(self.CLOSING)}]+)").fullmatch
+        names = [re.escape(t.content.lower()) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(names) or "(?!)").search
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        core = chunk.rstrip(self.CLOSING)
-        if any(name in chunk.lower() for name in self.special):
+        low = chunk.lower()
+        if self.special(low):
             ids = self.whole(chunk)
-        elif core and len(core) < len(chunk) and core[-1].isascii() and core[-1].isalpha():
-            ids = self[core] + self[chunk[len(core):]]
-        elif chunk.isascii() and (low := chunk.lower()) != chunk:
+        elif parts := self.closed(chunk):
+            ids = self[parts[1]] + self[parts[2]]
+        elif self.word(chunk):
+            ids = self[low] if low != chunk else self.merged(chunk)
+        elif low != chunk and chunk.isascii():
             ids = self[low]
-        elif chunk.isascii() and chunk.isalpha():  # normalized and one word already: only the merges are left to do
-            ids = np.array([t.id for t in self.model.tokenize(chunk)], dtype="<u4").tobytes()
         else:
             ids = self.whole(chunk)
         if len(self) < self.limit and len(chunk) < 64:
             self[chunk] = ids
         return ids
 
+    def merged(self, word: str) -> bytes:
+        """Ids of a word that is normalized and one piece already."""
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.BYTES))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False,
                  cache_words: int = 400_000) -> DataFrame:
@@ -83,8 +97,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        import re
-
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)

@@ -461,3 +461,18 @@ def test_rows_without_an_id(spark):
         assert got.doc_id.isna().sum() == 2 and (got.doc_id == 5).sum() >= 1
         if "held_out" in got:
             assert not got[got.doc_id.isna()].held_out.any()
+
+
+def test_words_of_latin_letters_take_the_merges_alone():
+    """Words of Latin-1 letters, and such words before closing punctuation, are not sent through the whole tokenizer; ids as before."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    words = packing.WordIds(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0)
+    sent, whole = [], words.whole
+    words.whole = lambda chunk: sent.append(chunk) or whole(chunk)
+    plain = ["für", "Größe,", "ÉTÉ!", "ñandú.", "word", "Word##", "ÿ", "naïve?!"]
+    assert all(words[chunk] == whole(chunk) for chunk in plain)
+    assert set(sent) <= {",", "!", ".", "##", "?!"}
+    others = ["a×b", "ŒUVRE.", "é3.", "ﬁn.", "it's.", "<|endoftext|>é.", "Σας.", "µm,", "été."]
+    assert all(words[chunk] == whole(chunk) for chunk in others)
