@@ -120,7 +120,8 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         tail = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
-        order[k] = order[k + 1].select("lang", tail.alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+        # written, as several steps read it: a plan that counts the lower orders again each time is large
+        order[k] = table(order[k + 1].select("lang", tail.alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), f"grams{k}")
     probabilities, contexts, lower = [], [], None
     for k in range(1, ORDER + 1):
         # one row per language
@@ -273,7 +274,12 @@ class Pieces:
         self.entries = table(rows.withColumn("piece", F.pmod(F.xxhash64("k", "context", "gram"), F.lit(count))), "entries")
 
     def piece(self, i: int) -> Piece:
-        return Piece(self.langs, self.unseen if i == 0 else np.zeros(len(self.langs)), self.entries.filter(F.col("piece") == i).drop("piece").toPandas())
+        return Piece(self.langs, self.unseen if i == 0 else np.zeros(len(self.langs)), gathered(self.entries.filter(F.col("piece") == i).drop("piece")))
+
+
+def gathered(rows: DataFrame):
+    """``rows`` as columns on the driver, sent as Arrow whatever the session's setting: never a Python object per row."""
+    return rows.toArrow().to_pandas(self_destruct=True, split_blocks=True)
 
 
 def train(rows: DataFrame, max_grams: int = 8_000_000) -> Model | Pieces | None:
@@ -285,7 +291,7 @@ def train(rows: DataFrame, max_grams: int = 8_000_000) -> Model | Pieces | None:
     probabilities, contexts = kneser_ney(counts)
     if size > max_grams:
         return Pieces(probabilities, contexts, -(-size // max_grams))
-    return Model(probabilities.toPandas(), contexts.toPandas())  # at most four times max_grams rows
+    return Model(gathered(probabilities), gathered(contexts))  # at most four times max_grams rows
 
 
 def measured(docs: DataFrame, model: Model | Pieces, carry: list[str]) -> DataFrame:

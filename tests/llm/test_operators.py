@@ -476,3 +476,11 @@ def test_words_of_latin_letters_take_the_merges_alone():
     assert set(sent) <= {",", "!", ".", "##", "?!"}
     others = ["a×b", "ŒUVRE.", "é3.", "ﬁn.", "it's.", "<|endoftext|>é.", "Σας.", "µm,", "été."]
     assert all(words[chunk] == whole(chunk) for chunk in others)
+
+
+def test_the_model_reaches_the_driver_without_row_objects(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "abcd efgh"), ("b", "wxyz abcd")], "lang string, text string")
+    monkeypatch.setattr(type(rows), "toPandas", lambda self: pytest.fail("a Python object per row"))
+    lower = language_id.kneser_ney(language_id.count_grams(rows))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in lower and "MapInArrow" not in lower
+    assert language_id.train(rows).langs == ["a", "b"]
