@@ -3,12 +3,12 @@
 Plan shape, chosen for a log where one job may own a third of all rows:
 
 * the 90-day slice is read by two aggregations with map-side combining, with
-  the time bound and the columns pushed into the scan: runs per (job, day, run
-  time), written once, and the clock percentiles of each job;
-* the counts give run-time percentiles by counted selection and the (job, day)
-  counts, at most one row per calendar day per job, which feed the gap, weekday
-  and day-of-month profiles. No window or state sees the raw rows or the
-  distinct run times of a hot job;
+  the time bound and the columns pushed into the scan: runs per (job, day),
+  written once, and the clock and run-time percentiles of each job;
+* the (job, day) counts, at most one row per calendar day per job, feed the
+  gap, weekday and day-of-month profiles and name the jobs of many runs, whose
+  percentiles come from value counts and counted selection. No window or state
+  sees the raw rows or the distinct run times of a hot job;
 * "most common" picks use ``max(struct(count, tie-break))`` aggregates
   instead of ``row_number`` windows;
 * per-job tables are joined on ``pkg_nm``: one row per key on both sides.
@@ -83,8 +83,12 @@ def recent_runs(log: DataFrame, p: CadenceParams) -> DataFrame:
 
 def run_counts(recent: DataFrame) -> DataFrame:
     """Runs per (job, run date, run time in seconds); NULL run time where start or stop is missing. Written once."""
-    runtime = boundary_diff("second", "start_dt", "stop_dt")
-    return written(recent.groupBy("pkg_nm", "run_date", runtime.alias("runtime_secs")).agg(F.count(F.lit(1)).alias("n_runs")), "runs")
+    return written(recent.groupBy("pkg_nm", "run_date", _run_time().alias("runtime_secs")).agg(F.count(F.lit(1)).alias("n_runs")), "runs")
+
+
+def day_counts(recent: DataFrame) -> DataFrame:
+    """Runs per (job, run date). Written once."""
+    return written(recent.groupBy("pkg_nm", "run_date").agg(F.count(F.lit(1)).alias("n_runs")), "day-runs")
 
 
 def job_days(counts: DataFrame) -> DataFrame:
@@ -93,6 +97,11 @@ def job_days(counts: DataFrame) -> DataFrame:
     return days.withColumn("is_business_day", is_business_day("run_date"))
 
 
+def dealt_days(counts: DataFrame) -> DataFrame:
+    """``job_days`` from ``day_counts``, dealt out by job: the counts are written and one row per day already."""
+    return counts.repartition("pkg_nm").withColumn("is_business_day", is_business_day("run_date"))
+
+
 def by_job(days: DataFrame) -> DataFrame:
     """``job_days`` written and dealt out by job, for plans with several profiles of it: their groupings, windows and joins need no more shuffles."""
     return written(days, "days").repartition("pkg_nm")
@@ -113,14 +122,27 @@ def _stopped():
     return F.when(F.col("stop_dt").isNotNull(), F.col("stop_secs"))
 
 
-def _listed_clock_times(recent: DataFrame) -> DataFrame:
-    """``clock_times`` of jobs of at most ``FEW_RUNS`` runs: a sorted list per job takes a third of the time of its value counts."""
-    def at(values, share):  # the interpolation of ``percentile``
+def _run_time():
+    return boundary_diff("second", "start_dt", "stop_dt")
+
+
+def _listed_job_clock(recent: DataFrame) -> DataFrame:
+    """``clock_times`` and ``runtime_p90`` of jobs of at most ``FEW_RUNS`` runs: sorted lists per job take a third of the time of value counts."""
+    def ends(values, share):  # the two values around the wanted rank, and the rank's place between them
         place = (F.size(values) - 1) * F.lit(share)
-        low, high = F.get(values, F.floor(place).cast("int")), F.get(values, F.ceil(place).cast("int"))
+        return F.get(values, F.floor(place).cast("int")), F.get(values, F.ceil(place).cast("int")), place
+
+    def at(values, share):  # the interpolation of ``percentile``
+        low, high, place = ends(values, share)
         return F.round(F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)).cast("int")
-    lists = recent.groupBy("pkg_nm").agg(F.sort_array(F.collect_list("run_secs")).alias("starts"), F.sort_array(F.collect_list(_stopped())).alias("stops"))
-    return lists.select("pkg_nm", at(F.col("starts"), 0.10).alias("inferred_start_secs"), at(F.col("stops"), 0.90).alias("inferred_stop_secs"))
+
+    def between(values, share):  # the interpolation of ``percentile_from_counts``
+        low, high, place = ends(values, share)
+        return low + (high - low) * (place - F.floor(place))
+    lists = recent.groupBy("pkg_nm").agg(F.sort_array(F.collect_list("run_secs")).alias("starts"), F.sort_array(F.collect_list(_stopped())).alias("stops"),
+                                         F.sort_array(F.collect_list(_run_time())).alias("times"))
+    return lists.select("pkg_nm", at(F.col("starts"), 0.10).alias("inferred_start_secs"), at(F.col("stops"), 0.90).alias("inferred_stop_secs"),
+                        between(F.col("times"), 0.90).alias("p90_runtime_seconds"))
 
 
 def runtime_p90(counts: DataFrame) -> DataFrame:
@@ -131,16 +153,16 @@ def runtime_p90(counts: DataFrame) -> DataFrame:
 def job_clock(recent: DataFrame, counts: DataFrame, few: int = FEW_RUNS) -> DataFrame:
     """M4 + M5 + M13 per job; the run time is NULL for jobs without a finished run.
 
-    Jobs of more than ``few`` runs (``counts`` names them; a log of n runs has
-    fewer than n / few) keep value counts, the others lists; the numbers are the same.
+    Jobs of more than ``few`` runs (``counts``, of days or of run times, names
+    them; a log of n runs has fewer than n / few) keep value counts, the others
+    lists; the numbers are the same.
     """
     large = written(counts.groupBy("pkg_nm").agg(F.sum("n_runs").alias("n")).where(F.col("n") > few).select("pkg_nm"), "large")
     if large.isEmpty():
-        clock = _listed_clock_times(recent)
-    else:
-        clock = (_listed_clock_times(recent.join(large, "pkg_nm", "left_anti"))
-                 .unionByName(clock_times(recent.join(large, "pkg_nm", "left_semi"))))
-    return clock.join(runtime_p90(counts), "pkg_nm", "left")
+        return _listed_job_clock(recent)
+    runs = recent.join(large, "pkg_nm", "left_semi")
+    return (_listed_job_clock(recent.join(large, "pkg_nm", "left_anti"))
+            .unionByName(clock_times(runs).join(runtime_p90(run_counts(runs)), "pkg_nm", "left")))
 
 
 def job_metrics(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
@@ -249,13 +271,12 @@ def occurrence_label(rate_days: int = 90, min_business_day_runs: int = 5):
 def classify_jobs(log: DataFrame, p: CadenceParams) -> DataFrame:
     """One row per job with its features and ``occurrence`` label."""
     recent = recent_runs(log, p)
-    counts = run_counts(recent)
-    return labelled_jobs(job_days(counts), job_clock(recent, counts), p)
+    counts = day_counts(recent)
+    return labelled_jobs(dealt_days(counts), job_clock(recent, counts), p)
 
 
 def labelled_jobs(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
-    """M2-M11 from the (job, day) counts and the clock table."""
-    days = by_job(days)
+    """M2-M11 from the (job, day) counts, dealt out by job, and the clock table."""
     features = job_features(job_metrics(days, clock, p), gap_stats(run_gaps(days)), dow_profile(days), dom_profile(days))
     return features.withColumn("occurrence", occurrence_label(p.rate_days, p.min_business_day_runs))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsledger.functions.timeparts import boundary_diff, is_business_day, ntz_lit, seconds_of_day
-from opsledger.operators.cadence import CadenceParams, labelled_jobs
+from opsledger.operators.cadence import CadenceParams, by_job, labelled_jobs
 from opsledger.plans.materialize import written
 from opsledger.plans.quantiles import percentile_from_counts
 from opsledger.sources.sinks import delete, read_latest, write_next_version
@@ -106,4 +106,4 @@ def classify_from_state(rows: DataFrame, p: CadenceParams) -> DataFrame:
         return F.round(F.percentile(F.when(F.col("kind") == kind, F.col("value")), F.lit(share), F.col("n"))).cast("int")
     clock = rows.where("kind <> 'run'").groupBy("pkg_nm").agg(at("start", 0.10).alias("inferred_start_secs"), at("stop", 0.90).alias("inferred_stop_secs"))
     runtime = percentile_from_counts(rows.where("kind = 'run'"), ["pkg_nm"], "value", "n", 0.90, "p90_runtime_seconds")
-    return labelled_jobs(days, clock.join(runtime, "pkg_nm", "left"), p)
+    return labelled_jobs(by_job(days), clock.join(runtime, "pkg_nm", "left"), p)

@@ -33,19 +33,19 @@ def _counts(spark, sf):
 
 
 def _days(spark, sf):
-    return cad.job_days(_counts(spark, sf))
+    return cad.job_days(cad.day_counts(_recent(spark, sf)))
 
 
 def _metrics(spark, sf):
     recent = _recent(spark, sf)
-    counts = cad.run_counts(recent)
-    return cad.job_metrics(cad.job_days(counts), cad.job_clock(recent, counts), P)
+    counts = cad.day_counts(recent)
+    return cad.job_metrics(cad.dealt_days(counts), cad.job_clock(recent, counts), P)
 
 
 def _features(spark, sf):
     recent = _recent(spark, sf)
-    counts = cad.run_counts(recent)
-    days = cad.by_job(cad.job_days(counts))
+    counts = cad.day_counts(recent)
+    days = cad.dealt_days(counts)
     metrics = cad.job_metrics(days, cad.job_clock(recent, counts), P)
     return cad.job_features(metrics, cad.gap_stats(cad.run_gaps(days)), cad.dow_profile(days), cad.dom_profile(days))
 

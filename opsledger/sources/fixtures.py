@@ -45,34 +45,32 @@ def exec_log(customer: DataFrame) -> DataFrame:
                                        "ELSE 'pkg_' || CAST(k AS STRING) END"))
     days = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(EXEC_LOG_DAYS - 1))).alias("i")) \
                .withColumn("d", F.date_sub(F.lit(EXEC_LOG_ANCHOR).cast("date"), F.col("i")))
-    # repetitions per day: 12 for class 0, 4 for class 3, else 1
-    reps = days.select("*", F.explode(F.sequence(
-        F.lit(0), E("CASE cls WHEN 0 THEN 11 WHEN 3 THEN 3 ELSE 0 END"))).alias("r"))
-    kept = reps.where(E("""
+    kept = days.where(E("""
         CASE cls
-          WHEN 0 THEN r < 12
-          WHEN 1 THEN r = 0
-          WHEN 2 THEN r = 0 AND EXTRACT(DOW_ISO FROM d) <= 5
-          WHEN 3 THEN r < 4 AND EXTRACT(DOW_ISO FROM d) IN (1, 3, 5, 6)
-          WHEN 4 THEN r = 0 AND EXTRACT(DOW_ISO FROM d) = 1 + g % 7
-          WHEN 5 THEN r = 0 AND i % 14 = g % 14
-          WHEN 6 THEN r = 0 AND EXTRACT(DAY FROM d) = CASE WHEN g % 3 = 0 THEN 31 ELSE 1 + g % 28 END
-          WHEN 7 THEN r = 0 AND i = g % 89
-          WHEN 8 THEN r = 0 AND i IN (0, 2, 7, 9, 14, 16, 28, 39, 43, 60)
-          ELSE r = 0 END
+          WHEN 2 THEN EXTRACT(DOW_ISO FROM d) <= 5
+          WHEN 3 THEN EXTRACT(DOW_ISO FROM d) IN (1, 3, 5, 6)
+          WHEN 4 THEN EXTRACT(DOW_ISO FROM d) = 1 + g % 7
+          WHEN 5 THEN i % 14 = g % 14
+          WHEN 6 THEN EXTRACT(DAY FROM d) = CASE WHEN g % 3 = 0 THEN 31 ELSE 1 + g % 28 END
+          WHEN 7 THEN i = g % 89
+          WHEN 8 THEN i IN (0, 2, 7, 9, 14, 16, 28, 39, 43, 60)
+          ELSE true END
         AND NOT (i = 0 AND g % 6 = 3)"""))
-    timed = kept.withColumn("load_s", E(
-        "CASE WHEN i = 0 AND g % 6 IN (2, 5) AND k % 2 = 0 THEN 42900 "
-        "WHEN k % 4 = 0 THEN 36000 ELSE (k * 37 % 11) * 3600 END + r * 60 "
-        "+ (CASE WHEN i = 0 THEN 0 ELSE i * 7 % 60 END)"))
+    first = kept.withColumn("first_dt", E(
+        "CAST(d AS TIMESTAMP_NTZ) + (CASE WHEN i = 0 AND g % 6 IN (2, 5) AND k % 2 = 0 THEN 42900 "
+        "WHEN k % 4 = 0 THEN 36000 ELSE (k * 37 % 11) * 3600 END "
+        "+ (CASE WHEN i = 0 THEN 0 ELSE i * 7 % 60 END)) * INTERVAL '1' SECOND"))
+    # runs of a day, a minute apart: 12 for class 0, 4 for class 3, else 1. The load time is a generated
+    # column, so a bound on it reads the column and does not repeat its expression
+    timed = first.select("*", F.explode_outer(F.sequence(
+        F.col("first_dt"), E("first_dt + CASE cls WHEN 0 THEN INTERVAL '11' MINUTE WHEN 3 THEN INTERVAL '3' MINUTE ELSE INTERVAL '0' MINUTE END"),
+        E("INTERVAL '1' MINUTE"))).alias("load_dt"))
     return timed.select(
-        "pkg_nm",
-        E("CAST(d AS TIMESTAMP_NTZ) + load_s * INTERVAL '1' SECOND").alias("load_dt"),
-        E("CASE WHEN i = 0 AND k % 13 = 0 THEN NULL "
-          "ELSE CAST(d AS TIMESTAMP_NTZ) + (load_s + 30) * INTERVAL '1' SECOND END").alias("start_dt"),
+        "pkg_nm", "load_dt",
+        E("CASE WHEN i = 0 AND k % 13 = 0 THEN NULL ELSE load_dt + INTERVAL '30' SECOND END").alias("start_dt"),
         E("CASE WHEN i = 0 AND g % 6 IN (2, 5) AND k % 3 <> 0 THEN NULL "
           "WHEN cls = 7 AND i > 0 AND g % 2 = 0 THEN NULL "
-          "ELSE CAST(d AS TIMESTAMP_NTZ) + (load_s + 30 + CASE WHEN k % 4 = 0 THEN 1200 ELSE 60 END "
+          "ELSE load_dt + (30 + CASE WHEN k % 4 = 0 THEN 1200 ELSE 60 END "
           "+ k * i % 600) * INTERVAL '1' SECOND END").alias("stop_dt"),
         E("CASE WHEN i > 0 THEN 1 WHEN g % 6 = 1 THEN -1 WHEN g % 6 IN (2, 5) THEN 0 ELSE 1 END")
         .cast("int").alias("sts_cd"),

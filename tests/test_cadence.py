@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from opsledger.operators import cadence as cad
 from opsledger.operators import sla
 from opsledger.operators import status as st
+from opsledger.sources import fixtures as fx
 from opsledger.sources.tables import EXEC_LOG
 
 AS_OF = dt.datetime(2024, 1, 31, 12, 0, 0)
@@ -177,3 +178,33 @@ def test_gaps_take_one_window(spark):
     plan = stats._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("Exchange") == 1
     assert [tuple(r) for r in stats.collect()] == [("j", 7.0, 7, 12, 0, 12)]
+
+
+def test_run_times_of_few_runs_come_from_the_clock_pass(spark):
+    """Jobs of few runs take their P90 run time from the same lists as their clock times, with the numbers of the counted selection."""
+    rows = []
+    for j in range(5):
+        rows += [(n, load, start, stop and stop + dt.timedelta(seconds=17 * i % 101), sts)
+                 for i, (n, load, start, stop, sts) in enumerate(_runs(f"job{j}", _days_back(11 + j), hour=j, per_day=1 + j, stop_min=7 + 3 * j))]
+    rows += [("open", load, start, None, 0) for _, load, start, _, _ in _runs("open", _days_back(3))]
+    recent = cad.recent_runs(_log(spark, rows), P)
+    want = {r.pkg_nm: r.p90_runtime_seconds for r in cad.runtime_p90(cad.run_counts(recent)).collect()}
+    days = cad.day_counts(recent)
+    assert days.count() == len({(n, load.date()) for n, load, *_ in rows})
+    for few in (0, 30, 10_000):
+        clock = cad.job_clock(recent, days, few)
+        assert {r.pkg_nm: r.p90_runtime_seconds for r in clock.collect()} == {**want, "open": None}
+    plan = clock._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_load_time_of_the_derived_log_is_a_column(spark):
+    """A bound on the load time reads a generated column; its expression is not repeated in the filter."""
+    customer = spark.createDataFrame([(k,) for k in [*range(40), None]], "c_custkey long")
+    log = fx.exec_log(customer)
+    plan = cad.recent_runs(log, P)._jdf.queryExecution().optimizedPlan().toString()
+    bound = [line for line in plan.splitlines() if "load_dt" in line and "Filter" in line]
+    assert len(bound) == 1 and "INTERVAL" not in bound[0]
+    per_day = {r.pkg_nm: r["n"] for r in log.where("load_dt >= '2024-01-30' AND load_dt < '2024-01-31'").groupBy("pkg_nm").agg(F.count("*").alias("n")).collect()}
+    assert (per_day["pkg_10"], per_day["pkg_1"]) == (12, 1) and "pkg_3" not in per_day  # a Tuesday
+    assert log.where("pkg_nm IS NULL").count() > 0  # a NULL key keeps its rows
