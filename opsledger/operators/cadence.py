@@ -36,6 +36,8 @@ MONITORED_PREFIXES = ("Daily", "Mon-Fri", "Weekly", "Monthly", "Quarterly", "Adh
 EXCLUDED_NAME_PATTERNS = ("%Manual%", "%Reload%")
 EXCLUDED_NAMES = ("Daily.SomeJob",)
 
+A_SUNDAY = _dt.date(1970, 1, 4)  # n days later is ISO weekday n
+
 # Runs of a job up to which its clock times are kept as a list.
 FEW_RUNS = 10_000
 
@@ -208,25 +210,24 @@ def gap_stats(gaps: DataFrame) -> DataFrame:
                            "monthly_pattern_count", "total_gaps"))
 
 
+def _runs_by(part, last: int):
+    """Aggregate: runs per value 1 .. ``last`` of ``part`` as an array, one sum each, so a job is one row of a hash map."""
+    return F.array(*[F.sum(F.when(part == v, F.col("n_runs")).otherwise(0)) for v in range(1, last + 1)])
+
+
 def dow_profile(days: DataFrame) -> DataFrame:
     """M8: most common weekday (ties: lowest ISO weekday) and number of distinct weekdays."""
-    # any date of a weekday gives its name
-    per_dow = (days.groupBy("pkg_nm", iso_dow("run_date").alias("dow"))
-                   .agg(F.sum("n_runs").alias("cnt"), F.min("run_date").alias("one_day")))
-    best = F.max(F.struct(F.col("cnt"), (-F.col("dow")).alias("neg_dow"), F.col("one_day")))
-    return (per_dow.groupBy("pkg_nm")
-                   .agg(best.alias("b"), F.count(F.lit(1)).alias("unique_days"))
-                   .select("pkg_nm", day_abbrev("b.one_day").alias("most_common_dow"), "unique_days"))
+    dow = F.array_position("runs", F.array_max("runs")).cast("int")
+    return (days.groupBy("pkg_nm").agg(_runs_by(iso_dow("run_date"), 7).alias("runs"))
+                .select("pkg_nm", day_abbrev(F.date_add(date_lit(A_SUNDAY), dow)).alias("most_common_dow"),
+                        F.size(F.array_remove("runs", F.lit(0).cast("long"))).cast("long").alias("unique_days")))
 
 
 def dom_profile(days: DataFrame) -> DataFrame:
     """M9: most common day of month (ties: lowest day) and its run count."""
-    per_dom = (days.groupBy("pkg_nm", F.dayofmonth("run_date").alias("dom"))
-                   .agg(F.sum("n_runs").alias("cnt")))
-    best = F.max(F.struct(F.col("cnt"), (-F.col("dom")).alias("neg_dom")))
-    return (per_dom.groupBy("pkg_nm").agg(best.alias("b"))
-                   .select("pkg_nm", (-F.col("b.neg_dom")).alias("most_common_dom"),
-                           F.col("b.cnt").alias("dom_cnt")))
+    return (days.groupBy("pkg_nm").agg(_runs_by(F.dayofmonth("run_date"), 31).alias("runs"))
+                .select("pkg_nm", F.array_position("runs", F.array_max("runs")).cast("int").alias("most_common_dom"),
+                        F.array_max("runs").alias("dom_cnt")))
 
 
 def job_features(metrics: DataFrame, gstats: DataFrame, dow: DataFrame, dom: DataFrame) -> DataFrame:

@@ -208,3 +208,23 @@ def test_load_time_of_the_derived_log_is_a_column(spark):
     per_day = {r.pkg_nm: r["n"] for r in log.where("load_dt >= '2024-01-30' AND load_dt < '2024-01-31'").groupBy("pkg_nm").agg(F.count("*").alias("n")).collect()}
     assert (per_day["pkg_10"], per_day["pkg_1"]) == (12, 1) and "pkg_3" not in per_day  # a Tuesday
     assert log.where("pkg_nm IS NULL").count() > 0  # a NULL key keeps its rows
+
+
+def test_profiles_keep_one_row_per_job(spark):
+    """Weekday and day-of-month profiles group once, by the job alone, without sorting; ties go to the lowest value."""
+    days = spark.createDataFrame(
+        [("tie", dt.date(2024, 1, 31), 2), ("tie", dt.date(2024, 1, 1), 2), ("tie", dt.date(2024, 1, 7), 1), ("tie", dt.date(2023, 12, 31), 1),
+         ("one", dt.date(2024, 1, 7), 5), ("late", dt.date(2023, 12, 31), 3), ("late", dt.date(2024, 1, 30), 2)],
+        "pkg_nm string, run_date date, n_runs long")
+    dow, dom = cad.dow_profile(days), cad.dom_profile(days)
+    # tie: Mon 2, Wed 2, Sun 2; days 31: 3, 1: 2, 7: 1
+    assert sorted(map(tuple, dow.collect())) == [("late", "Sun", 2), ("one", "Sun", 1), ("tie", "Mon", 3)]
+    assert sorted(map(tuple, dom.collect())) == [("late", 31, 3), ("one", 7, 5), ("tie", 31, 3)]
+    even = days.where("pkg_nm = 'tie' AND run_date IN ('2024-01-31', '2024-01-01')")
+    assert [tuple(r) for r in cad.dom_profile(even).collect()] == [("tie", 1, 2)]
+    assert dow.dtypes[1:] == [("most_common_dow", "string"), ("unique_days", "bigint")]
+    assert dom.dtypes[1:] == [("most_common_dom", "int"), ("dom_cnt", "bigint")]
+    for profile in (dow, dom):
+        plan = profile._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [") == 1 and "Aggregate [pkg_nm" in plan
+        assert "SortAggregate" not in profile._jdf.queryExecution().executedPlan().toString()
