@@ -9,8 +9,8 @@ Plan shape, chosen for a log where one job may own a third of all rows:
   gap, weekday and day-of-month profiles and name the jobs of many runs, whose
   percentiles come from value counts and counted selection. No window or state
   sees the raw rows or the distinct run times of a hot job;
-* "most common" picks use ``max(struct(count, tie-break))`` aggregates
-  instead of ``row_number`` windows;
+* the most common gap is a ``max(struct(count, tie-break))`` aggregate instead
+  of a ``row_number`` window; weekdays and days of the month are one sum each;
 * per-job tables are joined on ``pkg_nm``: one row per key on both sides.
 """
 
