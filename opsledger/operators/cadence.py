@@ -3,12 +3,14 @@
 Plan shape, chosen for a log where one job may own a third of all rows:
 
 * the 90-day slice is read by two aggregations with map-side combining, with
-  the time bound and the columns pushed into the scan: runs per (job, day),
-  written once, and the clock and run-time percentiles of each job;
-* the (job, day) counts, at most one row per calendar day per job, feed the
-  gap, weekday and day-of-month profiles and name the jobs of many runs, whose
-  percentiles come from value counts and counted selection. No window or state
-  sees the raw rows or the distinct run times of a hot job;
+  the time bound and the columns pushed into the scan: runs per job, which name
+  the jobs of many runs, and the facts of each job, written once: its clock and
+  run-time percentiles and the list of its days;
+* the days of a job, at most one per calendar day, feed the gap, weekday and
+  day-of-month profiles; a job's list is one row, so these groupings shuffle
+  one row per job (gaps: per job and gap). Jobs of many runs take percentiles from value counts and counted
+  selection. No window or state sees the raw rows or the distinct run times of
+  a hot job;
 * the most common gap is a ``max(struct(count, tie-break))`` aggregate instead
   of a ``row_number`` window; weekdays and days of the month are one sum each;
 * per-job tables are joined on ``pkg_nm``: one row per key on both sides.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsledger.functions.timeparts import (
-    boundary_diff, date_lit, day_abbrev, is_business_day, iso_dow, ntz_lit, ordinal_text,
+    boundary_diff, date_lit, day_abbrev, epoch_seconds, is_business_day, iso_dow, ntz_lit, ordinal_text,
     seconds_of_day,
 )
 from opsledger.plans.materialize import written
@@ -99,9 +101,14 @@ def job_days(counts: DataFrame) -> DataFrame:
     return days.withColumn("is_business_day", is_business_day("run_date"))
 
 
-def dealt_days(counts: DataFrame) -> DataFrame:
-    """``job_days`` from ``day_counts``, dealt out by job: the counts are written and one row per day already."""
-    return counts.repartition("pkg_nm").withColumn("is_business_day", is_business_day("run_date"))
+def job_runs(recent: DataFrame) -> DataFrame:
+    """Runs per job."""
+    return recent.groupBy("pkg_nm").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+def listed_days(jobs: DataFrame) -> DataFrame:
+    """``job_days`` from ``job_facts``, with the previous run date; a job's days come from one row, so groupings by job shuffle one row per job."""
+    return jobs.select("pkg_nm", F.inline("days")).withColumn("is_business_day", is_business_day("run_date"))
 
 
 def by_job(days: DataFrame) -> DataFrame:
@@ -128,8 +135,11 @@ def _run_time():
     return boundary_diff("second", "start_dt", "stop_dt")
 
 
-def _listed_job_clock(recent: DataFrame) -> DataFrame:
-    """``clock_times`` and ``runtime_p90`` of jobs of at most ``FEW_RUNS`` runs: sorted lists per job take a third of the time of value counts."""
+def _listed_job_facts(recent: DataFrame) -> DataFrame:
+    """``job_facts`` of jobs of at most ``FEW_RUNS`` runs: sorted lists per job take a third of the time of value counts.
+
+    A load time in whole seconds holds both the day and the clock time.
+    """
     def ends(values, share):  # the two values around the wanted rank, and the rank's place between them
         place = (F.size(values) - 1) * F.lit(share)
         return F.get(values, F.floor(place).cast("int")), F.get(values, F.ceil(place).cast("int")), place
@@ -141,10 +151,24 @@ def _listed_job_clock(recent: DataFrame) -> DataFrame:
     def between(values, share):  # the interpolation of ``percentile_from_counts``
         low, high, place = ends(values, share)
         return low + (high - low) * (place - F.floor(place))
-    lists = recent.groupBy("pkg_nm").agg(F.sort_array(F.collect_list("run_secs")).alias("starts"), F.sort_array(F.collect_list(_stopped())).alias("stops"),
+    lists = recent.groupBy("pkg_nm").agg(F.sort_array(F.collect_list(epoch_seconds("load_dt"))).alias("loads"), F.sort_array(F.collect_list(_stopped())).alias("stops"),
                                          F.sort_array(F.collect_list(_run_time())).alias("times"))
+    lists = lists.select("pkg_nm", "stops", "times", F.sort_array(F.transform("loads", lambda t: F.pmod(t, F.lit(86400)).cast("int"))).alias("starts"),
+                         F.transform("loads", lambda t: F.date_from_unix_date(F.floor(t / F.lit(86400)).cast("int"))).alias("dates"))
+    # places in ``dates`` where a day begins
+    lists = lists.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("dates") - 1), lambda i: ~F.get("dates", i).eqNullSafe(F.get("dates", i - 1))))
+    days = F.transform("begins", lambda i, n: F.struct(
+        F.get("dates", i).alias("run_date"), (F.coalesce(F.get("begins", n + 1), F.size("dates")) - i).cast("long").alias("n_runs"),
+        F.get("dates", i - 1).alias("prev_run_date")))
     return lists.select("pkg_nm", at(F.col("starts"), 0.10).alias("inferred_start_secs"), at(F.col("stops"), 0.90).alias("inferred_stop_secs"),
-                        between(F.col("times"), 0.90).alias("p90_runtime_seconds"))
+                        between(F.col("times"), 0.90).alias("p90_runtime_seconds"), days.alias("days"))
+
+
+def _day_lists(days: DataFrame) -> DataFrame:
+    """``days`` of ``job_facts`` from one row per (job, run date): a list of at most the window's days."""
+    lists = days.groupBy("pkg_nm").agg(F.sort_array(F.collect_list(F.struct("run_date", "n_runs"))).alias("d"))
+    return lists.select("pkg_nm", F.transform("d", lambda x, n: F.struct(
+        x["run_date"].alias("run_date"), x["n_runs"].alias("n_runs"), F.get("d", n - 1)["run_date"].alias("prev_run_date"))).alias("days"))
 
 
 def runtime_p90(counts: DataFrame) -> DataFrame:
@@ -152,19 +176,33 @@ def runtime_p90(counts: DataFrame) -> DataFrame:
     return percentile_from_counts(counts, ["pkg_nm"], "runtime_secs", "n_runs", 0.90, "p90_runtime_seconds")
 
 
-def job_clock(recent: DataFrame, counts: DataFrame, few: int = FEW_RUNS) -> DataFrame:
-    """M4 + M5 + M13 per job; the run time is NULL for jobs without a finished run.
+def job_facts(recent: DataFrame, counts: DataFrame, few: int = FEW_RUNS) -> DataFrame:
+    """M4 + M5 + M13 per job, and its ``days``: run date, runs and previous run date, ascending.
 
-    Jobs of more than ``few`` runs (``counts``, of days or of run times, names
-    them; a log of n runs has fewer than n / few) keep value counts, the others
-    lists; the numbers are the same.
+    The run time is NULL for jobs without a finished run. Jobs of more than
+    ``few`` runs (``counts``, of jobs, days or run times, names them; a log of n
+    runs has fewer than n / few) keep value counts, the others lists; the
+    numbers are the same.
     """
     large = written(counts.groupBy("pkg_nm").agg(F.sum("n_runs").alias("n")).where(F.col("n") > few).select("pkg_nm"), "large")
     if large.isEmpty():
-        return _listed_job_clock(recent)
+        return _listed_job_facts(recent)
     runs = recent.join(large, "pkg_nm", "left_semi")
-    return (_listed_job_clock(recent.join(large, "pkg_nm", "left_anti"))
-            .unionByName(clock_times(runs).join(runtime_p90(run_counts(runs)), "pkg_nm", "left")))
+    counted = run_counts(runs)
+    return (_listed_job_facts(recent.join(large, "pkg_nm", "left_anti"))
+            .unionByName(clock_times(runs).join(runtime_p90(counted), "pkg_nm", "left")
+                         .join(_day_lists(job_days(counted)), "pkg_nm", "left")))
+
+
+def job_clock(recent: DataFrame, counts: DataFrame, few: int = FEW_RUNS) -> DataFrame:
+    """M4 + M5 + M13 per job, from ``job_facts``."""
+    return job_facts(recent, counts, few).drop("days")
+
+
+def days_and_clock(recent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The (job, day) counts and the clock table, both from one written ``job_facts``."""
+    jobs = written(job_facts(recent, job_runs(recent)), "jobs")
+    return listed_days(jobs), jobs.drop("days")
 
 
 def job_metrics(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
@@ -184,10 +222,11 @@ def job_metrics(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFram
 def run_gaps(days: DataFrame) -> DataFrame:
     """M6: days since the previous distinct run date of the same job.
 
-    The window runs over ``job_days`` (at most one row per date per job).
+    The window runs over ``job_days`` (at most one row per date per job);
+    ``listed_days`` know the previous date already.
     """
     w = Window.partitionBy("pkg_nm").orderBy("run_date")
-    prev = F.lag("run_date").over(w)
+    prev = F.col("prev_run_date") if "prev_run_date" in days.columns else F.lag("run_date").over(w)
     return days.select("pkg_nm", "run_date", prev.alias("prev_run_date"),
                        F.datediff(F.col("run_date"), prev).alias("gap_days"))
 
@@ -271,13 +310,12 @@ def occurrence_label(rate_days: int = 90, min_business_day_runs: int = 5):
 
 def classify_jobs(log: DataFrame, p: CadenceParams) -> DataFrame:
     """One row per job with its features and ``occurrence`` label."""
-    recent = recent_runs(log, p)
-    counts = day_counts(recent)
-    return labelled_jobs(dealt_days(counts), job_clock(recent, counts), p)
+    days, clock = days_and_clock(recent_runs(log, p))
+    return labelled_jobs(days, clock, p)
 
 
 def labelled_jobs(days: DataFrame, clock: DataFrame, p: CadenceParams) -> DataFrame:
-    """M2-M11 from the (job, day) counts, dealt out by job, and the clock table."""
+    """M2-M11 from the (job, day) counts and the clock table."""
     features = job_features(job_metrics(days, clock, p), gap_stats(run_gaps(days)), dow_profile(days), dom_profile(days))
     return features.withColumn("occurrence", occurrence_label(p.rate_days, p.min_business_day_runs))
 
@@ -288,8 +326,12 @@ def monitored_jobs(classified: DataFrame, p: CadenceParams,
     """Recurring jobs to watch, with expected start and stop (stop falls back to start).
 
     The P90 run time of ``job_clock`` rides along (when the input has it), so
-    the status step needs no second pass over the clock table.
+    the status step needs no second pass over the clock table. The labelled jobs
+    are written, one row each, so the label's rules are not repeated in the
+    filter for every prefix.
     """
+    carried = ["p90_runtime_seconds"] if "p90_runtime_seconds" in classified.columns else []
+    classified = written(classified.select("pkg_nm", "occurrence", "last_run_date", "inferred_start_secs", "inferred_stop_secs", *carried), "labelled")
     occ = F.col("occurrence")
     label_ok = F.lit(False)
     for pre in prefixes:
@@ -304,4 +346,4 @@ def monitored_jobs(classified: DataFrame, p: CadenceParams,
                               F.col("inferred_start_secs").alias("expected_start_secs"),
                               F.coalesce("inferred_stop_secs", "inferred_start_secs")
                                .alias("expected_stop_secs"),
-                              *(["p90_runtime_seconds"] if "p90_runtime_seconds" in classified.columns else [])))
+                              *carried))

@@ -37,16 +37,12 @@ def _days(spark, sf):
 
 
 def _metrics(spark, sf):
-    recent = _recent(spark, sf)
-    counts = cad.day_counts(recent)
-    return cad.job_metrics(cad.dealt_days(counts), cad.job_clock(recent, counts), P)
+    return cad.job_metrics(*cad.days_and_clock(_recent(spark, sf)), P)
 
 
 def _features(spark, sf):
-    recent = _recent(spark, sf)
-    counts = cad.day_counts(recent)
-    days = cad.dealt_days(counts)
-    metrics = cad.job_metrics(days, cad.job_clock(recent, counts), P)
+    days, clock = cad.days_and_clock(_recent(spark, sf))
+    metrics = cad.job_metrics(days, clock, P)
     return cad.job_features(metrics, cad.gap_stats(cad.run_gaps(days)), cad.dow_profile(days), cad.dom_profile(days))
 
 

@@ -228,3 +228,35 @@ def test_profiles_keep_one_row_per_job(spark):
         plan = profile._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Aggregate [") == 1 and "Aggregate [pkg_nm" in plan
         assert "SortAggregate" not in profile._jdf.queryExecution().executedPlan().toString()
+
+
+def test_days_of_a_job_come_with_its_clock(spark):
+    """Days, previous days and clock come from one written row per job, by lists and by value counts, in any order of the log."""
+    rows = []
+    for j in range(4):
+        rows += _runs(f"job{j}", [*_days_back(30 + j, 1 + j), TODAY + dt.timedelta(days=400)], hour=23 - j, per_day=1 + 2 * j)
+    rows += [("once", T(2024, 1, 31), None, None, None), ("once", T(2024, 1, 31, 23, 59, 59, 999999), None, None, None), (None, T(2024, 1, 31), None, None, 1)]
+    recent = cad.recent_runs(_log(spark, rows[::-1]), P)
+    want_days = sorted(cad.job_days(cad.day_counts(recent)).select("pkg_nm", "run_date", "n_runs", "is_business_day").collect())
+    gaps = cad.run_gaps(cad.job_days(cad.day_counts(recent)))
+    want_gaps, want_stats = sorted(map(str, gaps.collect())), sorted(map(str, cad.gap_stats(gaps).collect()))
+    for few in (0, 40, 10_000):
+        jobs = cad.job_facts(recent, cad.job_runs(recent), few)
+        days = cad.listed_days(jobs)
+        assert sorted(days.select("pkg_nm", "run_date", "n_runs", "is_business_day").collect()) == want_days
+        assert sorted(map(str, cad.run_gaps(days).collect())) == want_gaps
+        assert sorted(map(str, cad.gap_stats(cad.run_gaps(days)).collect())) == want_stats
+
+
+def test_labels_come_from_one_row_per_job(spark):
+    """The plan of the labels reads no log and has no window; it shuffles no (job, day) rows."""
+    plan = cad.classify_jobs(_log(spark, _runs("j", _days_back(90, 7))), P)._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" not in plan and "load_dt" not in plan and "collect_list" not in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "run_date" in line]
+
+
+def test_label_rules_stand_outside_the_filter(spark):
+    """The watched jobs are filtered by a stored label."""
+    watched = cad.monitored_jobs(cad.classify_jobs(_log(spark, _runs("j", _days_back(90, 7))), P), P)
+    assert "CASE WHEN" not in watched._jdf.queryExecution().executedPlan().toString()
+    assert [r.occurrence for r in watched.collect()] == ["Weekly Wed"]
