@@ -447,7 +447,7 @@ def test_pipeline_small(spark):
 def test_every_query_is_registered():
     from opsledger.llm.queries import llm_queries
 
-    assert [int(n[2:].split("_")[0]) for n in llm_queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in llm_queries()] == list(range(1, 14))
 
 
 def test_rows_without_an_id(spark):
