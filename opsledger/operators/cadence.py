@@ -87,7 +87,7 @@ def recent_runs(log: DataFrame, p: CadenceParams) -> DataFrame:
 
 def run_counts(recent: DataFrame) -> DataFrame:
     """Runs per (job, run date, run time in seconds); NULL run time where start or stop is missing. Written once."""
-    return written(recent.groupBy("pkg_nm", "run_date", _run_time().alias("runtime_secs")).agg(F.count(F.lit(1)).alias("n_runs")), "runs")
+    return written(recent.groupBy("pkg_nm", "run_date", run_time().alias("runtime_secs")).agg(F.count(F.lit(1)).alias("n_runs")), "runs")
 
 
 def day_counts(recent: DataFrame) -> DataFrame:
@@ -131,12 +131,12 @@ def _stopped():
     return F.when(F.col("stop_dt").isNotNull(), F.col("stop_secs"))
 
 
-def _run_time():
+def run_time():
     return boundary_diff("second", "start_dt", "stop_dt")
 
 
-def _listed_job_facts(recent: DataFrame) -> DataFrame:
-    """``job_facts`` of jobs of at most ``FEW_RUNS`` runs: sorted lists per job take a third of the time of value counts.
+def facts_of_lists(lists: DataFrame) -> DataFrame:
+    """``job_facts`` from one row per job of sorted lists: ``loads`` (seconds since 1970), ``stops`` (seconds of the day) and ``times`` (seconds).
 
     A load time in whole seconds holds both the day and the clock time.
     """
@@ -151,8 +151,6 @@ def _listed_job_facts(recent: DataFrame) -> DataFrame:
     def between(values, share):  # the interpolation of ``percentile_from_counts``
         low, high, place = ends(values, share)
         return low + (high - low) * (place - F.floor(place))
-    lists = recent.groupBy("pkg_nm").agg(F.sort_array(F.collect_list(epoch_seconds("load_dt"))).alias("loads"), F.sort_array(F.collect_list(_stopped())).alias("stops"),
-                                         F.sort_array(F.collect_list(_run_time())).alias("times"))
     lists = lists.select("pkg_nm", "stops", "times", F.sort_array(F.transform("loads", lambda t: F.pmod(t, F.lit(86400)).cast("int"))).alias("starts"),
                          F.transform("loads", lambda t: F.date_from_unix_date(F.floor(t / F.lit(86400)).cast("int"))).alias("dates"))
     # places in ``dates`` where a day begins
@@ -164,7 +162,14 @@ def _listed_job_facts(recent: DataFrame) -> DataFrame:
                         between(F.col("times"), 0.90).alias("p90_runtime_seconds"), days.alias("days"))
 
 
-def _day_lists(days: DataFrame) -> DataFrame:
+def _listed_job_facts(recent: DataFrame) -> DataFrame:
+    """``job_facts`` of jobs of at most ``FEW_RUNS`` runs: sorted lists per job take a third of the time of value counts."""
+    return facts_of_lists(recent.groupBy("pkg_nm").agg(
+        F.sort_array(F.collect_list(epoch_seconds("load_dt"))).alias("loads"), F.sort_array(F.collect_list(_stopped())).alias("stops"),
+        F.sort_array(F.collect_list(run_time())).alias("times")))
+
+
+def day_lists(days: DataFrame) -> DataFrame:
     """``days`` of ``job_facts`` from one row per (job, run date): a list of at most the window's days."""
     lists = days.groupBy("pkg_nm").agg(F.sort_array(F.collect_list(F.struct("run_date", "n_runs"))).alias("d"))
     return lists.select("pkg_nm", F.transform("d", lambda x, n: F.struct(
@@ -176,6 +181,11 @@ def runtime_p90(counts: DataFrame) -> DataFrame:
     return percentile_from_counts(counts, ["pkg_nm"], "runtime_secs", "n_runs", 0.90, "p90_runtime_seconds")
 
 
+def large_jobs(counts: DataFrame, few: int) -> DataFrame:
+    """Jobs of more than ``few`` runs. Written."""
+    return written(counts.groupBy("pkg_nm").agg(F.sum("n_runs").alias("n")).where(F.col("n") > few).select("pkg_nm"), "large")
+
+
 def job_facts(recent: DataFrame, counts: DataFrame, few: int = FEW_RUNS) -> DataFrame:
     """M4 + M5 + M13 per job, and its ``days``: run date, runs and previous run date, ascending.
 
@@ -184,14 +194,14 @@ def job_facts(recent: DataFrame, counts: DataFrame, few: int = FEW_RUNS) -> Data
     runs has fewer than n / few) keep value counts, the others lists; the
     numbers are the same.
     """
-    large = written(counts.groupBy("pkg_nm").agg(F.sum("n_runs").alias("n")).where(F.col("n") > few).select("pkg_nm"), "large")
+    large = large_jobs(counts, few)
     if large.isEmpty():
         return _listed_job_facts(recent)
     runs = recent.join(large, "pkg_nm", "left_semi")
     counted = run_counts(runs)
     return (_listed_job_facts(recent.join(large, "pkg_nm", "left_anti"))
             .unionByName(clock_times(runs).join(runtime_p90(counted), "pkg_nm", "left")
-                         .join(_day_lists(job_days(counted)), "pkg_nm", "left")))
+                         .join(day_lists(job_days(counted)), "pkg_nm", "left")))
 
 
 def job_clock(recent: DataFrame, counts: DataFrame, few: int = FEW_RUNS) -> DataFrame:
@@ -201,7 +211,12 @@ def job_clock(recent: DataFrame, counts: DataFrame, few: int = FEW_RUNS) -> Data
 
 def days_and_clock(recent: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The (job, day) counts and the clock table, both from one written ``job_facts``."""
-    jobs = written(job_facts(recent, job_runs(recent)), "jobs")
+    return facts_written(job_facts(recent, job_runs(recent)))
+
+
+def facts_written(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The (job, day) counts and the clock table from ``job_facts``, which are written."""
+    jobs = written(facts, "jobs")
     return listed_days(jobs), jobs.drop("days")
 
 

@@ -104,8 +104,9 @@ def _refreshed(s, sf):
     """Labelled jobs from a state that was built the day before and brought up to date by one day."""
     log, base = _log(s, sf), fresh_path(s, "cadence-state")
     state.refresh(log, base, replace(P, as_of=P.as_of - _dt.timedelta(days=1)))
-    state.refresh(log, base, P)
-    return state.classify_from_state(state.state(log, base, P), P)
+    recent = state.since(log, base, P)
+    state.refresh(recent, base, P)
+    return state.classify_from_state(state.state(recent, base, P), P)
 
 
 _m("M11_refresh", _refreshed, "pkg_nm:s occurrence:s p90_runtime_seconds:f inferred_start_secs:i inferred_stop_secs:i",

@@ -99,3 +99,62 @@ def test_today_is_scanned_once(spark):
     cs.refresh(log, base, p)
     plan = cs.state(log, base, p)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Generate" not in plan
+
+
+def _few_rows():
+    """100 days of a job of 12 runs a day and of a job of one, some of them open."""
+    out = []
+    for back in range(100):
+        for job, runs in (("hot", 12), ("calm", 1)):
+            for i in range(runs):
+                load = dt.datetime.combine(DAY - dt.timedelta(days=back), dt.time((back * 7 + i) % 24, i, back % 60))
+                start = None if (back + i) % 17 == 0 else load + dt.timedelta(seconds=30)
+                out.append((job, load, start, None if (back + i) % 19 == 0 else load + dt.timedelta(seconds=100 + back * i), 1))
+    return out
+
+
+def test_a_job_is_few_state_rows(spark):
+    """A row holds the runs of a job, not one value of one day."""
+    log = spark.createDataFrame(_few_rows(), EXEC_LOG)
+    days = DAY - dt.timedelta(days=90), DAY
+    held = {r.pkg_nm: (r.n, r["rows"], r.longest) for r in cs.value_counts(log, *days).groupBy("pkg_nm").agg(
+        F.sum("n_runs").alias("n"), F.count(F.lit(1)).alias("rows"), F.max(F.size("loads")).alias("longest")).collect()}
+    assert held == {"hot": (1080, 2, cs.ROW_RUNS), "calm": (90, 1, 90)}
+
+
+def test_jobs_of_many_runs_have_value_counts(spark):
+    """Counted days, listed days and both of a job give the numbers of the full recomputation, also when a version is used in part."""
+    path = fresh_path(spark, "log")
+    spark.createDataFrame(_few_rows(), EXEC_LOG).write.parquet(path)
+    log = spark.read.schema(EXEC_LOG).parquet(path)
+    p = cad.CadenceParams(as_of=dt.datetime.combine(DAY, dt.time(12)))
+    base, before = fresh_path(spark, "state"), cad.CadenceParams(as_of=p.as_of - dt.timedelta(days=2))
+    cs.refresh(log, base, before, few=100)
+    cs.refresh(log, base, p)
+    rows = cs.state(log, base, p)
+    kinds = {(r.pkg_nm, r.counted) for r in rows.select("pkg_nm", F.col("kind").isNotNull().alias("counted")).distinct().collect()}
+    assert kinds == {("hot", True), ("hot", False), ("calm", False)}
+    full = _facts(cad.classify_jobs(log, p))
+    assert _facts(cs.classify_from_state(rows, p)) == full
+    assert _facts(cs.classify_from_state(rows, p, few=10)) == full
+
+
+def test_days_scanned_again_are_taken_from_their_new_version_only(spark):
+    log, p = spark.createDataFrame(_few_rows(), EXEC_LOG), cad.CadenceParams(as_of=dt.datetime.combine(DAY, dt.time(12)))
+    base, again = fresh_path(spark, "state"), [DAY - dt.timedelta(days=3), DAY - dt.timedelta(days=7)]
+    cs.refresh(log, base, p)
+    assert cs.refresh(log, base, p, again=again) == (sorted(again), [])
+    runs = cs.state(log, base, p).groupBy("pkg_nm").agg(F.sum(F.size("loads")).alias("n"), F.sum(F.size("stops")).alias("stops"), F.sum(F.size("times")).alias("times"))
+    assert {tuple(r) for r in runs.collect()} == {("hot", 1092, 1092, 1092), ("calm", 91, 91, 91)}
+
+
+def test_the_runs_since_the_state_are_kept_apart(spark):
+    """Refresh, state and today's status need the ended day and today only, which are written once."""
+    log, p = spark.createDataFrame(_few_rows(), EXEC_LOG), cad.CadenceParams(as_of=dt.datetime.combine(DAY, dt.time(12)))
+    base = fresh_path(spark, "state")
+    cs.refresh(log, base, cad.CadenceParams(as_of=p.as_of - dt.timedelta(days=1)))
+    recent = cs.since(log, base, p)
+    assert recent.count() == 26 and recent.agg(F.min("load_dt")).first()[0].date() == DAY - dt.timedelta(days=1)
+    assert cs.refresh(recent, base, p) == ([DAY - dt.timedelta(days=1)], [DAY - dt.timedelta(days=91)])
+    assert cs.since(log, base, p).count() == 13
+    assert _facts(cs.state(recent, base, p)) == _facts(cs.state(log, base, p))
