@@ -102,11 +102,21 @@ _m("M11", lambda s, sf: cad.classify_jobs(_log(s, sf), P), "pkg_nm:s occurrence:
 
 def _refreshed(s, sf):
     """Labelled jobs from a state that was built the day before and brought up to date by one day."""
+    return _refreshed_and_recent(s, sf)[0]
+
+
+def _refreshed_and_recent(s, sf):
+    """``_refreshed`` and the log of the day that ended since and today, which is all that the refresh and today's status read."""
     log, base = _log(s, sf), fresh_path(s, "cadence-state")
     state.refresh(log, base, replace(P, as_of=P.as_of - _dt.timedelta(days=1)))
     recent = state.since(log, base, P)
     state.refresh(recent, base, P)
-    return state.classify_from_state(state.state(recent, base, P), P)
+    return state.classify_from_state(state.state(recent, base, P), P), recent
+
+
+def _status_refreshed(s, sf):
+    classified, recent = _refreshed_and_recent(s, sf)
+    return st.job_status(recent, P, classified=classified)
 
 
 _m("M11_refresh", _refreshed, "pkg_nm:s occurrence:s p90_runtime_seconds:f inferred_start_secs:i inferred_stop_secs:i",
@@ -137,7 +147,7 @@ _m("M18", lambda s, sf: st.job_status(_log(s, sf), P), "pkg_nm:s expected_start:
    "SELECT * FROM statuses")
 _m("M19", lambda s, sf: st.job_status(_log(s, sf), P),
    "pkg_nm:s expected_start_sla_dt:s expected_stop_sla_dt:s", "SELECT * FROM statuses")
-_m("M22_refresh", lambda s, sf: st.job_status(_log(s, sf), P, classified=_refreshed(s, sf)),
+_m("M22_refresh", _status_refreshed,
    "pkg_nm:s status:s occurrence:s expected_start:s expected_completion:s expected_start_sla_dt:s expected_stop_sla_dt:s",
    "SELECT * FROM statuses")
 _m("M20", _report, "pkg_nm:s class_rank:i class_number:i report_pos:i", "SELECT * FROM numbered")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from opsledger.operators import cadence as cad
 from opsledger.operators import cadence_state as cs
 from opsledger.operators import status as st
+from opsledger.plans import catalog_jobs as jobs
 from opsledger.plans.materialize import fresh_path
+from opsledger.plans.registry import all_queries
 from opsledger.sources.tables import EXEC_LOG
 
 DAY = dt.date(2024, 2, 9)
@@ -158,3 +160,17 @@ def test_the_runs_since_the_state_are_kept_apart(spark):
     assert cs.refresh(recent, base, p) == ([DAY - dt.timedelta(days=1)], [DAY - dt.timedelta(days=91)])
     assert cs.since(log, base, p).count() == 13
     assert _facts(cs.state(recent, base, p)) == _facts(cs.state(log, base, p))
+
+
+def test_todays_status_reads_the_kept_runs(spark, monkeypatch):
+    """M22_refresh takes today from the runs since the state, not from the log once more."""
+    log, statuses = spark.createDataFrame(_few_rows(), EXEC_LOG), []
+    p = cad.CadenceParams(as_of=dt.datetime.combine(DAY, dt.time(12)))
+    monkeypatch.setattr(jobs, "P", p)
+    monkeypatch.setattr(jobs, "_log", lambda *_: log)
+    monkeypatch.setattr(jobs.st, "job_status", lambda runs, *_, classified: statuses.append((runs, classified)))
+    all_queries()["M22_refresh"].build(spark, "")
+    (runs, classified), = statuses
+    monkeypatch.undo()
+    assert runs.agg(F.min("load_dt")).first()[0].date() == DAY - dt.timedelta(days=1)
+    assert _facts(st.job_status(runs, p, classified=classified)) == _facts(st.job_status(log, p))
